@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: b
     e = cut(e.distinct())
     seen = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") / 2**20)).first()
+        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30)))).first()
         if not now[0] or tuple(now) == seen:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         seen = tuple(now)
