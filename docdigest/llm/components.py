@@ -14,6 +14,9 @@ from docdigest.llm.common import cut
 LOCAL_EDGES = 200_000
 
 
+_EDGE = "hi long, lo long"
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 
@@ -53,26 +56,28 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: bool = False) -> DataFrame:
     """The ``(node, component)`` rows of every node that is not the smallest of its component; ``component`` is the smallest node.
 
-    Alternates large-star and small-star steps over edges that point to a smaller node, until nothing changes: every step
+    Alternates large-star and small-star steps over edges that point to a smaller node, until only stars are left: every step
     takes minima by node, which are pre-aggregated before they shuffle, and joins them back. The minima are written before
     the join, so both of its sides are shuffled and Spark can split a hub's partition. With ``native`` no Python runs on
     executors; else each batch of edges is first thinned to a spanning forest. Nulls and self-loops are ignored.
     """
     a, b = F.col(a), F.col(b)
     e = edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    if not native:
-        e = e.mapInPandas(_contract, edges.select(a.alias("hi"), b.alias("lo")).schema)
-    e = cut(e.distinct())
-    seen = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30)))).first()
-        if not now[0] or tuple(now) == seen:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        seen = tuple(now)
+    e = e.distinct() if native else e.mapInPandas(_contract, _EDGE).distinct().mapInPandas(_contract, _EDGE)
+    e = cut(e)
+    while not _is_stars(e):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = cut(large)
         low = cut(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n"))
         joined = large.join(low, F.col("hi") == F.col("n"))
-        e = cut(joined.select("hi", F.col("m").alias("lo")).union(joined.where("lo != m").select("lo", "m")).distinct())
+        e = joined.select("hi", F.col("m").alias("lo")).union(joined.where("lo != m").select("lo", "m")).distinct()
+        e = cut(e if native else e.mapInPandas(_contract, _EDGE).distinct())
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each larger end has one edge, and is nobody's smaller end."""
+    ends = e.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("lo", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
