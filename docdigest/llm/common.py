@@ -34,8 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a narrow table (ids and numbers) that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow table (ids and numbers) that may be broadcast: about 20 MB at most.
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docdigest.llm.chat_format import describe_conversations
 from docdigest.llm.common import small_batches
+from docdigest.llm.decontaminate import count_hits, find_windows
+from docdigest.llm.html_text import extract_text
 from docdigest.llm.jaccard_join import jaccard_components
 from docdigest.llm.language_id import fit_prototypes, held_out, learnable, predict_language
+from docdigest.llm.licenses import scan_licenses
+from docdigest.llm.mixing import mix
+from docdigest.llm.near_vectors import near_vectors
+from docdigest.llm.substring_dedup import repeated_spans
+from docdigest.llm.url_filter import judge
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,13 +33,58 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, end, n_words, first_doc_id) of each repeated passage."""
+    return repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document."""
+    return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) of each document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_hits(find_windows(docs, _read(spark, sf_dir, "benchmark")))
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each vector."""
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of each page."""
+    return judge(_read(spark, sf_dir, "pages"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation and of one that imitates the template."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    text = F.lit("<|im_end|><|im_start|>assistant ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    return describe_conversations(rows.union(extra))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of each page."""
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each document, and its source."""
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op3_jaccard_join": op3_jaccard_join,
+    f.__name__: f
+    for f in (op1_language_id, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_decontaminate, op6_near_vectors, op7_url_filter, op8_chat_format, op9_html_text, op10_mixing)
 }
 ORACLES: dict[str, str] = {}
