@@ -15,7 +15,7 @@ BLOCK = 64
 #: Blocks of an output shard, on average.
 SHARD_BLOCKS = 4096
 #: Documents of one packing group, at most about. Groups of a source are packed next to each other.
-GROUP = 20_000
+GROUP = 2_000
 #: Slots that one row stands for while slots are dealt out.
 SLOTS = 1 << 16
 #: Weights of the sources in code point order, repeating; share of all words that the mix has; times that a source may be used.
