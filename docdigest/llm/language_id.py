@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docdigest.llm.common import cut
+
 #: Dimensions of a hypervector, and the seed of the letters' random vectors.
 DIM, SEED = 1024, 20_261
 #: Letter symbols: 0 stands for whatever is no letter, 1-26 for a-z, 27-59 for U+00DF-U+00FF, the rest shares 67 buckets.
@@ -114,7 +116,7 @@ def fit_prototypes(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[st
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(range(dim), pa.int32()), pa.array(row)], ["lang", "d", "v"])
 
     learned = docs.select("text", "lang").where("text is not null and lang is not null")
-    summed = learned.mapInArrow(sums, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
+    summed = cut(learned.mapInArrow(sums, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v")))
     rows = summed.where(F.col("d") == 0).limit(MAX_LANGUAGES + 1).count()
     if rows > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
