@@ -1,10 +1,377 @@
-"""The registered queries, each with the SQL that gives the same rows where SQL can."""
+"""The registered queries over the given tables, each with the SQL that gives the same rows where SQL can.
+
+Documents stand for papers (one page each; their words get positions by arithmetic), conversations for documents of several pages
+and for summaries with references, embeddings for sentence vectors: their label is the document or the cluster.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docdigest.functions import text as T
+from docdigest.functions.vectors import l2_normalize, norm
+from docdigest.operators import cluster, evaluate, pages, retrieve, salience
+from docdigest.operators import vectors as V
+from docdigest.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("text").alias("joined_text"))
+
+
+def _noisy(spark, d) -> DataFrame:
+    """Documents after a line with noise of each kind, made from the id."""
+    n = F.col("doc_key")
+    noise = F.concat(F.lit("3.2 Scaled runs ["), n, F.lit(", 2–4] hold (Devlin et al., 2018) and (Peters, 2018a) , with dimen- sion x [1].  WMT 2014 English . "))
+    return _docs(spark, d).withColumn("joined_text", F.concat(noise, "joined_text"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("label").cast("string").alias("doc_key"), F.col("vec_id").cast("int").alias("sent_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _clusters(spark, d) -> DataFrame:
+    return _vectors(spark, d).withColumn("cluster_id", F.col("doc_key").cast("int")).withColumn("doc_key", F.lit("all"))
+
+
+def _pages(spark, d) -> DataFrame:
+    return _read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_key"), F.col("turn").cast("int").alias("page_num"), "text")
+
+
+def _words(spark, d) -> DataFrame:
+    w = _docs(spark, d).select("doc_key", F.posexplode(F.split("joined_text", " ")).alias("i", "text"))
+    i = F.col("i")
+    return w.select("doc_key", F.floor(i / 600).cast("int").alias("page_num"), F.lit(612.0).alias("page_width"), i.alias("word_idx"), (F.floor(i / 12) * 11.5).alias("top"), (i % 12 * 51.0).alias("x0"), "text")
+
+
+def _sentences(spark, d) -> DataFrame:
+    return pages.kept_sentences(_docs(spark, d), "joined_text")
+
+
+# Pieces of SQL: character classes, documents after a line of noise, words with positions, sentences by the splitter's rules.
+_W, _D, _S = r"[\p{L}\p{N}_]", r"\p{Nd}", r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+_NOISY = "(SELECT CAST(doc_id AS VARCHAR) AS doc_key, '3.2 Scaled runs [' || doc_id || ', 2–4] hold (Devlin et al., 2018) and (Peters, 2018a) , with dimen- sion x [1].  WMT 2014 English . ' || text AS t FROM documents)"
+_ABBR = "|".join(T.ABBREVIATIONS)
+_SPLIT = rf"""string_split(translate(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])({_ABBR}|[A-Z])\.', '\1\2{T.HELD}', 'g'),
+  '([.!?]["'')\]]*){_S}+(["''(\[]*[\p{{Lu}}\p{{Nd}}])', '\1{T.MARK}\2', 'g'), '{T.HELD}', '.'), '{T.MARK}')"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_HITS = lambda s: f"len(list_filter(regexp_extract_all(lower({s}), '[a-z]+'), lambda w: list_contains({_STOP}, w)))"
+_VERDICT = f"""CASE WHEN length(s) < 40 THEN 'short' WHEN 1.0 - length(regexp_replace(s, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(s) > 0.40 THEN 'symbolic'
+  WHEN {_HITS("reverse(s)")} > {_HITS("s")} + 1 THEN 'reversed' ELSE 'keep' END"""
+_SAID = f"(SELECT doc_id, i, trim(s) AS s FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS s FROM (SELECT doc_id, {_SPLIT} AS p FROM documents)))"
+_JUDGED = f"(SELECT doc_id, i, s, {_VERDICT} AS v FROM {_SAID})"
+_COUNTED = f"(SELECT CAST(doc_id AS VARCHAR) AS doc_key, count(*) FILTER (v = 'keep') AS n FROM {_JUDGED} GROUP BY doc_id)"
+_POSITIONED = """(SELECT doc_id, i, text AS w, i // 600 AS page_num, (i // 12) * 11.5 AS top, (i % 12) * 51.0 AS x0
+  FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS text FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents)))"""
+_VEC = "(SELECT CAST(label AS VARCHAR) AS doc_key, CAST(vec_id AS INTEGER) AS sent_idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_MEAN = f"(SELECT doc_key, list(m ORDER BY i) AS c FROM (SELECT doc_key, i, avg(x) AS m FROM (SELECT doc_key, unnest(range(len(e))) AS i, unnest(e) AS x FROM {_VEC}) GROUP BY doc_key, i) GROUP BY doc_key)"
+_COS = lambda a, b: f"list_inner_product({a}, {b}) / ((sqrt(list_inner_product({a}, {a})) + 1e-8) * (sqrt(list_inner_product({b}, {b})) + 1e-8))"
+_SIM = f"(SELECT v.doc_key, sent_idx, round({_COS('e', 'c')}, 9) AS s FROM {_VEC} v JOIN {_MEAN} USING (doc_key))"
+_LABELLED = f"(SELECT *, CASE WHEN s >= hi THEN 1 WHEN s <= lo THEN 0 END AS label FROM {_SIM} JOIN (SELECT doc_key, quantile_cont(s, 0.3333) AS lo, quantile_cont(s, 0.6667) AS hi FROM {_SIM} GROUP BY doc_key) USING (doc_key))"
+_DIST = f"(SELECT v.doc_key, sent_idx, sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - c[i]) * (e[i] - c[i])))) AS d FROM {_VEC} v JOIN {_MEAN} USING (doc_key))"
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_key, md5(string_agg(text, '. ' ORDER BY turn)) AS digest, CAST(count(*) AS BIGINT) AS n_pages FROM conversations WHERE length(text) >= 100 GROUP BY conv_id")
+def page_join(spark, d):
+    kept = pages.page_length_gate(_pages(spark, d))
+    n = kept.groupBy("doc_key").agg(F.count("*").alias("n_pages"))
+    return pages.join_pages(kept).join(n, "doc_key").select("doc_key", F.md5("joined_text").alias("digest"), "n_pages")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(page_num AS INTEGER) AS page_num, md5(coalesce(string_agg(w, ' ' ORDER BY round_even(top / 4, 0) * 4, x0, i) FILTER (x0 < 306), '') || ' '
+  || coalesce(string_agg(w, ' ' ORDER BY round_even(top / 4, 0) * 4, x0, i) FILTER (x0 >= 306), '')) AS digest FROM {_POSITIONED} GROUP BY doc_id, page_num""")
+def column_pages(spark, d):
+    return pages.assemble_pages(_words(spark, d)).select("doc_key", "page_num", F.md5("text").alias("digest"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(page_num AS INTEGER) AS page_num, md5(string_agg(w, ' ' ORDER BY round_even(top / 5, 0) * 5, x0, i)) AS digest FROM {_POSITIONED} GROUP BY doc_id, page_num")
+def flat_pages(spark, d):
+    return pages.assemble_pages(_words(spark, d), detect_columns=False).select("doc_key", "page_num", F.md5("text").alias("digest"))
+
+
+def _cleaning(name: str, sql: str | None) -> None:
+    def run(spark, d, step=getattr(T, name)):
+        return _noisy(spark, d).select("doc_key", F.md5(step(F.col("joined_text"))).alias("digest"))
+
+    run.__name__ = f"clean_{name}"
+    query(sql and f"SELECT doc_key, md5({sql}) AS digest FROM {_NOISY}")(run)
+
+
+_cleaning("repair_hyphens", rf"regexp_replace(t, '({_W})-{_S}+([a-z])', '\1\2', 'g')")
+_cleaning("strip_section_numbers", None)
+_cleaning("strip_bracket_citations", rf"regexp_replace(t, '\[(?:{_D}|,|{_S}|–|-)+\]', ' ', 'g')")
+_cleaning("strip_author_year_citations", rf"regexp_replace(t, '\([A-Z][a-z]+(?:{_S}+et{_S}+al\.|{_S}+and{_S}+[A-Z][a-z]+|,{_S}+[A-Z][a-z]+)?,?{_S}*{_D}{{4}}[a-z]?\)', ' ', 'g')")
+_cleaning("strip_math", None)
+_cleaning("strip_page_numbers", None)
+_cleaning("collapse_whitespace", rf"regexp_replace(t, '{_S}+', ' ', 'g')")
+_cleaning("tighten_punctuation", rf"regexp_replace(t, '{_S}+([,;:.!?])', '\1', 'g')")
+_cleaning("clean_text", None)
+
+
+@query("""SELECT doc_key, trim(CASE WHEN strpos(rest, 'INTRODUCTION') > 0 THEN left(rest, strpos(rest, 'INTRODUCTION') - 1) ELSE left(rest, 3000) END) AS abstract
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_key, text || CASE WHEN doc_id % 2 = 0 THEN ' INTRODUCTION tail' ELSE '' END AS rest FROM documents WHERE NOT regexp_matches(text, '(?i)^[\\s—:.-]'))
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), '' FROM documents WHERE regexp_matches(text, '(?i)^[\\s—:.-]')""")
+def abstract(spark, d):
+    docs = _docs(spark, d)
+    key = F.col("doc_key").cast("long")
+    marked = F.when(F.col("joined_text").rlike(r"^[\s—:.\-]"), "none").otherwise(F.concat(F.lit("Title. Abstract: "), "joined_text", F.when(key % 2 == 0, " INTRODUCTION tail").otherwise("")))
+    return docs.select("doc_key", T.extract_abstract(marked).alias("abstract"))
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_key, count(*) FILTER (v = 'short') AS n_short, count(*) FILTER (v = 'symbolic') AS n_symbolic,
+  count(*) FILTER (v = 'reversed') AS n_reversed, count(*) FILTER (v = 'keep') AS n_keep FROM {_JUDGED} GROUP BY doc_id""")
+def quality_report(spark, d):
+    return pages.quality_report(_docs(spark, d), "joined_text")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sent_idx, s AS sentence FROM {_JUDGED} WHERE v = 'keep'")
+def kept_sentences(spark, d):
+    return _sentences(spark, d)
+
+
+@query(f"SELECT doc_key, n AS n_sentences, CASE WHEN n = 0 THEN 'no_text' WHEN n < 4 THEN 'too_few_sentences' ELSE 'ok' END AS status FROM {_COUNTED}")
+def document_status(spark, d):
+    return pages.document_status(_docs(spark, d), "joined_text")
+
+
+@query(rf"""SELECT CAST(doc_id AS VARCHAR) AS doc_key, length(text) AS raw_chars, length(c) AS cleaned_chars, length(text) - length(c) AS noise, round((length(text) - length(c)) / greatest(length(text), 1), 6) AS noise_pct
+  FROM (SELECT doc_id, text, regexp_replace(text, '{_S}+', ' ', 'g') AS c FROM documents)""")
+def document_metrics(spark, d):
+    docs = _docs(spark, d).withColumn("cleaned_text", T.collapse_whitespace(F.col("joined_text")))
+    return pages.document_metrics(docs).withColumn("noise_pct", F.round("noise_pct", 6))
+
+
+@query("SELECT md5(text) AS doc_key, min(doc_id) AS path, count(*) AS copies FROM documents GROUP BY md5(text)")
+def dedupe_documents(spark, d):
+    files = _read(spark, d, "documents").select(F.md5("text").alias("doc_key"), F.col("doc_id").alias("path"))
+    return tables.dedupe_documents(files).join(files.groupBy("doc_key").agg(F.count("*").alias("copies")), "doc_key").select("doc_key", "path", "copies")
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def new_documents(spark, d):
+    return tables.new_documents_only(_read(spark, d, "documents"), _read(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@query(f"SELECT sent_idx, round(list_sum(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))), 6) AS total, round(sqrt(list_inner_product(e, e)), 6) AS norm FROM {_VEC}")
+def l2_normalized(spark, d):
+    total = F.aggregate(l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return _vectors(spark, d).select("sent_idx", F.round(total, 6).alias("total"), F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"""SELECT count(*) AS vectors, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, round(avg(n), 6) AS mean_norm, round(min(lo), 6) AS min_value, round(max(hi), 6) AS max_value
+  FROM (SELECT sqrt(list_inner_product(e, e)) AS n, list_min(e) AS lo, list_max(e) AS hi FROM {_VEC})""")
+def vector_norms(spark, d):
+    out = V.vector_norm_check(_vectors(spark, d))
+    return out.select("vectors", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+@query(f"SELECT a.doc_key, a.sent_idx AS i, b.sent_idx AS j, round({_COS('a.e', 'b.e')}, 6) AS score FROM {_VEC} a JOIN {_VEC} b ON a.doc_key = b.doc_key AND b.sent_idx = a.sent_idx + 1")
+def pair_list_similarity(spark, d):
+    v = _vectors(spark, d)
+    pairs = v.select("doc_key", F.col("sent_idx").alias("i"), (F.col("sent_idx") + 1).alias("j"))
+    return V.pairwise_similarity(v, pairs).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_key, round(sqrt(list_inner_product(c, c)), 6) AS norm FROM {_MEAN}")
+def document_centroid(spark, d):
+    return salience.document_centroid(_vectors(spark, d)).select("doc_key", F.round(norm(F.col("centroid")), 6).alias("norm"))
+
+
+@query(f"SELECT doc_key, sent_idx, round(s, 6) AS similarity FROM {_SIM}")
+def salience_scores(spark, d):
+    return salience.salience_scores(_vectors(spark, d)).select("doc_key", "sent_idx", F.round(F.round("similarity", 9), 6).alias("similarity"))
+
+
+@query(f"SELECT doc_key, sent_idx, CAST(label AS INTEGER) AS label, label IS NOT NULL AS kept FROM {_LABELLED}")
+def weak_labels(spark, d):
+    return salience.weak_labels(_vectors(spark, d)).select("doc_key", "sent_idx", "label", "kept")
+
+
+@query(f"""SELECT doc_key, CAST(k AS INTEGER) AS n_kept, CAST(n - k AS INTEGER) AS n_excluded, CAST(CASE WHEN n >= 30 THEN k - ceil(round(0.2 * k, 9)) ELSE 0 END AS INTEGER) AS n_train, CAST(CASE WHEN n >= 30 THEN ceil(round(0.2 * k, 9)) ELSE 0 END AS INTEGER) AS n_val
+  FROM (SELECT doc_key, count(*) AS n, count(label) AS k FROM {_LABELLED} GROUP BY doc_key)""")
+def train_shape(spark, d):
+    t = salience.train_salience(_vectors(spark, d), epochs=1)
+    used = F.col("status") != "too_short"
+    shape = [F.when(used, F.col(c)).otherwise(0).cast("int").alias(c) for c in ("n_train", "n_val")]
+    return t.select("doc_key", (F.col("n_train") + F.col("n_val")).alias("n_kept"), "n_excluded", *shape)
+
+
+@query()
+def train_salience(spark, d):
+    return salience.loss_curve(salience.train_salience(_vectors(spark, d)))
+
+
+@query()
+def training_report(spark, d):
+    return salience.training_report(salience.train_salience(_vectors(spark, d)))
+
+
+@query()
+def train_salience_corpus(spark, d):
+    return salience.train_salience_corpus(_vectors(spark, d))[1]
+
+
+@query(f"SELECT doc_key, arg_min(sent_idx, (round(d, 12), sent_idx)) AS sent_idx FROM {_DIST} GROUP BY doc_key")
+def nearest_to_centroid(spark, d):
+    found = cluster.nearest_to_centroid(_clusters(spark, d))
+    return found.select(F.col("cluster_id").cast("string").alias("doc_key"), "sent_idx")
+
+
+@query(f"SELECT round(sum(d * d), 6) AS inertia, count(DISTINCT doc_key) AS n_clusters FROM {_DIST}")
+def inertia(spark, d):
+    v = _clusters(spark, d)
+    return cluster.inertia(v).join(cluster.distinct_clusters(v), "doc_key").select(F.round("inertia", 6).alias("inertia"), "n_clusters")
+
+
+@query(f"""WITH u AS (SELECT doc_key AS k, sent_idx AS i, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM {_VEC}),
+ p AS (SELECT a.i, a.k, b.k AS o, sum(1 - list_inner_product(a.e, b.e)) FILTER (a.i <> b.i) AS d, count(*) AS m FROM u a CROSS JOIN u b GROUP BY a.i, a.k, b.k),
+ q AS (SELECT i, max(CASE WHEN k = o AND m > 1 THEN d / (m - 1) END) AS a, min(CASE WHEN k <> o THEN d / m END) AS b FROM p GROUP BY i)
+ SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""")
+def silhouette(spark, d):
+    return cluster.silhouette(_clusters(spark, d)).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+_QUESTIONS = f"(SELECT sent_idx AS question_id, doc_key, e AS q FROM {_VEC} WHERE sent_idx % 100 = 0)"
+
+
+def _questions(v: DataFrame) -> DataFrame:
+    return v.where("sent_idx % 100 = 0").select(F.col("sent_idx").cast("long").alias("question_id"), "doc_key", F.lit("which?").alias("question"), "embedding")
+
+
+@query(f"""SELECT CAST(question_id AS BIGINT) AS question_id, doc_key, CAST(r AS INTEGER) AS rank, sent_idx, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, sent_idx) AS r
+  FROM (SELECT question_id, v.doc_key, sent_idx, {_COS('q', 'e')} AS s FROM {_QUESTIONS} JOIN {_VEC} v USING (doc_key))) WHERE r <= 3""")
+def topk_in_document(spark, d):
+    v = _vectors(spark, d)
+    return retrieve.retrieve_topk(_questions(v), v).drop("sentence").withColumn("score", F.round("score", 6))
+
+
+@query(f"""SELECT CAST(question_id AS BIGINT) AS question_id, CAST(r AS INTEGER) AS rank, doc_key, sent_idx, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, doc_key, sent_idx) AS r
+  FROM (SELECT question_id, v.doc_key, sent_idx, {_COS('q', 'e')} AS s FROM {_QUESTIONS} x CROSS JOIN {_VEC} v)) WHERE r <= 3""")
+def topk_in_corpus(spark, d):
+    v = _vectors(spark, d)
+    return retrieve.retrieve_topk_corpus(_questions(v), v).withColumn("score", F.round("score", 6))
+
+
+_MODES = "(VALUES ('short'), ('one_page'), ('full')) m(mode)"
+_K = "CAST(least(CASE mode WHEN 'short' THEN 4 WHEN 'one_page' THEN 11 ELSE greatest(5, round_even(0.15 * n, 0)) END, n - 1) AS INTEGER)"
+
+
+@query(f"SELECT doc_key, mode, {_K} AS k FROM {_COUNTED}, {_MODES}")
+def resolve_k(spark, d):
+    n = pages.document_status(_docs(spark, d), "joined_text").select("doc_key", F.col("n_sentences").cast("int").alias("n"))
+    return n.withColumn("mode", F.explode(F.array(*map(F.lit, cluster.MODES)))).select("doc_key", "mode", cluster.resolve_k(F.col("mode"), F.col("n")).alias("k"))
+
+
+def _summaries(spark, d) -> DataFrame:
+    return cluster.summarize(V.embed_sentences(_sentences(spark, d)))
+
+
+@query(f"SELECT doc_key, mode, {_K} AS k_used, CAST(n AS INTEGER) AS n_total_sentences, true AS in_order FROM {_COUNTED}, {_MODES} WHERE n >= 2")
+def summary_shape(spark, d):
+    i = F.col("selected_indices")
+    fits = (i == F.array_sort(i)) & (F.size(i) <= F.col("k_used")) & (F.size(i) == F.size("sentences"))
+    return _summaries(spark, d).select("doc_key", "mode", "k_used", "n_total_sentences", fits.alias("in_order"))
+
+
+@query()
+def summaries_rouge(spark, d):
+    docs = _docs(spark, d).select("doc_key", F.substring("joined_text", 1, 3000).alias("abstract"))
+    return evaluate.rouge(_summaries(spark, d), docs)
+
+
+@query()
+def summary_reports(spark, d):
+    return tables.summary_report(_summaries(spark, d))
+
+
+@query()
+def polish_prompts(spark, d):
+    return retrieve.build_polish_prompts(_summaries(spark, d), "Join these sentences into one text.")
+
+
+@query()
+def elbow_curve(spark, d):
+    return cluster.elbow_curve(_vectors(spark, d), 2, 8)
+
+
+@query()
+def cluster_assignments(spark, d):
+    return cluster.cluster_documents(_vectors(spark, d), ("short",))
+
+
+@query()
+def cluster_corpus(spark, d):
+    return cluster.cluster_corpus(_vectors(spark, d), 8)[1].select("doc_key", "sent_idx", "cluster_id")
+
+
+def _said(spark, d) -> DataFrame:
+    c = _read(spark, d, "conversations")
+    side = lambda role: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    both = c.groupBy("conv_id").agg(side("assistant").alias("a"), side("user").alias("b"))
+    return both.select("conv_id", evaluate.rouge_tokens(F.col("a")).alias("summary"), evaluate.rouge_tokens(F.col("b")).alias("reference"))
+
+
+def _rouge_sql(n: int) -> str:
+    gram = " || ' ' || ".join(f"t[i + {j}]" for j in range(n))
+    side = lambda role: f"(SELECT conv_id, {gram} AS g, count(*) AS c FROM (SELECT conv_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM (SELECT conv_id, regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn)), '[a-z0-9]+') AS t FROM conversations WHERE role = '{role}' GROUP BY conv_id)) GROUP BY ALL)"
+    return f"""WITH a AS {side("assistant")}, b AS {side("user")}, o AS (SELECT a.conv_id, sum(least(a.c, b.c)) AS o FROM a JOIN b ON a.conv_id = b.conv_id AND a.g = b.g GROUP BY a.conv_id),
+ n AS (SELECT conv_id, (SELECT sum(c) FROM a WHERE a.conv_id = x.conv_id) AS na, (SELECT sum(c) FROM b WHERE b.conv_id = x.conv_id) AS nb FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND regexp_matches(text, '[A-Za-z0-9]')) x)
+ SELECT c.conv_id, round(CASE WHEN n.conv_id IS NULL THEN NULL WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2.0 * o / (na + nb) END, 6) AS rouge{n} FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id = n.conv_id LEFT JOIN o ON o.conv_id = c.conv_id"""
+
+
+@query(_rouge_sql(1))
+def rouge1(spark, d):
+    return _said(spark, d).select("conv_id", F.round(evaluate.rouge_n(F.col("summary"), F.col("reference"), 1), 6).alias("rouge1"))
+
+
+@query(_rouge_sql(2))
+def rouge2(spark, d):
+    return _said(spark, d).select("conv_id", F.round(evaluate.rouge_n(F.col("summary"), F.col("reference"), 2), 6).alias("rouge2"))
+
+
+@query()
+def rouge_l(spark, d):
+    return _said(spark, d).select("conv_id", F.round(evaluate.rouge_l("summary", "reference"), 6).alias("rouge_l"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS doc_key, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 2 AS INTEGER) AS turn, 'user' AS role, trim(text) AS text FROM conversations WHERE trim(text) <> ''
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 2 + 1 AS INTEGER), 'assistant', 'seen' FROM conversations WHERE trim(text) <> ''""")
+def chat_history(spark, d):
+    c = _read(spark, d, "conversations")
+    q = c.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("question_id"), F.col("conv_id").cast("string").alias("doc_key"), F.col("text").alias("question"))
+    return retrieve.chat_history(q, q.select("question_id", F.lit("seen").alias("answer"))).withColumn("turn", F.col("turn").cast("int"))
+
+
+@query()
+def answer_prompts(spark, d):
+    v = _vectors(spark, d).withColumn("sentence", F.concat(F.lit("sentence "), F.col("sent_idx").cast("string")))
+    q = _questions(v)
+    return retrieve.build_answer_prompts(retrieve.retrieve_topk(q, v), q, "Answer from these sentences.")
+
+
+@query()
+def mean_pooled(spark, d):
+    tokens = _vectors(spark, d).select("doc_key", F.floor(F.col("sent_idx") / 5).cast("int").alias("sent_idx"), (F.col("sent_idx") % 5).alias("token_idx"), F.lit(1).alias("mask"), F.col("embedding").alias("vec"))
+    return V.mean_pool(tokens).union(V.cls_pool(tokens)).select("doc_key", "sent_idx", "pooling", F.round(norm(F.col("embedding")), 6).alias("norm"))
