@@ -14,7 +14,10 @@ from docdigest.llm.components import Forest, connected_components
 #: Cosine from which vectors link.
 THRESHOLD = 0.93
 #: Vectors that the centroids are fitted on at most, vectors of a cell about, cells at most, rounds of the fit.
-SAMPLE, PER_CELL, CELLS, ROUNDS = 20_000, 1000, 1024, 8
+SAMPLE, PER_CELL, CELLS, ROUNDS = 20_000, 4000, 1024, 8
+#: How far from the plane between two cells a vector is compared in both, in standard deviations of what a linking pair's
+#: difference has across a plane (its length over the root of the dimension). Of a pair that the plane parts, one is within half of the difference.
+DEVIATIONS = 2.0
 #: Vectors of a block.
 BLOCK = 512
 
@@ -55,10 +58,11 @@ def _clean(batches):
 def _cells(centroids: dict[int, np.ndarray], threshold: float):
     """For each vector its cell and the cells that it has to be compared in.
 
-    A vector of cell c' is also dealt to cell c when it is within half the chord of the threshold of the plane that parts
-    the two: of two linking vectors in different cells, one is that near to the plane between them. So no link is lost.
+    A vector of cell c' is also dealt to cell c when it is near the plane that parts the two. Within half the chord of the
+    threshold no link would be lost; in many dimensions hardly any pair lies across a plane, and a part of that is enough.
     """
-    reach = np.sqrt((1 - threshold) / 2) + 1e-9
+    chord = np.sqrt(2 - 2 * threshold)
+    reach = {d: min(chord / 2, DEVIATIONS * chord / np.sqrt(d)) + 1e-9 for d in centroids}
     gaps = {d: np.linalg.norm(c[:, None] - c[None], axis=2) for d, c in centroids.items()}
 
     def deal(batches):
@@ -70,7 +74,7 @@ def _cells(centroids: dict[int, np.ndarray], threshold: float):
                 dot = c @ x
                 home = int(dot.argmax())
                 gap = gaps[len(x)][home]
-                near = np.flatnonzero(dot[home] - dot <= reach * gap).tolist()
+                near = np.flatnonzero(dot[home] - dot <= reach[len(x)] * gap).tolist()
                 rows += [(vec_id, label, len(x), cell, home, near, unit) for cell in near]
             kinds = [batch.column(0).type, batch.column(1).type, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["vec_id", "label", "dim", "cell", "home", "near", "unit"])
@@ -113,7 +117,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Vectors of equal, non-null labels link when their cosine in double precision is ``threshold`` or more. Null, zero and
     non-finite vectors, null labels and different dimensions link with nothing. ``n_links`` counts the other rows linked
     directly, ``component_id`` is the smallest ``vec_id`` reached, ``kept`` whether that is the row's own. Rows of one id count each as a vector.
-    Centroids are fitted on at most ``SAMPLE`` vectors; all vectors are indexed, and recall is complete by construction.
+    Centroids are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. No link found is below the threshold; of all
+    links, those of pairs that lie far across a plane between cells may be missed (at 64 dimensions, fewer than 1 in 1,000).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     kind = vectors.schema["label"].dataType.simpleString()

@@ -214,6 +214,17 @@ def test_near_vectors(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_near_vectors_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr("docdigest.llm.near_vectors.PER_CELL", 40)
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r["label"] for r in rows])
+    links = int(((x @ x.T >= 0.93) & (label[:, None] == label)).sum()) - len(rows)
+    found = near_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * links <= found <= links
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
