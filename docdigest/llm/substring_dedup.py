@@ -90,9 +90,9 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     hit = chunks.join(often, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("first_doc_id < doc_id or again")
     hit = hit.select("doc_id", "text_id", "k", "start", "end", "words", "first_doc_id").distinct()
     w = Window.partitionBy("doc_id", "text_id").orderBy("k")
-    new = (F.col("k") != F.lag("k").over(w) + 1) | (F.col("first_doc_id") != F.lag("first_doc_id").over(w))
-    runs = hit.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w)).groupBy("doc_id", "text_id", "run", "first_doc_id")
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"))
+    new = F.col("k") != F.lag("k").over(w) + 1
+    runs = hit.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w)).groupBy("doc_id", "text_id", "run")
+    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
     return runs.where(F.col("n_words") >= min_words).select("doc_id", "text_id", "start", "end", "n_words", "first_doc_id")
 
 
@@ -100,9 +100,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, n_words, first_doc_id)`` of each passage of ``docs(doc_id, text)`` that a smaller id, or the text before it, has.
 
     Texts are cut into chunks by content, so that equal passages of about 50 words or more have equal chunks wherever they
-    stand. Chunks meet by digest; of a digest, the smallest id is the first. Consecutive chunks whose first is the same
-    document make a passage, which counts from ``min_words`` words on; its edges are those of chunks, so up to about ten words
-    at each end stay outside. ``start`` and ``end`` count code points. Null ids and null texts are left out; rows of one id count as one document. Text without spaces is one word.
+    stand. Chunks meet by digest; of a digest, the smallest id is the first. Consecutive repeated chunks make a passage, also
+    where their firsts differ, as in a copy of an edited copy; it counts from ``min_words`` words on, and ``first_doc_id`` is the
+    smallest of its chunks' firsts. Its edges are those of chunks, so up to about ten words at each end stay outside. ``start`` and ``end`` count code points. Null ids and null texts are left out; rows of one id count as one document. Text without spaces is one word.
     """
     return _repeats(docs, min_words).drop("text_id")
 

@@ -151,6 +151,15 @@ def test_substring_passages(spark):
     assert drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_copies_of_edited_copies(spark):
+    words = [f"z{x}" for x in np.random.default_rng(3).integers(0, 10**9, 300)]
+    edited = [w if i % 25 else f"{w}e" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), None, None, None), (2, " ".join(edited), None, None, None), (3, " ".join(edited), None, None, None)], DOCS)
+    third = [r for r in repeated_spans(docs).collect() if r.doc_id == 3]
+    assert len(third) == 1 and third[0].n_words == 300 and third[0].first_doc_id == 1
+    assert {r.doc_id for r in drop_repeats(docs).collect()} == {1, 2}
+
+
 def test_chunks_resist_insertions():
     h = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     shifted = np.concatenate([h[:50], h[:3] + np.uint64(1), h[50:]])
