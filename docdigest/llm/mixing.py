@@ -18,6 +18,8 @@ SHARD_BLOCKS = 4096
 GROUP = 2_000
 #: Slots that one row stands for while slots are dealt out.
 SLOTS = 1 << 16
+#: Tasks that draw slots at most. Rows of slots are small but each makes up to ``SLOTS`` rows, so Spark must not gather them by size.
+DRAWING = 20_000
 #: Weights of the sources in code point order, repeating; share of all words that the mix has; times that a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 
@@ -108,7 +110,7 @@ def draw_blocks(sources: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFr
     total = planned.agg(F.sum("slots")).first()[0] or 0
     parts = planned.withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})")))
     parts = parts.select("source_key", (F.col("part") * SLOTS).alias("first"), F.least(F.lit(SLOTS).cast("long"), F.col("slots") - F.col("part") * SLOTS).alias("count"), "blocks")
-    parts = parts.repartition("source_key", "first")
+    parts = parts.repartition(int(min(DRAWING, total // (2 * SLOTS) + 1)), "source_key", "first")
     return parts.mapInArrow(_draw(seed, max(1, round(total / SHARD_BLOCKS))), "source_key string, slot long, shard long, block long")
 
 
