@@ -1,4 +1,4 @@
-"""Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector of each group kept."""
+"""Embedding near-dedup: spherical k-means cells of each label, blocked cosine products inside cells, one vector of each group kept."""
 
 from __future__ import annotations
 
@@ -15,11 +15,8 @@ from docdigest.llm.components import Forest, connected_components
 THRESHOLD = 0.93
 #: Vectors that the centroids are fitted on at most, vectors of a cell about, cells at most, rounds of the fit.
 SAMPLE, PER_CELL, CELLS, ROUNDS = 20_000, 4000, 1024, 8
-#: How far from the plane between two cells a vector is compared in both, in standard deviations of what a linking pair's
-#: difference has across a plane (its length over the root of the dimension). Of a pair that the plane parts, one is within half of the difference.
-DEVIATIONS = 2.0
 #: Vectors of a block.
-BLOCK = 512
+BLOCK = 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -56,32 +53,42 @@ def _clean(batches):
 
 
 def _cells(centroids: dict[int, np.ndarray], threshold: float):
-    """For each vector its cell and the cells that it has to be compared in.
+    """For each vector its cell and the cells that it has to be compared in. A part without centroids is one cell.
 
-    A vector of cell c' is also dealt to cell c when it is near the plane that parts the two. Within half the chord of the
-    threshold no link would be lost; in many dimensions hardly any pair lies across a plane, and a part of that is enough.
+    A vector of cell c' is also dealt to cell c when it is within half the chord of the threshold of the plane that parts
+    the two: of two linking vectors in different cells, one is that near to the plane between them. So no link is lost.
     """
-    chord = np.sqrt(2 - 2 * threshold)
-    reach = {d: min(chord / 2, DEVIATIONS * chord / np.sqrt(d)) + 1e-9 for d in centroids}
-    gaps = {d: np.linalg.norm(c[:, None] - c[None], axis=2) for d, c in centroids.items()}
+    reach = np.sqrt((1 - threshold) / 2) + 1e-9
+    gaps = {p: np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) for p, c in centroids.items()}
 
     def deal(batches):
         for batch in batches:
             rows = []
-            for vec_id, label, unit in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(unit)
-                c = centroids[len(x)]
-                dot = c @ x
-                home = int(dot.argmax())
-                gap = gaps[len(x)][home]
-                near = np.flatnonzero(dot[home] - dot <= reach[len(x)] * gap).tolist()
-                rows += [(vec_id, label, len(x), cell, home, near, unit) for cell in near]
+            for row, label, part, unit in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                home, near = 0, [0]
+                if part in centroids:
+                    dot = centroids[part] @ np.frombuffer(unit)
+                    home = int(dot.argmax())
+                    near = np.flatnonzero(dot[home] - dot <= reach * gaps[part][home] + 1e-7).tolist()
+                rows += [(row, label, len(unit) // 8, cell, home, near, unit) for cell in near]
             kinds = [batch.column(0).type, batch.column(1).type, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["vec_id", "label", "dim", "cell", "home", "near", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["row", "label", "dim", "cell", "home", "near", "unit"])
 
     return deal
 
 
+def _centroids(good: DataFrame) -> dict[int, np.ndarray]:
+    """By part, a label's vectors of one dimension, its centroids. Parts of fewer than two cells have none."""
+    large = good.groupBy("part").count().where(F.col("count") >= 2 * PER_CELL).orderBy(F.desc("count"), "part").limit(CELLS // 2)
+    cells = {r["part"]: r["count"] // PER_CELL for r in large.collect()}
+    total = sum(cells.values())
+    picked: dict[int, list[bytes]] = {}
+    if cells:
+        for part, unit in good.where(F.col("part").isin(list(cells))).orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("part", "unit").collect():
+            picked.setdefault(part, []).append(bytes(unit))
+    return {p: spherical_kmeans(np.frombuffer(b"".join(u)).reshape(len(u), -1), cells[p] if total <= CELLS else max(1, cells[p] * CELLS // total)) for p, u in picked.items()}
+
+
 def _compare(threshold: float):
     """Inside one pair of blocks (home rows against all): (vec_id, links, other) with counts, and with edges that connect what links connect."""
 
@@ -117,24 +124,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Vectors of equal, non-null labels link when their cosine in double precision is ``threshold`` or more. Null, zero and
     non-finite vectors, null labels and different dimensions link with nothing. ``n_links`` counts the other rows linked
     directly, ``component_id`` is the smallest ``vec_id`` reached, ``kept`` whether that is the row's own. Rows of one id count each as a vector.
-    Centroids are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. No link found is below the threshold; of all
-    links, those of pairs that lie far across a plane between cells may be missed (at 64 dimensions, fewer than 1 in 1,000).
+    Centroids are fitted on at most ``SAMPLE`` vectors; all vectors are indexed, and recall is complete by construction.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     kind = vectors.schema["label"].dataType.simpleString()
     clean = rows.mapInArrow(_clean, f"vec_id long, label {kind}, unit binary")
     clean = cut(clean.withColumn("row", F.monotonically_increasing_id()))
     good = clean.where("unit is not null and label is not null and vec_id is not null")
-    n = good.count()
-    k = int(min(CELLS, max(1, n // PER_CELL)))
-    picked: dict[int, list[bytes]] = {}
-    for (unit,) in good.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("unit").collect():
-        picked.setdefault(len(unit) // 8, []).append(bytes(unit))
-    dims = [r[0] // 8 for r in good.select(F.length("unit").alias("d")).distinct().limit(1000).collect()]
-    centroids = {d: spherical_kmeans(np.frombuffer(b"".join(picked[d])).reshape(-1, d), k) if d in picked else np.zeros((1, d)) for d in dims}
-
-    dealt = good.select("row", "label", "unit").mapInArrow(_cells(centroids, threshold), f"vec_id long, label {kind}, dim int, cell int, home int, near array<int>, unit binary")
-    dealt = cut(dealt.withColumnRenamed("vec_id", "row").withColumn("own", F.col("home") == F.col("cell")))
+    good = good.withColumn("part", F.xxhash64("label", F.length("unit")))
+    dealt = good.select("row", "label", "part", "unit").mapInArrow(_cells(_centroids(good), threshold), f"row long, label {kind}, dim int, cell int, home int, near array<int>, unit binary")
+    dealt = cut(dealt.withColumn("own", F.col("home") == F.col("cell")))
     group = ["label", "dim", "cell"]
     sizes = dealt.groupBy(*group).agg(F.ceil(F.sum(F.col("own").cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("alls"))
     sized = cut(dealt.join(cut(sizes.where("homes > 0")), group))

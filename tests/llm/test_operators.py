@@ -234,6 +234,20 @@ def test_near_vectors_recall_with_many_cells(spark, monkeypatch):
     assert 0.99 * links <= found <= links
 
 
+def test_near_vectors_loses_no_link_between_cells(spark, monkeypatch):
+    monkeypatch.setattr("docdigest.llm.near_vectors.PER_CELL", 80)
+    random = np.random.default_rng(5)
+    x = random.normal(size=(800, 2)) @ random.normal(size=(2, 64)) + 0.3 * random.normal(size=(800, 64))
+    rows = [(i, i % 2, v) for i, v in enumerate(x.tolist())]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(800) % 2
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(1) - 1).tolist()))
+    of = components(range(800), np.argwhere(near).tolist())
+    assert {r.vec_id: r.component_id for r in got} == {i: of[i] for i in range(800)}
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
