@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docdigest.llm.common import cut, mix64
+from docdigest.llm.common import cut, mix64, word_bounds
 
 #: Words of a block.
 BLOCK = 64
@@ -94,7 +94,7 @@ def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = cut(before.withColumn("first", F.sum("words").over(Window.partitionBy("source_key").orderBy("group")) - F.col("words")).drop("words"))
     inside = Window.partitionBy("source_key", "group").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = spread.drop("groups").withColumn("at", F.sum("size").over(inside) - F.col("size")).join(before, ["source_key", "group"])
-    return rows.select("doc_id", "source", "source_key", "size", (F.col("first") + F.col("at")).alias("start")), counts.select("source", "source_key", "source_size")
+    return rows.select("doc_id", "source", "source_key", "tie", "size", (F.col("first") + F.col("at")).alias("start")), counts.select("source", "source_key", "source_size")
 
 
 def draw_blocks(sources: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
@@ -114,22 +114,69 @@ def draw_blocks(sources: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFr
     return parts.mapInArrow(_draw(seed, max(1, round(total / SHARD_BLOCKS))), "source_key string, slot long, shard long, block long")
 
 
+def _pieces(block: int):
+    """Of rows (source_key, doc_id, start, size, text): the text's words that stand in each block of the source, as they are written."""
+
+    def pieces(batches):
+        for batch in batches:
+            rows = []
+            for key, doc_id, start, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                _, first, last = word_bounds(data)
+                for b in range(start // block, (start + size - 1) // block + 1):
+                    lo, hi = max(b * block - start, 0), min((b + 1) * block - start, size)
+                    rows.append((key, b, doc_id, start, size, lo, hi - lo, data[first[lo] : last[hi - 1]].decode()))
+            kinds = [pa.string(), pa.int64(), batch.column(1).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            names = ["source_key", "block", "doc_id", "start", "size", "word", "words", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    return pieces
+
+
+def _blocks(docs: DataFrame, packed: DataFrame, sources: DataFrame, seed: int, block: int) -> DataFrame:
+    """``(source_key, slot, shard, block, parts)``: the drawn blocks with their text, as parts by document in order."""
+    # texts and places meet in one grouping, so that texts shuffle once; repeated rows have one text and a place each
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("text is not null").select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), F.xxhash64("text").alias("tie"), "text", F.lit(None).cast("struct<start:long,size:long>").alias("at"))
+    places = packed.where("size > 0").select("doc_id", "source_key", "tie", F.lit(None).cast("string").alias("text"), F.struct("start", "size").alias("at"))
+    both = texts.union(places).groupBy("doc_id", "source_key", "tie").agg(F.first("text", ignorenulls=True).alias("text"), F.collect_list("at").alias("places"))
+    placed = both.select("source_key", "doc_id", F.explode("places").alias("at"), "text").select("source_key", "doc_id", "at.start", "at.size", "text")
+    pieces = placed.mapInArrow(_pieces(block), f"source_key string, block long, doc_id {kind}, start long, size long, word long, words long, text string")
+    parts = F.sort_array(F.collect_list(F.struct("start", "doc_id", "size", "word", "words", "text"))).alias("parts")
+    return draw_blocks(sources, seed, block).join(pieces.groupBy("source_key", "block").agg(parts), ["source_key", "block"]).select("source_key", "slot", "shard", "block", "parts")
+
+
+def mixed_blocks(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """``(shard, source, slot, block, n_words, text, parts)``: the mix of ``docs(doc_id, text, source)``, a row for each block drawn.
+
+    A block has ``block`` words of its source's stream, the last one fewer. ``parts`` are its texts by document, as written
+    there: the document's place in the stream (``start``), ``doc_id``, ``size``, the first ``word`` in the document, ``words``
+    and ``text``; the row's ``text`` has an empty line between documents. A null source is a source of its own.
+    """
+    packed, sources = pack(docs.select("doc_id", "text", "source"))
+    rows = _blocks(docs, cut(packed), cut(targets(sources, weights, share)), seed, block)
+    source = F.when(F.col("source_key") != "", F.expr("substring(source_key, 2)"))
+    n = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return rows.select("shard", source.alias("source"), "slot", "block", n.alias("n_words"), F.array_join("parts.text", "\n\n").alias("text"), "parts")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` of each row of ``docs(doc_id, text, source)``.
+    """``(doc_id, source, size, source_size, target, taken, pieces)`` of each row of ``docs(doc_id, text, source)``.
 
     ``size`` counts the runs of non-space characters of the whole text, 0 for a null text; ``taken`` is how many words of
-    the document the mix has, repeats counted, at most twice its size. A null source is a source of its own. Repeated rows are
+    the document the mix has, repeats counted, at most twice its size. ``pieces`` are
+    these words as the mix has them: ``shard``, ``slot``, first ``word`` in the document, and ``text``; both come from the rows of the mixed blocks. A null source is a source of its own. Repeated rows are
     packed one after the other. The same rows give the same result, however they are partitioned.
     """
-    docs, sources = pack(docs.select("doc_id", "text", "source"))
+    texts = docs.select("doc_id", "text", "source")
+    docs, sources = pack(texts)
     sources = cut(targets(sources, weights, share))
     docs = cut(docs)
-    used = draw_blocks(sources, seed, block).groupBy("source_key", "block").agg(F.count("*").alias("times"))
-    pieces = docs.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.withColumn("words", inside).join(used, ["source_key", "block"]).groupBy("source_key", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    taken = taken.select(F.col("source_key").alias("k"), F.col("start").alias("s"), F.col("size").alias("z"), "taken")
+    mixed = _blocks(texts, docs, sources, seed, block).select("source_key", "shard", "slot", F.explode("parts").alias("p")).select("source_key", "shard", "slot", "p.*")
+    pieces = F.sort_array(F.collect_list(F.struct("shard", "slot", "word", "text"))).alias("pieces")
+    taken = mixed.groupBy("source_key", "start", "size").agg(F.sum("words").alias("taken"), pieces)
+    taken = taken.select(F.col("source_key").alias("k"), F.col("start").alias("s"), F.col("size").alias("z"), "taken", "pieces")
     rows = docs.join(taken, (F.col("source_key") == F.col("k")) & (F.col("start") == F.col("s")) & (F.col("size") == F.col("z")), "left")
     table = sources.select(F.col("source_key").alias("q"), "source_size", "target")
     table = F.broadcast(table) if table.limit(100_001).count() <= 100_000 else table
-    return rows.join(table, F.col("source_key") == F.col("q")).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(table, F.col("source_key") == F.col("q")).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.array()).alias("pieces"))

@@ -18,7 +18,7 @@ from docdigest.llm.html_text import Page, extract_text
 from docdigest.llm.jaccard_join import jaccard_components, one_of_each
 from docdigest.llm.language_id import fit_prototypes, keep_known, learnable, predict_language
 from docdigest.llm.licenses import rules, scan_licenses
-from docdigest.llm.mixing import mix, permute
+from docdigest.llm.mixing import mix, mixed_blocks, permute
 from docdigest.llm.near_vectors import near_vectors
 from docdigest.llm.substring_dedup import chunk_ends, drop_repeats, repeated_spans
 from docdigest.llm.url_filter import judge
@@ -367,6 +367,27 @@ def test_mixing_edges(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixed_blocks_have_the_words(spark):
+    rows = [(r[0], r[1], r[3]) for r in edge_texts()] + [(i, f"a{i} \n b{i}\tc{i}", "s") for i in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, counted = mixed_blocks(docs).collect(), mix(docs).collect()
+    texts = {(i, s): t for i, t, s in rows}
+    drawn = {}
+    for m in mixed:
+        assert m.text == "\n\n".join(p.text for p in m.parts) and m.n_words == len(SPACED.findall(m.text)) <= 64
+        for p in m.parts:
+            words = SPACED.findall(texts[p.doc_id, m.source])
+            assert p.size == len(words) and SPACED.findall(p.text) == words[p.word : p.word + p.words] and p.text in texts[p.doc_id, m.source]
+            drawn.setdefault((p.doc_id, m.source), []).append((m.shard, m.slot, p.word, p.text))
+    assert len({(m.source, m.slot) for m in mixed}) == len(mixed)
+    assert sum(m.n_words for m in mixed) == sum(r.taken for r in counted) > 0
+    assert all(r.taken == sum(len(SPACED.findall(p.text)) for p in r.pieces) for r in counted)
+    found = {}
+    for r in counted:
+        found.setdefault((r.doc_id, r.source), []).extend(tuple(p) for p in r.pieces)
+    assert {k: sorted(v) for k, v in found.items() if v} == {k: sorted(v) for k, v in drawn.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
