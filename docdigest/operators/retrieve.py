@@ -27,8 +27,13 @@ def retrieve_topk(questions: DataFrame, vectors: DataFrame, k: int = 3) -> DataF
     return _ranked(scored, k, "sent_idx").select("question_id", "doc_key", "rank", "sent_idx", "sentence", "score")
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Each row's sum, added in order: equal rows have equal sums, wherever they stand."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 def retrieve_topk_corpus(questions: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """``(question_id, rank, doc_key, sent_idx, score)`` over all documents. Questions are scored in blocks of bounded size, each against every vector once."""
+    """``(question_id, rank, doc_key, sent_idx, score)`` over all documents. Questions are scored in blocks of bounded size, each against every vector once; of equal scores, the first by document and sentence."""
     q = questions.where("trim(question) != ''").select("question_id", "embedding")
     n = q.count()
     blocks = -(-n // QUESTIONS) or 1
@@ -37,16 +42,27 @@ def retrieve_topk_corpus(questions: DataFrame, vectors: DataFrame, k: int = 3) -
         rows = q.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).collect()
         ids = np.array([r.question_id for r in rows], np.int64)
         m = np.array([r.embedding for r in rows], float).reshape(len(rows), -1)
-        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-8
+        sizes = _sums(m * m) ** 0.5 + 1e-8
 
-        def score(batches, ids=ids, m=m):
+        def score(batches, ids=ids, m=m, sizes=sizes):
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
+                pdf = pdf.sort_values(["doc_key", "sent_idx"], na_position="first", kind="stable")
                 x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-                s = m @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)).T
-                best = np.argsort(-s, axis=1, kind="stable")[:, : k * 4]
-                yield pd.DataFrame({"question_id": np.repeat(ids, best.shape[1]), "doc_key": pdf["doc_key"].to_numpy()[best.ravel()], "sent_idx": pdf["sent_idx"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+                size = _sums(x * x) ** 0.5 + 1e-8
+                s = (m / sizes[:, None]) @ (x / size[:, None]).T
+                s[np.isnan(s)] = np.inf
+                last = min(k, len(x)) - 1
+                least = -np.partition(-s, last, axis=1)[:, last] - 1e-9
+                found = []
+                for i, row in enumerate(s):  # all that may be among the k best; a product's rounding depends on its place, so these are summed anew
+                    near = np.flatnonzero(row >= least[i])
+                    exact = _sums(x[near] * m[i]) / (sizes[i] * size[near])
+                    best = np.argsort(-np.where(np.isnan(exact), np.inf, exact), kind="stable")[:k]
+                    at = near[best]
+                    found.append(pd.DataFrame({"question_id": ids[i], "doc_key": pdf["doc_key"].to_numpy()[at], "sent_idx": pdf["sent_idx"].to_numpy()[at], "score": exact[best]}))
+                yield pd.concat(found)
 
         part = vectors.select("doc_key", "sent_idx", "embedding").mapInPandas(score, "question_id long, doc_key string, sent_idx int, score double")
         out = part if out is None else out.union(part)

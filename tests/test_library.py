@@ -151,6 +151,17 @@ def test_pooling_and_retrieval(spark):
     assert retrieve.build_answer_prompts(retrieve.retrieve_topk(q, v), q, "go").first().prompt == "go\n- s0\n- s2\n- s1\nwhy"
 
 
+def test_corpus_retrieval_orders_ties(spark):
+    e = np.random.default_rng(1).normal(size=(2, 64)).tolist()
+    rows = [(f"d{i % 7}", 200 - i, e[i % 3 == 0]) for i in range(200)]
+    v = spark.createDataFrame(rows, "doc_key string, sent_idx int, embedding array<double>")
+    q = spark.createDataFrame([(i, "why", x) for i, x in enumerate(e)], "question_id long, question string, embedding array<double>")
+    want = {i: sorted((d, n) for d, n, x in rows if x is e[i])[:3] for i in range(2)}
+    for parts in (1, 3):
+        got = retrieve.retrieve_topk_corpus(q, v.coalesce(1).repartition(parts)).orderBy("question_id", "rank").collect()
+        assert {i: [(r.doc_key, r.sent_idx) for r in got if r.question_id == i] for i in range(2)} == want
+
+
 def test_files(spark, tmp_path):
     for name, data in (("a.pdf", b"1"), ("b.pdf", b"1"), ("n" * 60 + ".txt", b"2")):
         (tmp_path / name).write_bytes(data)
