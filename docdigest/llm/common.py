@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts can be long, so batches hold few rows.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts can be long, so batches hold few rows.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Make Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Give memory that is free inside this worker back to the system, for the JVM and the worker's neighbours."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(work):
+    """A function from batches to batches that gives free memory back when its task ends. Workers outlive their tasks."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
 
 
 def cut(df: DataFrame) -> DataFrame:

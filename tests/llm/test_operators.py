@@ -13,7 +13,8 @@ import pytest
 from docdigest.llm import jaccard_join, queries
 from docdigest.llm.chat_format import describe_conversations, escape, format_conversations, unescape
 from docdigest.llm.components import connected_components
-from docdigest.llm.decontaminate import count_hits, find_windows
+from docdigest.llm.common import word_hashes
+from docdigest.llm.decontaminate import Benchmark, count_hits, drop_contaminated, find_windows, search
 from docdigest.llm.html_text import Page, extract_text
 from docdigest.llm.jaccard_join import jaccard_components, one_of_each
 from docdigest.llm.language_id import fit_prototypes, keep_known, learnable, predict_language
@@ -186,28 +187,59 @@ def test_licenses(spark):
 
 def hits(text, items):
     words, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
+    windows, longest = {}, 0
     for name, item in items:
         w = ALNUM.findall((item or "").translate(LOWER))
         n = min(10, len(w))
         for j in range(len(w) - n + 1 if w else 0):
-            for i in range(len(words) - n + 1):
-                if words[i : i + n] == w[j : j + n]:
-                    hit.update(range(i, i + n))
-                    found.add(str(name) if name is not None else "null")
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+            windows.setdefault(tuple(w[j : j + n]), []).append((str(name) if name is not None else "null", w, j))
+    for n in {len(k) for k in windows}:
+        for i in range(len(words) - n + 1):
+            seen = set()
+            for name, w, j in windows.get(tuple(words[i : i + n]), ()):
+                hit.update(range(i, i + n))
+                found.add(name)
+                if (rest := tuple(w[j:])) not in seen:
+                    seen.add(rest)
+                    longest = max(longest, next((k for k, (a, b) in enumerate(zip(rest, words[i : i + len(rest)], strict=False)) if a != b), min(len(rest), len(words) - i)))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest
 
 
 def test_decontamination(spark, monkeypatch):
-    items = [(r["item_id"], r["text"]) for r in table("benchmark")] + [(900, "w1 w4 w9"), (901, None), (902, " . "), (None, "one two")]
+    items = [(r["item_id"], r["text"]) for r in table("benchmark")] + [(900, "w1 w4 w9"), (901, None), (902, " . "), (None, "one two"), (903, "re " * 60), (904, " ".join(f"w{i * i % 977}" for i in range(100, 300))), (905, "re " * 30 + "x"), (903, "other words of the same item")]
     first = items[0][1]
-    rows = [(r["doc_id"], r["text"], "h") for r in table("documents")][:60] + [(r[0], r[1], "h") for r in edge_texts() if r[0] != 11] + [(500, f"x {first} y {first}", "h"), (501, first[:40], "h")]
+    rows = [(r["doc_id"], r["text"], "h") for r in table("documents")] + [(r[0], r[1], "h") for r in edge_texts()] + [(500, f"x {first} y {first}", "h"), (501, first[:40], "h"), (502, "re " * 5000 + "x " + "re " * 29, "h")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, hits string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(str(i), *hits(t, items)) for i, t, _ in rows])
-    for most in (100_000, 300):
+    for most, part in ((100_000, 1 << 15), (300, 50)):
         monkeypatch.setattr("docdigest.llm.decontaminate.ITEM_WORDS", most)
+        monkeypatch.setattr("docdigest.llm.decontaminate.PART", part)
         got = count_hits(find_windows(docs, bench)).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest) for r in got) == want
+    assert max(w[-1] for w in want) >= 200
     assert count_hits(find_windows(docs, bench.limit(0))).where("contaminated").count() == 0
+    assert find_windows(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_keeps_columns_of_its_names(spark):
+    names = ("row", "found", "n_words", "hits", "items", "longest", "before")
+    docs = spark.createDataFrame([(1, "a b c", *range(7)), (2, "free text", *range(7))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "free text", *range(7))]
+    assert find_windows(docs, bench).where("doc_id = 1").first().n_words == 3
+
+
+def test_decontamination_memory():
+    import tracemalloc
+
+    bench = Benchmark([("a", word_hashes(b"w " * 60)), ("b", word_hashes(b"w " * 300))])
+    ids = np.ones(33_000, np.int64)
+    tracemalloc.start()
+    pos, group, length = search(bench, ids)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert len(set(pos.tolist())) == 33_000 - 9 and length.max() == 300
 
 
 def test_near_vectors(spark):
