@@ -60,13 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a narrow table (ids and numbers) that may be broadcast: about 20 MB at most.
-BROADCAST_ROWS = 200_000
+#: Rows of a narrow table that may be broadcast, and bytes of its strings: about 20 MB at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A narrow table that was cut, marked for broadcast if it has few rows; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, *strings: str) -> DataFrame:
+    """A narrow table that was cut, marked for broadcast if it has few rows and short ``strings``; else as it is, and the join shuffles."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0)).cast("long")
+    n, held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 _ODD = 0x9E3779B97F4A7C15

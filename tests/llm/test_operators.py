@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from docdigest.llm.chat_format import describe_conversations, escape, format_con
 from docdigest.llm.components import connected_components
 from docdigest.llm.common import word_hashes
 from docdigest.llm.decontaminate import Benchmark, count_hits, drop_contaminated, find_windows, search
-from docdigest.llm.html_text import Page, extract_text
+from docdigest.llm.html_text import Page, extract_text, host_paths
 from docdigest.llm.jaccard_join import jaccard_components, one_of_each
 from docdigest.llm.language_id import fit_prototypes, keep_known, learnable, predict_language
 from docdigest.llm.licenses import rules, scan_licenses
@@ -352,11 +353,50 @@ def test_html(spark):
 
 def test_html_edges(spark):
     page = "<nav>menu</nav><div class='main-content'><h2>T &amp;amp; x</h2><p>one<br>two  <b>three</b><div class=ads>buy</div><script>1<2</script><!-- c --><ul><li>a<li>b</ul><div id='comments'>bad</div></div><footer>f</footer>"
-    rows = [(1, "http://h/1", page), (2, None, None), (3, "x", ""), (4, "http://h/2", "plain &lt;text"), (5, "http://h/3", "<div class='main-content'>cut &am"), (6, "http://h/4", "<p" * 50_000), (1, "http://h/1", page)]
-    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    rows = [(1, "http://h/1", page, 1, "k"), (2, None, None, 1, "k"), (3, "x", "", 1, "k"), (4, "http://h/2", "plain &lt;text", 1, "k"), (5, "http://h/3", "<div class='main-content'>cut &am", 1, "k"), (6, "http://h/4", "<p" * 50_000, 1, "k"), (1, "http://h/1", page, 1, "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int, __key string")
+    got = extract_text(pages).collect()
     assert sorted((r.page_id, r.text) for r in got)[:2] == [(1, "T &amp; x\n\none two three\n\na\n\nb")] * 2
     assert {r.page_id: r.text for r in got if r.page_id != 1} == {2: "", 3: "", 4: "plain <text", 5: "cut &am", 6: ""}
-    assert Page("<p>x").scores()
+    assert extract_text(pages.limit(0)).count() == 0
+
+
+LONG = "Plain words of the main text, again and again. " * 12
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article><h1>Title</h1><div class='entry'><p>{}</p></div></article>", "Title|{}"),
+        ("<div><div class=title><h1>Title</h1></div><div class=body>{}</div></div>", "Title|{}"),
+        ("<section class=a><p>{}</p></section><section class=b><p>{} {}</p></section>", "{}|{} {}"),
+        ("<article><p>{}</p><table><tr><td>{} {}<td>x</table></article>", "{}|{} {}|x"),
+        ("<article><h2 id='related-work'>Related</h2><p class='share-price'>{}</p><p title='hidden gem'>seen</p></article>", "Related|{}|seen"),
+        ("<body><div id=wrap><div class='cookie-banner'>no</div><div class='post'><h1>T</h1><p>{}</div><div>stray</div></div>", "T|{}"),
+        ("<main><article><p>{}</p><ul class='comment-list'><li>no</ul></article><div class='sidebar left'>no</div></main>", "{}"),
+        ("<article><header><h1>T</h1></header><p>{}</p><p class=ad>no</p></article><header>no</header>", "T|{}"),
+        ("<div>" * 100_000 + "{}", "{}"),
+        ("<article>" + "<p class='a>b" * 20_000 + "<p>{}</article>", None),
+        ("<b>" * 50_000 + "<hr>" * 50_000 + "{}", "{}"),
+        ("<div>" * 50_000 + "</p>" * 50_000 + "{}", "{}"),
+        ("<script>if (a<b) '</p>'</script><article>{}</article>", "{}"),
+    ],
+)
+def test_html_keeps_the_article(source, want):
+    began = time.time()
+    page = Page(source.replace("{}", LONG.strip()))
+    text = page.text(page.key[page.best()])
+    assert time.time() - began < 20
+    assert text is not None and (want is None or text == want.replace("{}", LONG.strip()).replace("|", "\n\n"))
+
+
+def test_html_host_votes(spark):
+    usual, odd = f"<article><p>{LONG}</p></article>", f"<article><p>{LONG}</p></article><div><p>{LONG[:200]}</p></div>"
+    rows = [(i, "http://a/x", usual) for i in range(5)] + [(9, "http://a/y", odd), (10, "http://b/y", odd), (11, "http://a/z", f"<div>{LONG}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert got[9] == got[0] == LONG.strip() == got[11] and got[10].count("\n\n") == 1
+    assert {r.host: (r.path, r.votes) for r in host_paths(pages).collect()} == {"a": ("/article", 6 - 1), "b": ("/", 1)}
 
 
 def test_permutation():
