@@ -7,10 +7,12 @@ import re
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docdigest.llm.common import lean
+
 # The template's control strings. Each is one token, so no token crosses the edge of a turn's text.
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Where the tokenizer file is by default.
@@ -74,9 +76,8 @@ def _sorted(rows: DataFrame) -> DataFrame:
 def _parts(batches):
     """(conv_id, turns, whether the conversation is over) of rows sorted by conversation and turn."""
     key, turns, size, any_row = None, [], 0, False
-    for pdf in batches:
-        for conv_id, role, text in zip(pdf["conv_id"].tolist(), pdf["role"].tolist(), pdf["text"].tolist(), strict=True):
-            conv_id = None if conv_id is None or conv_id != conv_id else int(conv_id)
+    for batch in batches:
+        for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if any_row and conv_id != key:
                 yield key, turns, True
                 turns, size = [], 0
@@ -98,14 +99,18 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     """
     model = Path(tokenizer).read_text()
 
+    kinds = {"conv_id": pa.int64(), "part": pa.int32(), "input_ids": pa.list_(pa.int32()), "loss_mask": pa.list_(pa.int32())}
+
+    @lean
     def encode(batches):
         tok, part = load_tokenizer(model), 0
         for key, turns, over in _parts(batches):
             ids, mask, _ = _encode(tok, turns)
-            yield pd.DataFrame({"conv_id": pd.array([key], "Int64"), "part": [part], "input_ids": [list(ids)], "loss_mask": [(mask >= 0).astype(int).tolist()]})
+            row = (key, part, ids, (mask >= 0).astype(int).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds.values(), strict=True)], list(kinds))
             part = 0 if over else part + 1
 
-    return _sorted(rows).mapInPandas(encode, "conv_id long, part int, input_ids array<int>, loss_mask array<int>")
+    return _sorted(rows).mapInArrow(encode, "conv_id long, part int, input_ids array<int>, loss_mask array<int>")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -120,6 +125,7 @@ def describe_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataF
     """
     model = Path(tokenizer).read_text()
 
+    @lean
     def describe(batches):
         tok = load_tokenizer(model)
         out, fresh = [], True
@@ -147,9 +153,9 @@ def describe_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataF
         if out:
             yield _frame(out)
 
-    return _sorted(rows).mapInPandas(describe, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted(rows).mapInArrow(describe, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-    return out.astype({"conv_id": "Int64"})
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))

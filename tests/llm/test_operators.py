@@ -340,6 +340,20 @@ def test_chat_edges(spark, monkeypatch):
         got = describe_conversations(df).collect()
         assert len(got) == 2 and all((r.n_turns, r.loss_chars, r.loss_sha256) == (33, len(loss), hashlib.sha256(loss.encode()).hexdigest()) for r in got)
     assert format_conversations(df.where("conv_id = 1")).count() > 1
+    assert describe_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_ids_ties_and_other_columns(spark):
+    big = 2**53
+    rows = [(big, 0, "user", "a", 1), (big + 1, 0, "user", "b", 1), (None, 0, "user", "c", 1), (big, 0, "user", "a", 1), (big, 0, "assistant", "z" * 400_000, 1), (7, None, "user", "first", 1), (7, 0, "user", "second", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int").coalesce(1)
+    got = {r.conv_id: r for r in describe_conversations(df).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {big: 3, big + 1: 1, None: 1, 7: 2}
+    said = "assistant\n" + "z" * 400_000 + "\n" + "user\na\n" * 2
+    assert got[big].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[big].loss_chars == 400_000
+    assert got[7].turns_sha256 == hashlib.sha256(b"user\nfirst\nuser\nsecond\n").hexdigest()
+    masks = {r.conv_id: r for r in format_conversations(df).collect()}
+    assert sum(masks[big].loss_mask) > 0 == sum(masks[big + 1].loss_mask) and len(masks[big].input_ids) == len(masks[big].loss_mask)
 
 
 def test_html(spark):
