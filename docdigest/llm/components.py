@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdigest.llm.common import cut
+from docdigest.llm.common import cut, lean
 
 #: Edges that one local contraction holds in memory at once.
 LOCAL_EDGES = 200_000
@@ -42,28 +42,30 @@ class Forest:
         return True
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), LOCAL_EDGES):
-            part = pdf.iloc[at : at + LOCAL_EDGES]
+@lean
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, LOCAL_EDGES):
+            part = batch.slice(at, LOCAL_EDGES)
             forest = Forest()
-            for hi, lo in zip(part["hi"].tolist(), part["lo"].tolist(), strict=True):
+            for hi, lo in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 forest.link(hi, lo)
             nodes = list(forest.parent)
-            yield pd.DataFrame({"hi": nodes, "lo": [forest.find(x) for x in nodes]}, dtype="int64")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["hi", "lo"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: bool = False, thinned: bool = False) -> DataFrame:
     """The ``(node, component)`` rows of every node that is not the smallest of its component; ``component`` is the smallest node.
 
     Alternates large-star and small-star steps over edges that point to a smaller node, until only stars are left: every step
     takes minima by node, which are pre-aggregated before they shuffle, and joins them back. The minima are written before
     the join, so both of its sides are shuffled and Spark can split a hub's partition. With ``native`` no Python runs on
-    executors; else each batch of edges is first thinned to a spanning forest. Nulls and self-loops are ignored.
+    executors; else each batch of edges is first thinned to a spanning forest, but for edges that come ``thinned``. Nulls and self-loops are ignored.
     """
     a, b = F.col(a), F.col(b)
     e = edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    e = e.distinct() if native else e.mapInPandas(_contract, _EDGE).distinct().mapInPandas(_contract, _EDGE)
+    e = (e if native or thinned else e.mapInArrow(_contract, _EDGE)).distinct()
+    e = e if native else e.mapInArrow(_contract, _EDGE)
     e = cut(e)
     while not _is_stars(e):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
@@ -73,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: b
         low = cut(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n"))
         joined = large.join(low, F.col("hi") == F.col("n"))
         e = joined.select("hi", F.col("m").alias("lo")).union(joined.where("lo != m").select("lo", "m")).distinct()
-        e = cut(e if native else e.mapInPandas(_contract, _EDGE).distinct())
+        e = cut(e if native else e.mapInArrow(_contract, _EDGE).distinct())
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 

@@ -117,7 +117,7 @@ def test_jaccard_edges(spark):
 
 
 def test_jaccard_large_families(spark, monkeypatch):
-    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("CHUNK", 4), ("COMMON", 6)):
+    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("CHUNK", 4), ("COMMON", 6), ("DEALT", 900), ("PAIRS", 50), ("PER_BUCKET", 2000)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(11)
     base = [f"v{i}" for i in rng.integers(0, 500, 200)]
@@ -130,6 +130,30 @@ def test_jaccard_large_families(spark, monkeypatch):
     check_jaccard(spark, rows)
 
 
+@pytest.mark.parametrize("members", [48, 128])
+def test_jaccard_candidates_in_bounded_memory(members):
+    """10,000 shingles that many sets share: pairs are counted and tied without holding all of their places at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 10_000
+    sets = np.arange(2 * members, dtype=np.int64).reshape(-1, 2)
+    rows = [[7] * members, [np.arange(n, dtype=np.uint64).tobytes()] * members, [np.repeat(s[None], n, 0).tobytes() for s in sets], [np.full(n, n, np.int32).tobytes()] * members, [b""] * members]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], jaccard_join._DEALT)
+    tracemalloc.start()
+    found = list(jaccard_join._candidates([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    shared = {}
+    for r in (r for b in found for r in b.to_pylist()):
+        shared[(r["a1"], r["b1"])] = None if r["shared"] is None else shared.get((r["a1"], r["b1"]), 0) + r["shared"]
+    if members <= jaccard_join.PAIRED:
+        assert len(shared) == members * (members - 1) // 2 and set(shared.values()) == {n}
+    else:
+        assert len(shared) == members - 1 and set(shared.values()) == {None}
+
+
 def test_jaccard_small_table(spark):
     rows = [(r["doc_id"], r["text"], 0, 0, 0) for r in table("documents")]
     check_jaccard(spark, rows)
