@@ -162,19 +162,55 @@ def test_jaccard_small_table(spark):
 def test_substring_passages(spark):
     rng = np.random.default_rng(2)
     fresh = lambda n: " ".join(f"q{x}" for x in rng.integers(0, 10**9, n))
-    passage, whole = fresh(51), []
-    for i in range(60):
-        whole.append((i, f"{fresh(30 + i)} {passage if i % 3 == 0 else ''} {fresh(40)}", None, None, None))
-    whole += [(100, None, None, None, None), (101, "", None, None, None), (None, passage, None, None, None), (102, fresh(30_000), None, None, None)]
-    docs = spark.createDataFrame(whole, DOCS)
-    found = repeated_spans(docs).collect()
-    assert {r.doc_id for r in found} == {i for i in range(3, 60, 3)} and {r.first_doc_id for r in found} == {0}
-    for r in found:
-        assert whole[r.doc_id][1][r.start : r.end] in passage and r.n_words >= 20
+    passages = [fresh(51) for _ in range(40)]
+    whole = [(i, f"{fresh(30 + i % 7)} {passages[i % 40]} {fresh(40)}", None, None, None) for i in range(80)]
+    whole += [(100, None, None, None, None), (101, "", None, None, None), (None, passages[0], None, None, None), (102, fresh(30_000), None, None, None), (103, fresh(60), None, None, None)]
+    docs = spark.createDataFrame([*whole, whole[-1], whole[41]], DOCS)
+    found = {(r.doc_id, whole[r.doc_id][1][r.start : r.end], r.n_words, r.first_doc_id) for r in repeated_spans(docs).collect()}
+    want = {(i, passages[i % 40], 51, i - 40) for i in range(40, 80)}
+    assert len(found & want) >= 39 and len(found) == 40 and {r[0] for r in found} == set(range(40, 80))
     kept = {r.doc_id: r.text for r in drop_repeats(docs).collect()}
-    assert all(kept[i] == whole[i][1] for i in range(60) if i % 3 or i == 0) and kept[102] == whole[-1][1]
-    assert all(len(kept[i].split()) <= 70 + i + 31 for i in range(3, 60, 3))
-    assert drop_repeats(docs.limit(0)).count() == 0
+    assert all(kept[i] == whole[i][1] for i in range(40)) and kept[102] == whole[-2][1] and kept[103] == whole[-1][1]
+    assert sum(len(kept[i].split()) == 70 + i % 7 for i in range(40, 80)) >= 39
+    assert drop_repeats(docs.limit(0)).count() == 0 and repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_substring_finds_what_repeats(spark):
+    """Nearly all words of runs of 50 that occur before are found, and what is found occurs before."""
+    rows = sorted((r["doc_id"], r["text"]) for r in table("documents") if r["text"])
+    spans = {}
+    for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    seen, short, must, caught, inside, known = set(), set(), 0, 0, 0, 0
+    for doc_id, text in rows:
+        at = [(m.start(), m.end()) for m in SPACED.finditer(text)]
+        words = [text[a:b] for a, b in at]
+        own, old, few = {}, set(), set()
+        for i in range(len(words)):
+            run, five = tuple(words[i : i + 50]), tuple(words[i : i + 5])
+            if len(run) == 50 and (run in seen or own.get(run, i) + 50 <= i):
+                old.update(range(i, i + 50))
+            if five in short or five in own:
+                few.update(range(i, i + 5))
+            own.setdefault(run, i)
+            own.setdefault(five, i)
+        covered = {i for i, (a, b) in enumerate(at) if any(s <= a and b <= e for s, e in spans.get(doc_id, ()))}
+        must, caught = must + len(old), caught + len(old & covered)
+        inside, known = inside + len(covered), known + len(covered & few)
+        seen |= {r for r in own if len(r) == 50}
+        short |= {r for r in own if len(r) == 5}
+    assert must > 1000 and caught >= 0.98 * must and known >= 0.98 * inside
+
+
+def test_substring_without_spaces(spark):
+    rng = np.random.default_rng(8)
+    text = "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA0, 2000))
+    other = "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA0, 2000))
+    docs = spark.createDataFrame([(1, text), (2, other[:700] + text[300:1700] + other[700:]), (3, other), (4, text)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.start, r.end) for r in repeated_spans(docs).collect())
+    assert found[0] == (2, 700, 2100) and found[-1] == (4, 0, 2000)
+    kept = {r.doc_id: r.text for r in drop_repeats(docs).collect()}
+    assert kept[1] == text and kept[2] == other and 4 not in kept
 
 
 def test_substring_copies_of_edited_copies(spark):
