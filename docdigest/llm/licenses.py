@@ -1,122 +1,30 @@
-"""License scans: ordered signature rules behind keyword gates, with overlaps resolved by priority and containment."""
+"""License scans: ordered signature rules behind keyword gates, with overlaps resolved by priority, then by containment and length."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docdigest.llm.common import word_bounds
+from docdigest.llm.common import lean, word_bounds
+from docdigest.llm.license_rules import ABBREVIATIONS, TIERS
 
 # The phrases of the base labels, and what they are called.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# License families as (label, keyword, name pattern, version pattern or None). Patterns see lower-cased text;
-# a blank stands for any run of characters between words.
-FAMILIES = [
-    ("apache", "apache", "apache(?: software)?", r"(?:1\.0|1\.1|2\.0|2)"),
-    ("mit", "mit", "mit", None),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd)", None),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)", None),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd)", None),
-    ("bsd", "bsd", "bsd", None),
-    ("0bsd", "bsd", "(?:0bsd|zero clause bsd)", None),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", r"(?:2\.1|3\.0|3)"),
-    ("lgpl", "library general", "(?:gnu )?library general public", r"(?:2\.0|2)"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", r"(?:2\.1|2\.0|3\.0|2|3)"),
-    ("agpl", "affero", "(?:gnu )?affero general public", r"(?:3\.0|1\.0|3|1)"),
-    ("agpl", "agpl", "(?:gnu )?agpl", r"(?:3\.0|1\.0|3|1)"),
-    ("gpl", "general public", "(?:gnu )?general public", r"(?:1\.0|2\.0|3\.0|1|2|3)"),
-    ("gpl", "gpl", "(?:gnu )?gpl", r"(?:1\.0|2\.0|3\.0|1|2|3)"),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation", r"(?:1\.1|1\.2|1\.3)"),
-    ("mpl", "mozilla", "mozilla public", r"(?:1\.0|1\.1|2\.0|2)"),
-    ("epl", "eclipse", "eclipse public", r"(?:1\.0|2\.0)"),
-    ("edl", "eclipse", "eclipse distribution", r"1\.0"),
-    ("cddl", "common development", "common development and distribution", r"(?:1\.0|1\.1)"),
-    ("cpl", "common public", "common public", r"1\.0"),
-    ("eupl", "european union public", "european union public", r"(?:1\.1|1\.2)"),
-    ("osl", "open software", "open software", r"(?:1\.0|2\.0|2\.1|3\.0)"),
-    ("afl", "academic free", "academic free", r"(?:1\.1|1\.2|2\.0|2\.1|3\.0)"),
-    ("artistic", "artistic", "(?:clarified )?artistic", r"(?:1\.0|2\.0)"),
-    ("bsl", "boost", "boost software", r"1\.0"),
-    ("busl", "business source", "business source", r"1\.1"),
-    ("isc", "isc", "(?:isc|internet systems consortium)", None),
-    ("zlib", "zlib", "(?:zlib(?: libpng)?)", None),
-    ("libpng", "libpng", "libpng", r"2\.0"),
-    ("unlicense", "unlicense", "unlicense", None),
-    ("wtfpl", "what the fuck", "do what the fuck you want to public", r"2"),
-    ("python", "python", "(?:python software foundation|python)", r"2(?:\.0)?"),
-    ("php", "php", "php", r"3\.0[01]?"),
-    ("ruby", "ruby", "ruby", None),
-    ("perl", "perl", "perl 5", None),
-    ("ncsa", "illinois", "university of illinois(?: ncsa)?(?: open source)?", None),
-    ("postgresql", "postgresql", "postgresql", None),
-    ("openssl", "openssl", "openssl", None),
-    ("ms-pl", "microsoft", "microsoft public", None),
-    ("ms-rl", "microsoft", "microsoft reciprocal", None),
-    ("ofl", "sil open font", "sil open font", r"1\.[01]"),
-    ("odbl", "open database", "open (?:data commons open )?database", r"1\.0"),
-    ("odc-by", "open data commons", "open data commons attribution", r"1\.0"),
-    ("pddl", "public domain dedication", "public domain dedication and", r"1\.0"),
-    ("upl", "universal permissive", "universal permissive", r"1\.0"),
-    ("vim", "vim", "vim", None),
-    ("x11", "x11", "x11", None),
-    ("w3c", "w3c", "w3c software", None),
-    ("zpl", "zope", "zope public", r"(?:1\.1|2\.0|2\.1)"),
-    ("sspl", "server side public", "server side public", r"1(?:\.0)?"),
-    ("elastic", "elastic", "elastic", r"2\.0"),
-    ("qpl", "q public", "q public", r"1\.0"),
-    ("ipl", "ibm public", "ibm public", r"1\.0"),
-    ("apsl", "apple public source", "apple public source", r"(?:1\.[012]|2\.0)"),
-    ("cecill", "cecill", "cecill", r"(?:1\.0|1\.1|2\.0|2\.1)"),
-    ("openrail", "openrail", "(?:creativeml )?(?:bigscience )?openrail", None),
-    ("llama", "llama", "llama (?:2|3) community", None),
-]
-# How a name becomes a statement. {n} is the name, {v} an optional version.
-STATEMENTS = [
-    ("licen", "licen[sc]ed under (?:the |a |an )?(?:terms of (?:the )?)?{n}(?: licen[sc]e)?{v}", 0.95),
-    ("releas", "released under (?:the |a |an )?(?:terms of (?:the )?)?{n}(?: licen[sc]e)?{v}", 0.95),
-    ("distribut", "distributed under (?:the |a |an )?(?:terms of (?:the )?)?{n}(?: licen[sc]e)?{v}", 0.95),
-    ("licen", "(?:the )?{n} licen[sc]e{v}", 0.8),
-    ("spdx", "spdx licen[sc]e identifier {n}{v}", 1.0),
-]
-# Rules of their own, as (label, keyword, pattern, score).
-SINGLE = [
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4]\.0)?", 0.9),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4]\.0)?", 0.9),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4]\.0)?", 0.9),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4]\.0)?", 0.9),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4]\.0)?", 0.9),
-    ("cc-by", "cc", r"cc by(?: [1-4]\.0)?", 0.9),
-    ("cc0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", 0.9),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4]\.0)?", 0.95),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: [1-4]\.0)?", 0.95),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4]\.0)?", 0.95),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4]\.0)?", 0.95),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: [1-4]\.0)?", 0.95),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4]\.0)?", 0.95),
-    ("cc0", "creative commons", r"creative commons zero(?: 1\.0)?", 0.95),
-    ("cc", "creativecommons.org", r"creativecommons org licenses", 0.9),
-    ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 0.6),
-    ("copyright", "copyright", r"copyright (?:c )?[12][0-9]{3}", 0.5),
-    ("public-domain", "public domain", r"(?:dedicated to|released into|in|placed in) the public domain", 0.8),
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
-    ("isc", "permission to use", r"permission to use copy modify and(?: or)? distribute this software", 0.8),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 0.85),
-    ("proprietary", "proprietary", r"proprietary and confidential", 0.7),
-    ("proprietary", "reproduc", r"(?:may not be|no part of this \w+ may be) reproduced", 0.6),
-]
-
 
 class Rule(NamedTuple):
-    priority: int
+    tier: int
+    number: int
     label: str
-    keyword: str
-    pattern: re.Pattern
+    keywords: list[str]
     score: float
+    pattern: re.Pattern
+    example: str
 
 
 #: A character between words, and the edge of a word, in lower-cased text.
@@ -128,29 +36,35 @@ def _compiled(pattern: str) -> re.Pattern:
 
 
 def rules() -> list[Rule]:
-    """All signatures in order: single rules, then each family's statements. Earlier rules win among equal spans."""
-    out = [(label, word, pattern, score) for label, word, pattern, score in SINGLE]
-    for label, word, name, version in FAMILIES:
-        v = f"(?: (?:version |v)?{version})?" if version else ""
-        out += [(label, word, s.replace("{n}", name).replace("{v}", v), score) for _, s, score in STATEMENTS]
-    return [Rule(i, label, word, _compiled(pattern), score) for i, (label, word, pattern, score) in enumerate(out)]
+    """All signatures in order."""
+    out = []
+    for tier, lines in enumerate(TIERS):
+        for line in lines.strip().split("\n"):
+            label, keywords, score, pattern, example = line.split(" :: ")
+            for short, long in ABBREVIATIONS.items():
+                pattern = pattern.replace(short, long)
+            out.append(Rule(tier, len(out), label, keywords.split(" "), float(score), _compiled(pattern.replace(".", "\\.")), example))
+    return out
 
 
 def detections(text: str, signatures: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """Matches (start, end, rule) in a lower-cased text that no other match contains; of equal spans the earlier rule's stays."""
+    """Matches (start, end, rule) in a lower-cased text, in order, none of which overlap: of two that do, the one of the earlier tier stays, then the longer, then the one of the earlier rule."""
     found = []
     gates: dict[str, bool] = {}
     for rule in signatures:
-        if (gate := gates.get(rule.keyword)) is None:
-            gate = gates[rule.keyword] = all(w in text for w in rule.keyword.split(" "))
-        if gate:
+        for word in rule.keywords:
+            if word not in gates:
+                gates[word] = word in text
+            if not gates[word]:
+                break
+        else:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
-    found.sort(key=lambda x: (x[0], -x[1], x[2].priority))
-    out, reach = [], -1
+    found.sort(key=lambda x: (x[2].tier, x[0] - x[1], x[2].number, x[0]))
+    out: list[tuple[int, int, Rule]] = []
     for x in found:
-        if x[1] > reach:  # else the match before it contains it
-            out.append(x)
-            reach = x[1]
+        i = bisect_right(out, x[0], key=lambda y: y[0])
+        if (i == 0 or out[i - 1][1] <= x[0]) and (i == len(out) or out[i][0] >= x[1]):
+            out.insert(i, x)
     return out
 
 
@@ -164,11 +78,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ``n_base`` places where a base phrase's words stand one after the other, the ``first_word`` and ``last_word`` they start
     at (from 0, else null) and their ``base_labels``; ``labels`` of these and of all detections; ``score``, that of the surest
     detection or base phrase (0: none); the detections' ``spans`` in code points. Labels are sorted and joined by commas.
-    Null counts as empty. Texts are whole, one pass, no shuffle.
+    Null counts as empty; columns of these names are replaced. Texts are whole, one pass, no shuffle.
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     rest = [c for c in docs.columns if c not in (*names, "text")]
 
+    @lean
     def scan(batches):
         signatures = rules()
         base = [(phrase.split(" "), _compiled(phrase), label) for phrase, label in BASE.items()]
@@ -177,14 +92,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 text = (text or "").translate(_LOWER)
                 data = text.encode()
-                _, starts, _ = word_bounds(data, alnum=True)
+                a, starts, _ = word_bounds(data, alnum=True)
+                points = np.cumsum((a & 0xC0) != 0x80)[starts] - 1 if len(starts) else starts
                 places, base_labels = [], set()
                 for words, pattern, label in base:
                     if all(w in text for w in words):
-                        for m in pattern.finditer(text):
-                            places.append(len(text[: m.start()].encode()))
-                            base_labels.add(label)
-                at = np.searchsorted(starts, np.array(sorted(places), np.int64))
+                        mine = [m.start() for m in pattern.finditer(text)]
+                        places += mine
+                        base_labels |= {label} if mine else set()
+                at = np.searchsorted(points, np.array(sorted(places), np.int64))
                 found = detections(text, signatures)
                 labels = base_labels | {x[2].label for x in found}
                 score = max([0.9] * bool(base_labels) + [x[2].score for x in found], default=0.0)

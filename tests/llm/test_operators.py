@@ -19,7 +19,7 @@ from docdigest.llm.decontaminate import Benchmark, count_hits, drop_contaminated
 from docdigest.llm.html_text import Page, extract_text, host_paths
 from docdigest.llm.jaccard_join import jaccard_components, one_of_each
 from docdigest.llm.language_id import fit_prototypes, keep_known, learnable, predict_language
-from docdigest.llm.licenses import rules, scan_licenses
+from docdigest.llm.licenses import detections, rules, scan_licenses
 from docdigest.llm.mixing import mix, mixed_blocks, permute
 from docdigest.llm.near_vectors import near_vectors
 from docdigest.llm.substring_dedup import chunk_ends, drop_repeats, repeated_spans
@@ -230,7 +230,6 @@ def test_chunks_resist_insertions():
 
 
 def test_licenses(spark):
-    assert len(rules()) > 200
     texts = {1: "Licensed under CC BY-NC 4.0.", 2: "under the GNU General Public License, version 3. All rights reserved.", 3: None, 4: "", 5: "accby cc bye all rights preserved", 6: "é cc by cc-by CC\nBY", 7: "Released under the MIT License."}
     rows = [*texts.items(), *((r["doc_id"] + 100, r["text"]) for r in table("documents"))]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -246,6 +245,31 @@ def test_licenses(spark):
     assert got[1].labels == "cc-by,cc-by-nc" and got[7].labels == "mit" and got[2].labels == "gpl,reserved"
 
 
+def test_license_rules():
+    signatures = rules()
+    assert len(signatures) > 180 and len({r.pattern.pattern for r in signatures}) == len(signatures)
+    for r in signatures:  # each finds its statement, and alone decides on it
+        found = detections(f"x {r.example} y".translate(LOWER), signatures)
+        assert all(k in r.example.lower() for k in r.keywords), r
+        assert (r.label, r.number) in [(x[2].label, x[2].number) for x in found], (r.example, found)
+        assert all(b <= c for (_, b, _), (c, _, _) in itertools.pairwise(found))
+
+
+def test_license_priority_and_speed(spark):
+    signatures = rules()
+    labels = lambda text: [x[2].label for x in detections(text.lower(), signatures)]
+    assert labels("licensed under the gnu lesser general public license v3") == ["lgpl"]
+    assert labels("https://creativecommons.org/licenses/by-sa/3.0/ cc by-sa 3.0") == ["cc-by-sa", "cc-by-sa"]
+    assert labels("placed in the public domain") == ["public-domain"]
+    began = time.time()
+    text = "é all rights reserved " * 80_000
+    rows = [(1, text, 5), (1, text, 5), (2, "", 5), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels int")
+    got = scan_licenses(docs).collect()
+    assert time.time() - began < 30 and sorted((r.doc_id, r.n_base, r.first_word, r.last_word) for r in got)[:2] == [(1, 80_000, 1, 4 * 79_999 + 1)] * 2
+    assert scan_licenses(docs.limit(0)).count() == 0
+
+
 def hits(text, items):
     words, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
     windows, longest = {}, 0
