@@ -43,16 +43,53 @@ def _address(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^#]*)", 1))
 
 
+def _unescaped(c: Column) -> Column:
+    """Text with character references decoded: numbers, and the names of what stands in addresses."""
+    names = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%"}
+
+    def one(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]+);", 1)
+        digits = F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 6)).otherwise(F.conv(F.substring(name, 2, 7), 10, 16))
+        sign = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[name]
+        sign = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(sign)
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when(i == 0, part).when((name == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, rest))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), one), "")).otherwise(c)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` parts are resolved."""
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))).otherwise(F.concat(done, F.array(part)))
+    parts = F.split(path, "/")
+    whole = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.when(ends, F.concat(whole, F.lit("/"))).otherwise(whole)).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute address of a link's target on a page of the address ``base``; null for what is none, such as a place on the page."""
+    host, path = host_of(base), path_of(base)
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    here = F.concat(F.lit("http://"), host)
+    relative = F.when(own == "", F.when(rest.startswith("?"), F.concat(path, rest))).when(own.startswith("/"), F.concat(_without_dots(own), rest)).otherwise(F.concat(_without_dots(F.concat(folder, own)), rest))
+    return F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:") | (host == ""), None).otherwise(F.concat(here, relative))
+
+
 def links_of(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical links and immediate redirects (meta refresh); a target that starts with one slash is on the same host."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^<>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b[^<>]*\brel\s*=\s*["']?canonical\b"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b"""))
-    hrefs = F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^\s"'<>]+)""", 1))
+    """Absolute targets of a page's canonical links and redirects (meta refresh), resolved against its address or its ``base``; comments do not count."""
+    html = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta|base)\b[^<>]*>"), F.lit(0))
+    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b[^<>]*[\s"']rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""))
+    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b[^<>]*[\s"']http-equiv\s*=\s*["']?refresh\b"""))
+    href = lambda t: F.regexp_extract(t, r"""(?i)[\s"']href\s*=\s*["']?\s*([^\s"'<>]+)""", 1)
     targets = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^\s"'<>]+)""", 1))
-    both = F.transform(F.concat(hrefs, targets), lambda t: F.regexp_replace(t, "&amp;", "&"))
-    full = F.transform(both, lambda t: F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(F.lit("http://"), host_of(url), t)).otherwise(t))
-    return F.filter(full, lambda t: t.contains("://"))
+    first = F.get(F.filter(F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _unescaped(href(t))), lambda t: t != ""), F.lit(0))
+    base = F.coalesce(resolved(first, url), url)
+    both = F.transform(F.concat(F.transform(canonical, href), targets), _unescaped)
+    found = F.filter(F.transform(F.filter(both, lambda t: t != ""), lambda t: resolved(t, base)), lambda t: t.isNotNull())
+    return F.when(html.rlike("(?i)canonical|refresh"), found)
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -60,7 +97,8 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
 
     A URL's own rule decides. Without one, the URL is judged with its aliases: all that canonical links and redirects, those of
     the pages and those of ``redirects(source, target)``, connect it with. One alias that a rule allows makes it allowed;
-    else one that a rule blocks makes it blocked; else it is allowed. URLs are compared without scheme and fragment.
+    else one that a rule blocks makes it blocked; else it is allowed. URLs are compared without scheme and fragment; targets
+    may be relative, to the page or to its ``base``.
     Null URLs and such without ``://`` have empty hosts and paths, no rule and no alias. Only built-in functions run.
     """
     url = F.col("url").cast("string")
@@ -74,13 +112,11 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     rows = rows.withColumn("rule", rule).withColumn("own", verdict)
     if edges.isEmpty():  # no URL has an alias
         return rows.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
-    names = edges.select(F.col("a").alias("address")).union(edges.select("b")).distinct()
-    ids = cut(names.withColumn("id", F.xxhash64("address")))
-    pairs = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    of = connected_components(pairs, native=True)
+    names = cut(edges.select(F.col("a").alias("address")).union(edges.select("b")).distinct())
+    of = connected_components(edges, native=True)
     at = F.concat(F.lit("x://"), F.col("address"))
     _, decided = rule_for(host_of(at), path_of(at), rules)
-    judged = ids.join(of, F.col("id") == F.col("node"), "left").select("address", F.coalesce("component", "id").alias("group"), decided.alias("own"))
+    judged = names.join(of, F.col("address") == F.col("node"), "left").select("address", F.coalesce("component", "address").alias("group"), decided.alias("own"))
     groups = judged.groupBy("group").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     groups = cut(groups.where("blocked and not coalesce(allowed, false)").select("group"))
     blocked = cut(judged.join(groups, "group", "left_semi").select(F.col("address").alias("alias"), F.lit("block").alias("by_alias")))

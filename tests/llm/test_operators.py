@@ -23,7 +23,7 @@ from docdigest.llm.licenses import detections, rules, scan_licenses
 from docdigest.llm.mixing import mix, mixed_blocks, permute
 from docdigest.llm.near_vectors import near_vectors
 from docdigest.llm.substring_dedup import chunk_ends, drop_repeats, repeated_spans
-from docdigest.llm.url_filter import judge
+from docdigest.llm.url_filter import judge, links_of
 
 SF = "/root/testdata/sf0.001"
 LOWER = {x: x + 32 for x in range(65, 91)}
@@ -396,6 +396,47 @@ def test_urls(spark):
     ]
 
 
+def test_urls_resolve_targets(spark):
+    page = "http://h.net/a/b/c.html?q=1#f"
+    cases = {"../x": "http://h.net/a/x", "b.html": "http://h.net/a/b/b.html", "./b?z#y": "http://h.net/a/b/b?z#y", "/r/../s": "http://h.net/s", "//o.net/p": "http://o.net/p", "?p=2": "http://h.net/a/b/c.html?p=2", "../../../..": "http://h.net/", "#top": None, "mailto:x@y": None, "HTTPS://o.net/": "HTTPS://o.net/", "a&amp;b&#47;c&#x2E;d&nope;e&": "http://h.net/a/b/a&b/c.d&nope;e&"}
+    rows = [(i, page, f'<link href="{t}" rel="canonical">') for i, t in enumerate(cases)]
+    rows += [(100, page, "<base href='/base/'><link rel='alternate canonical' href='k'>"), (101, page, "<!-- <link rel=canonical href=k> --><link rel=stylesheet href=canonical><link data-href=q rel=canonical href=r>"), (102, page, None), (103, "no url", "<link rel=canonical href=k>"), (104, page, "<meta content=\"3; URL='n/../m'\" http-equiv=Refresh>")]
+    df = spark.createDataFrame(rows, "i int, url string, html string")
+    got = {r.i: r.t for r in df.select("i", links_of(df.url, df.html).alias("t")).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[i] == ([want] if want else []), (i, want, got[i])
+    assert got[100] == ["http://h.net/base/k"] and got[101] == ["http://h.net/a/b/r"] and not got[102] and not got[103] and got[104] == ["http://h.net/a/b/m"]
+
+
+def test_urls_against_union_find(spark):
+    """Pages with links and a table of redirects, against components in plain Python; some groups are long chains and stars."""
+    rng = np.random.default_rng(4)
+    hosts = ["a.org", "example.org", "m.example.org", "x.com", "n.net", "o.net", "p.net"]
+    paths = ["/es/", "/en/1", "/fr/", "/de/", "/x", "/y/"]
+    urls = [f"http://{hosts[i % 7 if i % 5 == 0 else 4 + i % 3]}{paths[int(rng.integers(6))]}{i}" for i in range(400)]
+    links = {i: int(j) for i, j in zip(rng.choice(300, 150, False).tolist(), rng.integers(0, 300, 150), strict=True)}
+    redirects = [(urls[i], urls[i + 1].replace("http:", "HTTPS:") + "#f") for i in range(300, 340)] + [(urls[350], urls[i]) for i in range(351, 390)] + [(None, urls[1]), (urls[1], "nothing")]
+    rows = [(i, u, f'<link rel="canonical" href="{urls[links[i]]}">' if i in links else None, "k") for i, u in enumerate(urls)]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string"), spark.createDataFrame(redirects, "source string, target string")).collect()}
+    table_ = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+    def rule(url):
+        host, path = re.match("http://([^/]*)(/.*)", url).groups()
+        fit = [(len(h + p), v, h + p) for v, h, p in table_ if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    name = {u: i for i, u in enumerate(urls)}
+    edges = [*links.items(), *((name[a], name[b.replace("HTTPS:", "http:").removesuffix("#f")]) for a, b in redirects[:-2])]
+    of = components(range(400), edges)
+    for i, u in enumerate(urls):
+        verdict, which = rule(u)
+        if verdict is None:
+            others = {rule(urls[j])[0] for j in range(400) if of[j] == of[i]}
+            verdict = "allow" if "allow" in others or "block" not in others else "block"
+        assert got[i] == (which, verdict), (u, got[i])
+    assert judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_chat(spark):
     rows = {}
     for r in queries._read(spark, SF, "conversations").collect():
