@@ -130,7 +130,7 @@ def test_jaccard_large_families(spark, monkeypatch):
     check_jaccard(spark, rows)
 
 
-@pytest.mark.parametrize("members", [48, 128])
+@pytest.mark.parametrize("members", [128, 200])
 def test_jaccard_candidates_in_bounded_memory(members):
     """10,000 shingles that many sets share: pairs are counted and tied without holding all of their places at once."""
     import tracemalloc
