@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
+    "binary": "path string, modificationTime timestamp, length long, content binary",
     "words": "doc_key string, page_num int, page_width double, word_idx int, top double, x0 double, text string",
     "pages": "doc_key string, page_num int, text string",
     "sentences": "doc_key string, sent_idx int, sentence string",
@@ -14,14 +15,18 @@ SCHEMAS = {
 }
 
 
-def register_files(spark: SparkSession, path: str) -> DataFrame:
-    """``files(doc_key, stem, path, content)``: the key is the content's MD5, the stem the name without its extension, 40 characters at most."""
+def file_rows(files: DataFrame) -> DataFrame:
+    """``files(doc_key, stem, path, content)`` of rows that Spark read as binary files."""
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.substring(F.regexp_replace(name, r"\.[^.]*$", ""), 1, 40)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.md5("content").alias("doc_key"), F.coalesce(F.nullif(stem, F.lit("")), F.lit("paper")).alias("stem"), "path", "content")
 
 
+def register_files(spark: SparkSession, path: str) -> DataFrame:
+    """``files(doc_key, stem, path, content)``: the key is the content's MD5, the stem the name without its extension, 40 characters at most."""
+    return file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
 def dedupe_documents(files: DataFrame, key: str = "doc_key", order: str = "path") -> DataFrame:
     """One row of each key, the first by ``order``. Only keys and orders are ranked; contents are joined back by both."""
     first = files.groupBy(key).agg(F.min(order).alias(order))
@@ -55,7 +60,3 @@ def summary_report(summaries: DataFrame, layer: str = "Extractive") -> DataFrame
 
 def write_summaries(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("mode").format(fmt).save(path)
-
-
-def row_numbers(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

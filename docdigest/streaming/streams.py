@@ -1,42 +1,99 @@
-"""Documents and questions that arrive over time. Each micro-batch runs the batch code and writes rows once for each key."""
+"""Documents and questions that arrive over time. Each micro-batch runs the batch code.
+
+A sink has rows in folders by ``part``, a hash of the key, and ``batch``: a replayed batch writes its own folders again, and
+only the parts that a batch touches are read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docdigest.operators.pages import ingest_documents
 from docdigest.operators.retrieve import retrieve_topk
-from docdigest.sources.tables import SCHEMAS
+from docdigest.sources.tables import SCHEMAS, file_rows
+
+#: Parts of a sink.
+PARTS = 64
+
+
+def _with_part(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+
+
+def _stored(spark: SparkSession, path: str, schema: str, parts: list[int], before: int) -> DataFrame:
+    """Rows of some parts that batches before this one wrote; none if there is no sink yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], f"{schema}, part int, batch long")
+    rows = spark.read.schema(f"{schema}, part int, batch long").parquet(path)
+    return rows.where(F.col("part").isin(parts) & (F.col("batch") < before))
+
+
+def _write(df: DataFrame, path: str, key: str, batch: int) -> None:
+    rows = _with_part(df, key).withColumn("batch", F.lit(batch).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
 
 
-def _known(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def _parts(df: DataFrame, key: str) -> list[int]:
+    return [r.part for r in _with_part(df, key).select("part").distinct().collect()]
 
-    try:
-        return spark.read.parquet(path).select(key).distinct()
-    except AnalysisException:  # nothing written yet
-        return None
 
+def current(spark: SparkSession, path: str, key: str = "doc_key") -> DataFrame:
+    """The newest row of each key of a sink."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"], "left_semi").drop("part", "batch")
 
-def _once(sink: str, key: str, make):
-    """A batch function that leaves out keys that the sink has, so that a replayed batch adds nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        done = _known(batch.sparkSession, sink, key)
-        fresh = batch if done is None else batch.join(done, key, "left_anti")
-        make(fresh).write.mode("append").parquet(sink)
+def _start(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return write
+
+def stream_files(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Files of any kind that arrive in a folder, registered once for each content: ``(doc_key, stem, path)``, of equal contents the first path that was seen."""
+    schema = "doc_key string, stem string, path string"
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("doc_key").agg(F.min(F.struct("path", "stem")).alias("f")).select("doc_key", "f.stem", "f.path").persist()
+        done = _stored(batch.sparkSession, sink, schema, _parts(fresh, "doc_key"), number)
+        _write(fresh.join(done, "doc_key", "left_anti"), sink, "doc_key", number)
+        fresh.unpersist()
+
+    files = spark.readStream.format("binaryFile").schema(SCHEMAS["binary"]).option("recursiveFileLookup", "true").load(source)
+    return _start(file_rows(files).select("doc_key", "stem", "path"), each, checkpoint)
 
 
 def stream_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, min_page_chars: int = 100) -> StreamingQuery:
-    """Pages that arrive as Parquet become cleaned documents, each document once."""
-    pages = spark.readStream.schema(SCHEMAS["pages"]).parquet(source)
-    return pages.writeStream.foreachBatch(_once(sink, "doc_key", lambda b: ingest_documents(b, min_page_chars)[0])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Pages that arrive as Parquet become cleaned documents: ``sink/pages`` has each page once, ``sink/docs`` a document again whenever it gets pages.
+
+    Of pages of one number, the first that arrived counts, inside a batch the least text. ``current`` gives each document as it is now.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("doc_key", "page_num").agg(F.min("text").alias("text")).persist()
+        parts = _parts(fresh, "doc_key")
+        before = _stored(batch.sparkSession, f"{sink}/pages", SCHEMAS["pages"], parts, number)
+        new = fresh.join(before, ["doc_key", "page_num"], "left_anti").select(fresh.columns)
+        _write(new, f"{sink}/pages", "doc_key", number)
+        known = _stored(batch.sparkSession, f"{sink}/pages", SCHEMAS["pages"], parts, number + 1)
+        touched = known.where(F.col("batch") == number).select("doc_key").distinct()
+        pages = known.join(touched, "doc_key", "left_semi").select("doc_key", "page_num", "text")
+        _write(ingest_documents(pages, min_page_chars)[0], f"{sink}/docs", "doc_key", number)
+        fresh.unpersist()
+
+    return _start(spark.readStream.schema(SCHEMAS["pages"]).parquet(source), each, checkpoint)
 
 
 def stream_retrieve(spark: SparkSession, source: str, vectors: DataFrame, sink: str, checkpoint: str, k: int = 3) -> StreamingQuery:
-    """Questions that arrive as Parquet get the k best sentences of their documents, each question once."""
-    questions = spark.readStream.schema(SCHEMAS["questions"]).parquet(source)
-    return questions.writeStream.foreachBatch(_once(sink, "question_id", lambda b: retrieve_topk(b, vectors, k))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Questions that arrive as Parquet get the k best sentences of their documents, each question id once; of several questions of an id in a batch, the least text."""
+    schema = "question_id long"
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("question_id").agg(F.min(F.struct("question", "doc_key", "embedding")).alias("q")).select("question_id", "q.*").persist()
+        done = _stored(batch.sparkSession, sink, schema, _parts(fresh, "question_id"), number).select("question_id").distinct()
+        _write(retrieve_topk(fresh.join(done, "question_id", "left_anti"), vectors, k), sink, "question_id", number)
+        fresh.unpersist()
+
+    return _start(spark.readStream.schema(SCHEMAS["questions"]).parquet(source), each, checkpoint)

@@ -13,7 +13,7 @@ from docdigest.operators import cluster, evaluate, kernels, pages, retrieve, sal
 from docdigest.operators import vectors as V
 from docdigest.plans import catalog
 from docdigest.sources import tables
-from docdigest.streaming.streams import stream_ingest, stream_retrieve
+from docdigest.streaming.streams import current, stream_files, stream_ingest, stream_retrieve
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -171,16 +171,28 @@ def test_files(spark, tmp_path):
     assert tables.new_documents_only(files, files.where("stem = 'a'")).count() == 1
 
 
-def test_streams_write_each_key_once(spark, tmp_path):
-    rows = spark.createDataFrame([("d", 0, "The first page has one long sentence that is kept by all of the gates. " * 3)], tables.SCHEMAS["pages"])
-    for _ in range(2):
-        rows.write.mode("append").parquet(str(tmp_path / "in"))
+def test_streams(spark, tmp_path):
+    text = "The first page has one long sentence that is kept by all of the gates. " * 3
+    arrivals = [[("d", 0, text), ("d", 0, text), ("e", 0, text)], [("d", 1, text.upper()), ("d", 0, "another " + text)], [("d", 1, text.upper())]]
+    for rows in arrivals:
+        spark.createDataFrame(rows, tables.SCHEMAS["pages"]).write.mode("append").parquet(str(tmp_path / "in"))
         stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    got = {r.doc_key: r.joined_text for r in current(spark, str(tmp_path / "out" / "docs")).collect()}
+    assert got == {"d": f"{text}. {text.upper()}", "e": text}
+    assert spark.read.parquet(str(tmp_path / "out" / "pages")).count() == 3
+
     v = spark.createDataFrame([("d", 0, "s", [1.0])], "doc_key string, sent_idx int, sentence string, embedding array<float>")
-    spark.createDataFrame([(1, "d", "q", [1.0])], tables.SCHEMAS["questions"]).write.parquet(str(tmp_path / "q"))
-    stream_retrieve(spark, str(tmp_path / "q"), v, str(tmp_path / "m"), str(tmp_path / "k")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 1
+    for rows in ([(1, "d", "q", [1.0]), (1, "d", "q", [1.0]), (2, "d", " ", [1.0])], [(1, "d", "q", [1.0]), (3, "d", "r", [1.0])]):
+        spark.createDataFrame(rows, tables.SCHEMAS["questions"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+        stream_retrieve(spark, str(tmp_path / "q"), v, str(tmp_path / "m"), str(tmp_path / "k")).awaitTermination()
+    assert sorted(r.question_id for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [1, 3]
+
+    (tmp_path / "files").mkdir()
+    for names in (("a.pdf", "b.pdf"), ("c.pdf", "d.txt")):
+        for name in names:
+            (tmp_path / "files" / name).write_bytes(b"2" if name == "d.txt" else b"1")
+        stream_files(spark, str(tmp_path / "files"), str(tmp_path / "f"), str(tmp_path / "fc")).awaitTermination()
+    assert sorted(r.stem for r in spark.read.parquet(str(tmp_path / "f")).collect()) == ["a", "d"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
