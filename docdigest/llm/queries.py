@@ -16,9 +16,12 @@ from docdigest.llm.language_id import fit_prototypes, held_out, learnable, predi
 from docdigest.llm.licenses import scan_licenses
 from docdigest.llm.mixing import mix
 from docdigest.llm.near_vectors import near_vectors
+from docdigest.llm.oracles import ORACLES
 from docdigest.llm.substring_dedup import repeated_spans
 from docdigest.llm.url_filter import judge
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
@@ -87,4 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_decontaminate, op6_near_vectors, op7_url_filter, op8_chat_format, op9_html_text, op10_mixing)
 }
-ORACLES: dict[str, str] = {}

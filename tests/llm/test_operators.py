@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -538,6 +539,19 @@ def test_html_host_votes(spark):
     assert {r.host: (r.path, r.votes) for r in host_paths(pages).collect()} == {"a": ("/article", 6 - 1), "b": ("/", 1)}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, found = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    order = sorted(got.columns)
+    assert sorted(names) == order
+    shape = lambda row: tuple(str(row[c]) for c in order)
+    assert sorted(shape(r.asDict()) for r in got.collect()) == sorted(shape(dict(zip(names, r, strict=True))) for r in found.fetchall())
+
+
 def test_permutation():
     for n in (1, 2, 3, 100, 4097):
         assert sorted(permute(np.arange(n), n, 12345)) == list(range(n))
