@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdigest.llm.common import cut, lean, word_bounds
@@ -19,9 +19,9 @@ LONGEST = 32
 #: Bytes of a word from which on its code points are units, as in text without spaces. Two of them count as a word.
 LONG_WORD = 48
 #: Words of whole repeated chunks that start a passage, and words of a passage that counts.
-SEED_WORDS, MIN_WORDS = 5, 40
+SEED_WORDS, MIN_WORDS = 10, 40
 #: Units that a passage grows by on each side, at most, over what its whole chunks cover.
-CONTEXT = 64
+CONTEXT = 36
 
 _GEAR = np.random.default_rng(7_919).integers(0, 1 << 64, 256, np.uint64)
 
@@ -69,20 +69,20 @@ def chunk_ends(h: np.ndarray) -> np.ndarray:
     return ends
 
 
-_CHUNKS = "doc_id long, text_id long, h1 long, h2 long, k int, start int, end int, halves int, again boolean"
+_CHUNKS = "doc_id long, digest long, text_id int, k int, start int, end int, halves int, again boolean"
 #: Chunks that one Arrow batch has at most, about.
 ROWS = 1 << 14
 
 
 @lean
 def _chunks(batches):
-    """The chunks of rows (doc_id, text_id, text): 128-bit digest, number, code point span, twice the words, and whether the text had it before."""
+    """The chunks of rows (doc_id, text_id, text): 64-bit digest, number, code point span, twice the words, and whether the text had it before."""
     names = [c.split()[0] for c in _CHUNKS.split(", ")]
     columns: list[list[np.ndarray]] = [[] for _ in names]
     held = 0
 
     def rows():
-        kinds = [np.int64] * 4 + [np.int32] * 4 + [bool]
+        kinds = [np.int64] * 2 + [np.int32] * 5 + [bool]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(columns, kinds, strict=True)], names)
 
     for batch in batches:
@@ -99,11 +99,11 @@ def _chunks(batches):
             end = chunk_ends(gear(a)[last - 1])
             begin = np.append(0, end[:-1] + 1)
             lo, hi = first[begin], last[end]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.int64).reshape(-1, 2)
+            digest = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
             again = np.ones(len(end), bool)
-            again[np.unique(digest, axis=0, return_index=True)[1]] = False
+            again[np.unique(digest, return_index=True)[1]] = False
             n = len(end)
-            row = (np.full(n, doc_id), np.full(n, text_id), digest[:, 0], digest[:, 1], np.arange(n), at[begin], to[end], np.diff(np.cumsum(halves)[end], prepend=0), again)
+            row = (np.full(n, doc_id), digest, np.full(n, text_id), np.arange(n), at[begin], to[end], np.diff(np.cumsum(halves)[end], prepend=0), again)
             for c, y in zip(columns, row, strict=True):
                 c.append(y)
             held += n
@@ -132,7 +132,7 @@ def _contexts(batches):
                     at, reach = np.arange(n, min(len(first), n + CONTEXT)), end
                 hashes = [zlib.crc32(data[i:j]) - (1 << 31) for i, j in zip(first[at].tolist(), last[at].tolist(), strict=True)]
                 out.append((doc_id, text_id, x["pos"], x["side"], hashes, reach[at].tolist(), np.cumsum(halves[at]).tolist()))
-        kinds = {"doc_id": pa.int64(), "text_id": pa.int64(), "pos": pa.int32(), "side": pa.int32(), "hashes": pa.list_(pa.int32()), "reach": pa.list_(pa.int32()), "more": pa.list_(pa.int32())}
+        kinds = {"doc_id": pa.int64(), "text_id": pa.int32(), "pos": pa.int32(), "side": pa.int32(), "hashes": pa.list_(pa.int32()), "reach": pa.list_(pa.int32()), "more": pa.list_(pa.int32())}
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
 
@@ -141,12 +141,12 @@ def _grown(rows: DataFrame, runs: DataFrame, firsts: DataFrame) -> DataFrame:
     key = ["doc_id", "text_id", "run"]
     side = lambda n, pos, chunk: runs.select(*key, F.lit(n).alias("side"), F.col(pos).alias("pos"), F.col(f"{chunk}.*"))
     edges = side(0, "start", "left").union(side(1, "end", "right"))
-    edges = edges.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    edges = edges.join(firsts, F.col("digest") == F.col("d"))
     edges = cut(edges.select(*key, "side", "pos", "first", F.when(F.col("side") == 0, F.col("at.start")).otherwise(F.col("at.end")).alias("first_pos")))
     asked = edges.select("doc_id", "pos", "side").union(edges.select("first", "first_pos", "side")).distinct()
     asked = asked.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("pos", "side")).alias("asked"))
     found = rows.join(asked, F.col("doc_id") == F.col("d")).select("doc_id", "text_id", "asked", "text")
-    found = found.mapInArrow(lean(_contexts), "doc_id long, text_id long, pos int, side int, hashes array<int>, reach array<int>, more array<int>")
+    found = found.mapInArrow(lean(_contexts), "doc_id long, text_id int, pos int, side int, hashes array<int>, reach array<int>, more array<int>")
     place = ["doc_id", "text_id", "pos", "side"]
     found = cut(found.groupBy(*place).agg(*(F.first(c).alias(c) for c in ("hashes", "reach", "more"))))
     there = found.select(F.col("doc_id").alias("first"), F.col("pos").alias("first_pos"), "side", F.col("hashes").alias("others"))
@@ -161,21 +161,25 @@ def _grown(rows: DataFrame, runs: DataFrame, firsts: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_id", F.coalesce("before.to", "start").alias("start"), F.coalesce("after.to", "end").alias("end"), F.floor(halves / 2).alias("n_words"), "first_doc_id")
 
 
+def _text_id(text: str) -> Column:
+    """What tells texts of one document id apart: 31 bits of a hash."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+
+
 def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id is not null and text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id("text").alias("text_id"), "text").where("doc_id is not null and text is not null")
     chunks = rows.mapInArrow(_chunks, _CHUNKS)
-    often = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min("again").alias("once"), F.max("doc_id").alias("last"), F.max("again").alias("more"))
-    often = cut(often.where("first < last or more").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"))
-    hit = chunks.join(often, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    hit = cut(hit.select("doc_id", "text_id", "h1", "h2", "k", "start", "end", "halves", "again", "first"))
+    often = chunks.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    often = cut(often.where("n > 1").select("d", "first"))
+    hit = cut(chunks.join(often, F.col("digest") == F.col("d")).drop("d"))
     w = Window.partitionBy("doc_id", "text_id").orderBy("k")
     again = hit.where("first < doc_id or again").distinct()
     new = F.col("k") != F.lag("k").over(w) + 1
     runs = again.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w)).groupBy("doc_id", "text_id", "run")
-    chunk = F.struct("h1", "h2", "first")
+    chunk = F.struct("digest", "first")
     runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("halves").alias("halves"), F.min("first").alias("first_doc_id"), F.min_by(chunk, "k").alias("left"), F.max_by(chunk, "k").alias("right"))
     runs = cut(runs.where(F.col("halves") >= 2 * SEED_WORDS))
-    firsts = hit.where("first = doc_id and not again").groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(F.struct("start", "end")).alias("at"))
+    firsts = hit.where("first = doc_id and not again").groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("start", "end")).alias("at"))
     return _grown(rows, runs, firsts).where(F.col("n_words") >= min_words)
 
 
@@ -183,7 +187,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, n_words, first_doc_id)`` of each passage of ``docs(doc_id, text)`` that a smaller id, or the text before it, has.
 
     Texts are cut into chunks by content, so that equal passages of some 30 words or more share whole chunks wherever they
-    stand. Chunks meet by digest; of a digest, the smallest id is the first. Consecutive repeated chunks make a passage, also
+    stand. Chunks meet by 64-bit digest; of a digest, the smallest id is the first. What two different chunks of one digest could add is far below ``min_words``. Consecutive repeated chunks make a passage, also
     where their firsts differ, as in a copy of an edited copy. It then grows word by word, up to ``CONTEXT`` at each end, as far as it
     agrees with the first occurrence of its outer chunk, whatever white space stands between words; passages of ``min_words`` words or more count, and ``first_doc_id`` is the
     smallest of its chunks' firsts. ``start`` and ``end`` count code points. Words of more than ``LONG_WORD`` bytes, as in texts
@@ -197,7 +201,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without their repeated passages; ``n_chars``, if there, follows. Documents of which nothing is left are dropped."""
     spans = _repeats(docs, min_words).groupBy(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__text")), "left").drop("__doc", "__text")
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__doc")) & (_text_id("text") == F.col("__text")), "left").drop("__doc", "__text")
     at = joined.columns.index("text")
 
     @lean
