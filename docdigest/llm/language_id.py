@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docdigest.llm.common import cut
+from docdigest.llm.common import cut, lean
 
 #: Dimensions of a hypervector, and the seed of the letters' random vectors.
 DIM, SEED = 1024, 20_261
@@ -17,8 +18,8 @@ DIM, SEED = 1024, 20_261
 SYMBOLS = 128
 #: Texts and code points that are profiled together, and distinct n-grams of one matrix product.
 TEXTS, CHARS, GRAMS = 256, 1 << 20, 8192
-#: Languages that prototypes are kept for at most; prototypes go to every task.
-MAX_LANGUAGES = 1000
+#: Languages whose prototypes go to every task at once, and whose sums a task holds.
+LANGUAGES = 1000
 
 
 def _symbol(cp: int) -> int:
@@ -96,67 +97,103 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def fit_prototypes(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, list[float]]:
-    """One bundle for each language of ``docs(text, lang)``, over all rows where neither is null.
+def fit_prototypes(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """``(lang, vector)``: one bundle for each language of ``docs(text, lang)``, over all rows where neither is null.
 
-    Each task sums its rows; only these sums shuffle. What comes to the driver is one vector for each language; more than
-    ``MAX_LANGUAGES`` of them are refused with a ValueError.
+    Each task sums its rows; only these sums shuffle.
     """
 
+    @lean
     def sums(batches):
         profiler, total = Profiler(dim, seed), {}
+
+        def rows():
+            for name, row in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(range(dim), pa.int32()), pa.array(row)], ["lang", "d", "v"])
+
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = sorted(set(langs))
             at = {x: i for i, x in enumerate(names)}
             for lo, hi in _slices(texts):
-                for name, row in zip(names, profiler.bundle(texts[lo:hi], [at[x] for x in langs[lo:hi]], len(names)), strict=True):
-                    total[name] = total.get(name, 0) + row
-        for name, row in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(range(dim), pa.int32()), pa.array(row)], ["lang", "d", "v"])
+                own = sorted({at[x] for x in langs[lo:hi]})
+                for g, row in zip(own, profiler.bundle(texts[lo:hi], [own.index(at[x]) for x in langs[lo:hi]], len(own)), strict=True):
+                    total[names[g]] = total.get(names[g], 0) + row
+                if len(total) > LANGUAGES:
+                    yield from rows()
+                    total.clear()
+        yield from rows()
 
     learned = docs.select("text", "lang").where("text is not null and lang is not null")
-    summed = cut(learned.mapInArrow(sums, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v")))
-    rows = summed.where(F.col("d") == 0).limit(MAX_LANGUAGES + 1).count()
-    if rows > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out: dict[str, list[float]] = {}
-    for lang, d, v in summed.collect():
-        out.setdefault(lang, [0.0] * dim)[d] = v
-    return dict(sorted(out.items()))
+    summed = learned.mapInArrow(sums, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
+    vectors = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vector"))
+    return cut(vectors)
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: the prototype of the largest cosine with the text's bundle, and that cosine.
+def _blocks(prototypes: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages in order of their names, and their unit vectors as rows, in blocks of bounded size; none of them empty."""
+    names, rows = [], []
+    for r in prototypes.orderBy("lang").toLocalIterator():
+        names.append(r.lang)
+        rows.append(np.array(r.vector))
+        if len(names) == LANGUAGES:
+            yield names, np.stack(rows)
+            names, rows = [], []
+    if names:
+        yield names, np.stack(rows)
 
-    A null text, one without letters, and any text when nothing was learned get ``und`` and 0. Columns of these names that
-    ``docs`` had are replaced. Whole texts are profiled, in pieces of bounded memory; there is no shuffle.
-    """
-    names = list(prototypes)
-    matrix = np.array([prototypes[x] for x in names]) if names else np.zeros((0, dim))
+
+_BEST = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+
+def _best(names: list[str], matrix: np.ndarray, dim: int, seed: int):
+    """Of rows (text, row) or (text, row, best so far): the row, and the prototype of the largest cosine with its cosine, if the text has letters."""
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms == 0, 1, norms)
-    docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index("text")
 
+    @lean
     def predict(batches):
         profiler = Profiler(dim, seed)
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            before = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
             lang, score = [], []
             for lo, hi in _slices(texts):
                 v = profiler.bundle(texts[lo:hi], list(range(hi - lo)), hi - lo)
                 size = np.linalg.norm(v, axis=1)
-                cos = v @ matrix.T / np.where(size == 0, 1, size)[:, None] if names else np.zeros((hi - lo, 1))
-                best = cos.argmax(1)
-                for i, (k, n) in enumerate(zip(best.tolist(), size.tolist(), strict=True)):
-                    known = bool(names) and n > 0
-                    lang.append(names[k] if known else "und")
-                    score.append(min(1.0, max(0.0, float(cos[i, k]))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                cos = v @ matrix.T / np.where(size == 0, 1, size)[:, None]
+                for i, (k, n, old) in enumerate(zip(cos.argmax(1).tolist(), size.tolist(), before[lo:hi], strict=True)):
+                    own = min(1.0, max(0.0, float(cos[i, k])))
+                    better = n > 0 and (old is None or old["lang_pred"] is None or own > old["score"])
+                    lang.append(names[k] if better else old and old["lang_pred"])
+                    score.append(own if better else old and old["score"])
+            best = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], _BEST.names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), best], ["row", "best"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return predict
+
+
+def _predicted(docs: DataFrame, prototypes: DataFrame, dim: int, seed: int) -> DataFrame:
+    """``(row, best)``: the rows of ``docs`` and what was predicted. Rows are structs, so that names cannot clash."""
+    out = docs.select("text", F.struct("*").alias("row"))
+    schema = StructType([StructField("row", docs.schema), StructField("best", _BEST)])
+    for names, matrix in _blocks(prototypes):
+        if "best" in out.columns:
+            out = out.select(F.col("row.text").alias("text"), "row", "best")
+        out = out.mapInArrow(_best(names, matrix, dim, seed), schema)
+    return out if "best" in out.columns else out.select("row", F.lit(None).cast(_BEST).alias("best"))
+
+
+def predict_language(docs: DataFrame, prototypes: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``: the prototype of the largest cosine with the text's bundle, and that cosine; of equals, the first by name.
+
+    A null text, one without letters, and any text when nothing was learned get ``und`` and 0. Columns of these names that
+    ``docs`` had are replaced. Whole texts are profiled, in pieces of bounded memory; there is no shuffle. Prototypes go to every
+    task, in blocks of ``LANGUAGES``: more take one pass for each block.
+    """
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in _BEST.names]
+    best = F.col("best")
+    return _predicted(docs, prototypes, dim, seed).select(*rest, F.coalesce(best["lang_pred"], F.lit("und")).alias("lang_pred"), F.coalesce(best["score"], F.lit(0.0)).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -170,6 +207,6 @@ def learnable(doc_id: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The documents whose language is known: those with letters, whose score is ``min_score`` at least."""
-    protos = fit_prototypes(docs.where(learnable()).select("text", "lang"))
-    return predict_language(docs, protos).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(docs.columns)
+    """The documents whose language is known, with all their columns as they were: those with letters, whose score is ``min_score`` at least."""
+    prototypes = fit_prototypes(docs.where(learnable()).select("text", "lang"))
+    return _predicted(docs, prototypes, DIM, SEED).where(F.col("best.lang_pred").isNotNull() & (F.col("best.score") >= min_score)).select("row.*")

@@ -93,11 +93,46 @@ def test_language_edges(spark):
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
-    assert {r.lang_pred for r in predict_language(docs, {}).collect()} == {"und"}
+    assert {r.lang_pred for r in predict_language(docs, prototypes.limit(0)).collect()} == {"und"}
+    assert fit_prototypes(docs.limit(0)).count() == 0
     assert {r.doc_id for r in keep_known(docs).collect()} == {r.doc_id for r in rows if r.lang_pred != "und"}
     assert predict_language(docs.limit(0), prototypes).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000, 2])
+def test_language_against_sums_of_vectors(spark, monkeypatch, most):
+    """Bundles and cosines against sums of trigram vectors, one by one; pieces of a text and blocks of languages change nothing."""
+    from docdigest.llm import language_id as L
+
+    monkeypatch.setattr(L, "CHARS", 50)
+    monkeypatch.setattr(L, "LANGUAGES", most)
+    rows = [(1, "The cat sat.", "en"), (2, "le chat s'est assis là", "fr"), (3, "Die Katze saß " * 30, "de"), (4, "the cat", "aa"), (5, "The cat sat.", "zz"), (6, "été", None), (7, "???", "en")]
+    docs = spark.createDataFrame([(*r, 9.5, "k") for r in rows], "doc_id long, text string, lang string, score double, best string")
+    letters = np.random.default_rng(L.SEED).choice(np.array([-1, 1], np.float32), (L.SYMBOLS, L.DIM))
+
+    def bundle(text):
+        s = [0, *(L._symbol(ord(c)) for c in text.lower()), 0]
+        s = [x for i, x in enumerate(s) if i == 0 or x or s[i - 1]]
+        return sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(s, s[1:], s[2:], strict=False) if b), np.zeros(L.DIM))
+
+    sums = {}
+    for _, text, lang in rows:
+        if lang:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    prototypes = fit_prototypes(docs)
+    assert {r.lang: np.allclose(r.vector, sums[r.lang]) for r in prototypes.collect()} == dict.fromkeys(sums, True)
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    got = {r.doc_id: r for r in predict_language(docs, prototypes).collect()}
+    for i, text, _ in rows[:-1]:
+        v = bundle(text)
+        cos = {k: float(v @ u / np.linalg.norm(v)) for k, u in unit.items()}
+        best = min(cos, key=lambda k: (-round(cos[k], 9), k))
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(max(0, cos[best]))
+    assert (got[7].lang_pred, got[7].score) == ("und", 0.0) and got[1].best == "k"
+    kept = keep_known(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.score, r.best) for r in kept.collect()} == {(i, 9.5, "k") for i in range(1, 7)}
+
+
 def check_jaccard(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, set_id int, n int, family int")
     got = jaccard_components(docs).collect()
