@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docdigest.llm.common import cut, mix64, word_bounds
+from docdigest.llm.common import cut, lean, mix64, word_bounds
 
 #: Words of a block.
 BLOCK = 64
@@ -16,23 +16,32 @@ BLOCK = 64
 SHARD_BLOCKS = 4096
 #: Documents of one packing group, at most about. Groups of a source are packed next to each other.
 GROUP = 2_000
-#: Slots that one row stands for while slots are dealt out.
-SLOTS = 1 << 16
-#: Tasks that draw slots at most. Rows of slots are small but each makes up to ``SLOTS`` rows, so Spark must not gather them by size.
+#: Output shards whose slots are drawn together.
+SHARDS = 16
+#: Tasks that draw slots at most. Their rows are small but each makes about ``SHARDS * SHARD_BLOCKS``, so Spark must not gather them by size.
 DRAWING = 20_000
 #: Weights of the sources in code point order, repeating; share of all words that the mix has; times that a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Sources with their ``rank`` by code point, null last: ranges are counted, and ranked side by side."""
+    order = F.col("source").asc_nulls_last()
+    ranges = cut(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return ranges.withColumn("own", own).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("own")).drop("range", "own", "before")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``sources(source, source_size)`` with ``target``: a share of all words by weight, at most ``most`` times the source's own.
 
     What a source cannot take is shared again by weight among those below their limit, until none is above. Each round
     gathers two sums.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = cut(sources.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most)).withColumn("full", F.col("source_size") == 0))
+    weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    s = cut(_ranked(sources).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most)).withColumn("full", F.col("source_size") == 0))
     wanted = (s.agg(F.sum("source_size")).first()[0] or 0) * share
     while True:
         held, free, n = s.agg(F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0.0)), F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)), F.count("*")).first()
@@ -60,21 +69,44 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _own(seed: int, key: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{seed}/{key}")
+
+
+def _shares(seed: int, shards: int):
+    """Of rows (source_key, blocks, slots): the source's slots dealt by a multinomial draw to groups of shards, as (source_key, blocks, first shard, first slot, count)."""
+
+    def share(batches):
+        first = np.arange(0, shards, SHARDS)
+        size = np.minimum(SHARDS, shards - first)
+        for batch in batches:
+            for key, blocks, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = np.random.default_rng([seed, _own(seed, key)]).multinomial(slots, size / shards)
+                slot = np.cumsum(count) - count
+                for at in range(0, len(first), 1 << 14):
+                    part = slice(at, at + (1 << 14))
+                    n = len(first[part])
+                    columns = [pa.array([key] * n, pa.string()), pa.array(np.full(n, blocks)), *(pa.array(x[part]) for x in (first, slot, count))]
+                    yield pa.RecordBatch.from_arrays(columns, ["source_key", "blocks", "shard", "slot", "n"])
+
+    return share
+
+
 def _draw(seed: int, shards: int):
-    """Of rows (source_key, slot0, slots, blocks): each slot's source, output shard and block."""
+    """Of such rows: how many slots of the source each shard gets, by a multinomial draw, and each slot's shard and block."""
 
+    @lean
     def draw(batches):
         for batch in batches:
-            for key, first, count, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, blocks, shard, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, size = _own(seed, key), min(SHARDS, shards - shard)
+                drawn = np.random.default_rng([seed, own, shard]).multinomial(count, np.full(size, 1 / size))
                 slot = np.arange(first, first + count)
-                own = xxhash.xxh3_64_intdigest(f"{seed}/{key}")
                 turn = slot // blocks
                 block = np.empty(count, np.int64)
                 for t in np.unique(turn).tolist():
                     block[turn == t] = permute(slot[turn == t] % blocks, blocks, (own + t) % 2**64)
-                with np.errstate(over="ignore"):
-                    shard = (mix64(slot.astype(np.uint64) + np.uint64(own)) % np.uint64(shards)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * count, pa.string()), pa.array(slot), pa.array(shard), pa.array(block)], ["source_key", "slot", "shard", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * count, pa.string()), pa.array(slot), pa.array(shard + np.repeat(np.arange(size), drawn)), pa.array(block)], ["source_key", "slot", "shard", "block"])
 
     return draw
 
@@ -100,23 +132,25 @@ def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def draw_blocks(sources: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     """``(source_key, slot, shard, block)``: the blocks that the mix takes, once for each time.
 
-    A source gets its target in slots. Each slot falls to a shard at random, which makes each shard's counts multinomial given
-    the sources' totals, so that these are met to a block. Slot i takes block p(i mod n) of the source's n, with another
+    A source gets its target in slots. How many of them each output shard has is drawn: multinomially over groups of shards,
+    then inside each group; so a shard's counts of sources are multinomial given the sources' totals, which are met to a
+    block. A shard has consecutive slots of a source, and slot i takes block p(i mod n) of the source's n, with another
     permutation p for each turn: no block is taken twice before all are taken once.
     """
     n = F.ceil(F.col("source_size") / block).cast("long")
     planned = sources.where("source_size > 0").withColumn("blocks", n).withColumn("slots", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long"))
     planned = cut(planned.select("source_key", "blocks", "slots").where("slots > 0"))
     total = planned.agg(F.sum("slots")).first()[0] or 0
-    parts = planned.withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})")))
-    parts = parts.select("source_key", (F.col("part") * SLOTS).alias("first"), F.least(F.lit(SLOTS).cast("long"), F.col("slots") - F.col("part") * SLOTS).alias("count"), "blocks")
-    parts = parts.repartition(int(min(DRAWING, total // (2 * SLOTS) + 1)), "source_key", "first")
-    return parts.mapInArrow(_draw(seed, max(1, round(total / SHARD_BLOCKS))), "source_key string, slot long, shard long, block long")
+    shards = max(1, round(total / SHARD_BLOCKS))
+    parts = planned.mapInArrow(_shares(seed, shards), "source_key string, blocks long, shard long, slot long, n long").where("n > 0")
+    parts = parts.repartition(int(min(DRAWING, total // (2 * SHARDS * SHARD_BLOCKS) + 1)), "source_key", "shard")
+    return parts.mapInArrow(_draw(seed, shards), "source_key string, slot long, shard long, block long")
 
 
 def _pieces(block: int):
     """Of rows (source_key, doc_id, start, size, text): the text's words that stand in each block of the source, as they are written."""
 
+    @lean
     def pieces(batches):
         for batch in batches:
             rows = []

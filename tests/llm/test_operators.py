@@ -648,6 +648,30 @@ def test_mixed_blocks_have_the_words(spark):
     assert {k: sorted(v) for k, v in found.items() if v} == {k: sorted(v) for k, v in drawn.items()}
 
 
+def test_mixing_draws_shards_multinomially(spark, monkeypatch):
+    """Counts of shards have the totals asked for and the spread of a multinomial draw; two draws agree."""
+    from docdigest.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 100)
+    sources = spark.createDataFrame([("=a", 64 * 6000, 64.0 * 9000), ("=b", 64 * 9000, 64.0 * 9000), ("", 64 * 9000, 64.0 * 2500)], "source_key string, source_size long, target double")
+    rows = mixing.draw_blocks(sources).collect()
+    slots = {"=a": 9000, "=b": 9000, "": 2500}
+    shards = round(sum(slots.values()) / 100)
+    for key, n in slots.items():
+        mine = [r for r in rows if r.source_key == key]
+        assert sorted(r.slot for r in mine) == list(range(n))
+        counts = np.bincount([r.shard for r in mine], minlength=shards)
+        assert len(counts) == shards
+        chi = ((counts - n / shards) ** 2 / (n / shards)).sum()
+        assert shards - 5 * (2 * shards) ** 0.5 < chi < shards + 5 * (2 * shards) ** 0.5
+        taken = np.bincount([r.block for r in mine], minlength=6000)
+        assert taken.max() - taken[taken > 0].min() <= 1
+    assert sorted(rows) == sorted(mixing.draw_blocks(sources.repartition(3)).collect())
+    names = ["b", None, "a", "é", "", "Z", "\U0001f600", "\uffff"]
+    ranked = mixing._ranked(spark.createDataFrame([(x,) for x in names], "source string").repartition(3)).collect()
+    assert [r.source for r in sorted(ranked, key=lambda r: r.rank)] == ["", "Z", "a", "b", "é", "\uffff", "\U0001f600", None] and sorted(r.rank for r in ranked) == list(range(1, 9))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
