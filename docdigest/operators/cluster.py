@@ -36,18 +36,53 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["embedding"].to_numpy()).astype(float)
 
 
+def by_document(vectors: DataFrame, fit, schema: str, columns: list[str]) -> DataFrame:
+    """What ``fit`` makes of each document's rows (a pandas frame in order of ``sent_idx``), as tuples of ``schema``.
+
+    A task goes through many documents, sorted by key, and holds the rows of one at a time.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        key, out = object(), []
+
+        def flush():
+            if held:
+                out.extend(fit(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)))
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf["doc_key"].to_numpy()
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for a, b in zip(start, np.append(start[1:], len(pdf)), strict=True):
+                if keys[a] != key:
+                    flush()
+                    held, key = [], keys[a]
+                held.append(pdf.iloc[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        flush()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return vectors.select(*columns).repartition("doc_key").sortWithinPartitions("doc_key", "sent_idx").mapInPandas(run, schema)
+
+
 def cluster_documents(vectors: DataFrame, modes=MODES, seed: int = 42, n_init: int = 1, max_iter: int = 300) -> DataFrame:
-    """``assignments(doc_key, mode, sent_idx, cluster_id)``: k-means of each document, all modes in one group so that vectors shuffle once."""
+    """``assignments(doc_key, mode, sent_idx, cluster_id)``: k-means of each document, all modes together so that vectors shuffle once."""
     _check(modes)
 
     def fit(pdf):
-        pdf = pdf.sort_values("sent_idx")
         if len(pdf) < 2:
-            return pd.DataFrame(columns=["doc_key", "mode", "sent_idx", "cluster_id"])
-        x = _matrix(pdf)
-        return pd.concat([pdf[["doc_key", "sent_idx"]].assign(mode=m, cluster_id=kmeans(x, _k(m, len(x)), seed, n_init, max_iter)[0]) for m in modes])[["doc_key", "mode", "sent_idx", "cluster_id"]]
+            return []
+        x, key = _matrix(pdf), pdf["doc_key"][0]
+        labels = {m: kmeans(x, _k(m, len(x)), seed, n_init, max_iter)[0].tolist() for m in modes}
+        return [(key, m, i, c) for m in modes for i, c in zip(pdf["sent_idx"].tolist(), labels[m], strict=True)]
 
-    return vectors.select("doc_key", "sent_idx", "embedding").groupBy("doc_key").applyInPandas(fit, "doc_key string, mode string, sent_idx int, cluster_id int")
+    return by_document(vectors, fit, "doc_key string, mode string, sent_idx int, cluster_id int", ["doc_key", "sent_idx", "embedding"])
 
 
 def cluster_corpus(vectors: DataFrame, k: int, seed: int = 42):
@@ -61,12 +96,10 @@ def elbow_curve(vectors: DataFrame, k_min: int = 2, k_max: int = 20, seed: int =
     """``elbow(doc_key, k, inertia)`` for each k below the number of sentences."""
 
     def fit(pdf):
-        pdf = pdf.sort_values("sent_idx")
         x = _matrix(pdf)
-        rows = [(pdf["doc_key"].iloc[0], k, kmeans(x, k, seed)[2]) for k in range(k_min, min(k_max + 1, len(x)))]
-        return pd.DataFrame(rows, columns=["doc_key", "k", "inertia"])
+        return [(pdf["doc_key"][0], k, kmeans(x, k, seed)[2]) for k in range(k_min, min(k_max + 1, len(x)))]
 
-    return vectors.select("doc_key", "sent_idx", "embedding").groupBy("doc_key").applyInPandas(fit, "doc_key string, k int, inertia double")
+    return by_document(vectors, fit, "doc_key string, k int, inertia double", ["doc_key", "sent_idx", "embedding"])
 
 
 def cluster_centroids(assigned: DataFrame) -> DataFrame:
@@ -111,31 +144,41 @@ def silhouette(assigned: DataFrame) -> DataFrame:
     return out.select("doc_key", F.when((F.col("k") >= 2) & (F.col("k") < F.col("n")), F.col("s")).alias("silhouette"))
 
 
-SUMMARY = "doc_key string, mode string, k_used int, n_total_sentences int, selected_indices array<int>, sentences array<string>, word_count int, compression_ratio double, silhouette double"
+SUMMARY = "doc_key string, mode string, k_used int, n_total_sentences int, selected_indices array<int>, sentences array<string>, word_count int, compression_ratio double, silhouette double, status string"
 
 
 def summarize(vectors: DataFrame, modes=MODES, seed: int = 42) -> DataFrame:
     """``summaries`` of ``vectors(doc_key, sent_idx, sentence, embedding)``: for each cluster the sentence next to its mean, in document order.
 
-    A document of fewer than two sentences has no summary. A document is one group, so its vectors must fit one task.
+    A document of one sentence has rows of the status ``too_few_sentences`` without a summary, all others ``ok``. The vectors
+    of one document must fit a task.
     """
     _check(modes)
 
     def fit(pdf):
-        pdf = pdf.sort_values("sent_idx").reset_index(drop=True)
-        rows = []
-        if len(pdf) >= 2:
-            x = _matrix(pdf)
-            for mode in modes:
-                k = _k(mode, len(x))
-                label, c, _ = kmeans(x, k, seed)
-                d = np.linalg.norm(x - c[label], axis=1)
-                picked = sorted(int(np.flatnonzero(label == j)[d[label == j].argmin()]) for j in np.unique(label))
-                said = pdf["sentence"][picked].tolist()
-                rows.append((pdf["doc_key"][0], mode, k, len(x), [int(i) for i in pdf["sent_idx"][picked]], said, sum(len(s.split()) for s in said), len(picked) / len(x), silhouette_cosine(x, label)))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in SUMMARY.split(", ")])
-
-    return vectors.select("doc_key", "sent_idx", "sentence", "embedding").groupBy("doc_key").applyInPandas(fit, SUMMARY)
+        rows, n, key = [], len(pdf), pdf["doc_key"][0]
+        if n < 2:
+            return [(key, m, 0, n, [], [], 0, 0.0, None, "too_few_sentences") for m in modes]
+        x, said, index = _matrix(pdf), pdf["sentence"].tolist(), pdf["sent_idx"].tolist()
+        for mode in modes:
+            k = _k(mode, n)
+            label, c, _ = kmeans(x, k, seed)
+            d = ((x - c[label]) ** 2).sum(1)
+            order = np.lexsort((np.arange(n), d, label))
+            picked = sorted(order[np.flatnonzero(np.append(True, np.diff(label[order]) > 0))].tolist())
+            chosen = [said[i] for i in picked]
+            rows.append((key, mode, k, n, [index[i] for i in picked], chosen, sum(len(t.split()) for t in chosen), len(picked) / n, silhouette_cosine(x, label), "ok"))
+        return rows
+
+    return by_document(vectors, fit, SUMMARY, ["doc_key", "sent_idx", "sentence", "embedding"])
+
+
+def summary_stats(selected: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``(doc_key, n_selected, word_count, compression_ratio)`` of the sentences selected from each document."""
+    words = F.size(F.filter(F.split("sentence", r"\s+"), lambda w: w != ""))
+    own = selected.join(sentences, ["doc_key", "sent_idx"]).groupBy("doc_key").agg(F.count("*").alias("n_selected"), F.sum(words).alias("word_count"))
+    total = sentences.groupBy("doc_key").agg(F.count("*").alias("n"))
+    return own.join(total, "doc_key").select("doc_key", "n_selected", "word_count", (F.col("n_selected") / F.col("n")).alias("compression_ratio"))
 
 
 def attach_selected_sentences(selected: DataFrame, sentences: DataFrame) -> DataFrame:

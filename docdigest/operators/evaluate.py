@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from docdigest.functions.stem import porter_stem
 from docdigest.operators.kernels import lcs_length
 
 
@@ -15,17 +16,33 @@ def rouge_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed(tokens: pd.Series) -> pd.Series:
+    """Porter stems of tokens of more than three characters; each distinct token of a batch is stemmed once."""
+    stems: dict[str, str] = {}
+    for row in tokens:
+        for t in row if row is not None else ():
+            if t not in stems:
+                stems[t] = porter_stem(t) if len(t) > 3 else t
+    return tokens.map(lambda row: None if row is None else [stems[t] for t in row])
 
 
-def rouge_n(summary: Column, reference: Column, n: int) -> Column:
-    """F1 of the n-grams of two token arrays, each counted as often as both sides have it. Null without a reference."""
-    a, b = _grams(summary, n), _grams(reference, n)
-    count = lambda arr, g: F.size(F.filter(arr, lambda x: x == g))
-    overlap = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
-    return F.when(F.size(reference) > 0, F.when(overlap == 0, 0.0).otherwise(2 * overlap / (F.size(a) + F.size(b))))
+def rouge_n(pairs: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """``(*keys, rougeN)`` of ``pairs(*keys, summary, reference)``: F1 of the n-grams of two token arrays, each counted as often as both sides have it.
+
+    Null without a reference, 0 without n-grams in common. ``keys`` must tell the rows apart. N-grams are counted by key, so a long
+    text is no more than its rows.
+    """
+    size = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)) - (n - 1))
+    at = lambda c: F.when(size(c) > 0, F.sequence(F.lit(1), size(c))).otherwise(F.array().cast("array<int>"))
+    grams = lambda c: F.transform(at(c), lambda i: F.array_join(F.slice(c, i, n), " "))
+    side = lambda c, a, b: pairs.select(*keys, F.explode(grams(F.col(c))).alias("gram"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    counted = side("summary", 1, 0).union(side("reference", 0, 1)).groupBy(*keys, "gram").agg(F.least(F.sum("a"), F.sum("b")).alias("both"))
+    shared = counted.groupBy(*keys).agg(F.sum("both").alias("both"))
+    sizes = pairs.select(*keys, (F.coalesce(F.size("reference"), F.lit(0)) > 0).alias("known"), (size(F.col("summary")) + size(F.col("reference"))).alias("n"))
+    both = F.coalesce("both", F.lit(0))
+    score = F.when(F.col("known"), F.when(both == 0, 0.0).otherwise(2 * both / F.col("n")))
+    return sizes.join(shared, keys, "left").select(*keys, score.alias(f"rouge{n}"))
 
 
 @F.pandas_udf(DoubleType())
@@ -41,14 +58,10 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def light_stem(c: Column) -> Column:
-    """Tokens longer than three without plural and common verb endings; no full Porter stemmer, so scores differ a little from one."""
-    return F.when(F.length(c) > 3, F.regexp_replace(F.regexp_replace(c, "sses$", "ss"), "(?<=[a-z]{3})(?:ies|ing|ed|(?<!s)s)$", "")).otherwise(c)
-
-
 def rouge(summaries: DataFrame, docs: DataFrame, stem: bool = True) -> DataFrame:
     """``rouge(doc_key, mode, rouge1, rouge2, rougeL)`` of summaries against their documents' abstracts; nulls without an abstract."""
-    shape = (lambda c: F.transform(rouge_tokens(c), light_stem)) if stem else rouge_tokens
-    pairs = summaries.select("doc_key", "mode", shape(F.array_join("sentences", " ")).alias("summary")).join(docs.select("doc_key", shape(F.coalesce("abstract", F.lit(""))).alias("reference")), "doc_key", "left")
-    a, b = F.col("summary"), F.col("reference")
-    return pairs.select("doc_key", "mode", rouge_n(a, b, 1).alias("rouge1"), rouge_n(a, b, 2).alias("rouge2"), rouge_l(a, b).alias("rougeL"))
+    shape = (lambda c: stemmed(rouge_tokens(c))) if stem else rouge_tokens
+    keys = ["doc_key", "mode"]
+    pairs = summaries.select(*keys, shape(F.array_join("sentences", " ")).alias("summary")).join(docs.select("doc_key", shape(F.coalesce("abstract", F.lit(""))).alias("reference")), "doc_key", "left")
+    long = pairs.select(*keys, rouge_l("summary", "reference").alias("rougeL"))
+    return rouge_n(pairs, 1, keys).join(rouge_n(pairs, 2, keys), keys).join(long, keys).select(*keys, "rouge1", "rouge2", "rougeL")

@@ -5,25 +5,36 @@ from __future__ import annotations
 import numpy as np
 
 
+def _start(x: np.ndarray, norms: np.ndarray, k: int, rng) -> np.ndarray:
+    """Rows of k-means++ starts."""
+    at = [int(rng.integers(len(x)))]
+    d = np.full(len(x), np.inf)
+    while True:
+        d = np.minimum(d, norms - 2 * (x @ x[at[-1]]) + norms[at[-1]]).clip(0)
+        if len(at) == k:
+            return np.array(at)
+        total = np.cumsum(d)
+        at.append(min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(x) - 1) if total[-1] > 0 else int(rng.integers(len(x))))
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = 42, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Labels, centroids and inertia of the best of ``n_init`` runs: k-means++ starts, Lloyd steps, empty clusters moved to the farthest row."""
     best = None
+    norms, spread, own = (x * x).sum(1), tol * x.var(0).mean(), np.arange(k)
     for run in range(n_init):
-        rng = np.random.default_rng([seed, run])
-        c = [x[rng.integers(len(x))]]
-        d = ((x - c[0]) ** 2).sum(1)
-        for _ in range(k - 1):
-            c.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
-            d = np.minimum(d, ((x - c[-1]) ** 2).sum(1))
-        c = np.array(c)
+        c = x[_start(x, norms, k, np.random.default_rng([seed, run]))]
         for _ in range(max_iter):
-            d = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]).clip(0)
+            d = (c * c).sum(1) - 2 * (x @ c.T)
             label = d.argmin(1)
-            new = np.array([x[label == j].mean(0) if (label == j).any() else x[d.min(1).argmax()] for j in range(k)])
+            member = (label[:, None] == own).astype(x.dtype)
+            count = member.sum(0)
+            new = (member.T @ x) / np.maximum(count, 1)[:, None]
+            if (count == 0).any():
+                new[count == 0] = x[(d.min(1) + norms).argmax()]
             moved, c = ((new - c) ** 2).sum(), new
-            if moved <= tol * x.var(0).mean():
+            if moved <= spread:
                 break
-        label = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+        label = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
         inertia = float(((x - c[label]) ** 2).sum())
         if best is None or inertia < best[2]:
             best = label, c, inertia

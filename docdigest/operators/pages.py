@@ -36,15 +36,10 @@ def kept_sentences(docs: DataFrame, text: str = "cleaned_text") -> DataFrame:
     return docs.select("doc_key", F.posexplode(kept_array(F.col(text))).alias("sent_idx", "sentence"))
 
 
-def _is(verdict: str):
-    return lambda v: v == verdict
-
-
 def quality_report(docs: DataFrame, text: str = "cleaned_text") -> DataFrame:
-    """Sentences of each document by verdict. Nothing shuffles: a document's sentences are an array of its row."""
-    verdicts = F.transform(split_sentences(F.col(text)), lambda s: quality_verdict(s))
-    counts = [F.size(F.filter(F.col("v"), _is(k))).cast("long").alias(f"n_{k}") for k in ("short", "symbolic", "reversed", "keep")]
-    return docs.select("doc_key", verdicts.alias("v")).select("doc_key", *counts)
+    """Sentences of each document by verdict; keys must tell documents apart. Sentences are rows, so that verdicts are compiled code; counts are summed in tasks before they shuffle."""
+    rows = docs.select("doc_key", F.explode_outer(split_sentences(F.col(text))).alias("s")).select("doc_key", quality_verdict(F.col("s")).alias("v"), F.col("s").isNotNull().alias("said"))
+    return rows.groupBy("doc_key").agg(*(F.count_if(F.col("said") & (F.col("v") == k)).alias(f"n_{k}") for k in ("short", "symbolic", "reversed", "keep")))
 
 
 def document_status(docs: DataFrame, text: str = "cleaned_text", min_sentences: int = 4) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdigest.functions.vectors import cosine_similarity
-from docdigest.operators.cluster import _matrix
+from docdigest.operators.cluster import _matrix, by_document
 from docdigest.operators.kernels import mlp
 
 MIN_SENTENCES, MIN_KEPT = 30, 20
@@ -67,9 +66,8 @@ def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidd
     rest = labelled.where("not kept").select("doc_key", "sent_idx", F.lit(None).cast("int").alias("label"), F.lit(None).cast(vectors.schema["embedding"].dataType).alias("embedding"), F.lit("none").alias("split"))
 
     def fit(pdf):
-        pdf = pdf.sort_values("sent_idx")
         n, train, val = len(pdf), pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
-        row = [pdf["doc_key"].iloc[0], n, n - len(train) - len(val), len(train), len(val), 0, None, None, None]
+        row = [pdf["doc_key"][0], n, n - len(train) - len(val), len(train), len(val), 0, None, None, None]
         if n < MIN_SENTENCES:
             row.append("too_short")
         elif len(train) + len(val) < MIN_KEPT:
@@ -80,18 +78,22 @@ def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidd
                 row[5:] = [epochs, accuracy, a, b, "trained"]
             except (ValueError, FloatingPointError) as error:
                 row.append(f"failed: {error}")
-        return pd.DataFrame([row], columns=[f.split()[0] for f in TRAINING.split(", ")])
+        return [tuple(row)]
 
-    return split.unionByName(rest).groupBy("doc_key").applyInPandas(fit, TRAINING)
+    return by_document(split.unionByName(rest), fit, TRAINING, ["doc_key", "sent_idx", "label", "embedding", "split"])
 
 
 def train_salience_corpus(vectors: DataFrame, hidden: int = 128, last: int = 32, seed: int = 42):
     """(model, report): one net over all documents' kept rows (sigmoid layers, L-BFGS), judged on the held-out rows."""
-    rows = stratified_split(weak_labels(vectors), seed=seed).select("split", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    dim = len(rows.first()["features"])
-    model = MultilayerPerceptronClassifier(layers=[dim, hidden, last, 2], seed=seed).fit(rows.where("split = 'train'"))
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(rows.where("split = 'val'")))
-    report = rows.groupBy().agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"), F.lit(accuracy).alias("val_accuracy"))
+    rows = stratified_split(weak_labels(vectors), seed=seed).select("split", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
+    try:
+        dim = len(rows.first()["features"])
+        model = MultilayerPerceptronClassifier(layers=[dim, hidden, last, 2], seed=seed).fit(rows.where("split = 'train'"))
+        accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(rows.where("split = 'val'")))
+        n = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
+    finally:
+        rows.unpersist()
+    report = vectors.sparkSession.createDataFrame([(n.get("train", 0), n.get("val", 0), accuracy)], "n_train long, n_val long, val_accuracy double")
     return model, report
 
 

@@ -70,6 +70,11 @@ def _sentences(spark, d) -> DataFrame:
     return pages.kept_sentences(_docs(spark, d), "joined_text")
 
 
+def _said_vectors(spark, d) -> DataFrame:
+    """Vectors of the documents' sentences: a document is a group that does not grow with the table."""
+    return V.embed_sentences(_sentences(spark, d))
+
+
 # Pieces of SQL: character classes, documents after a line of noise, words with positions, sentences by the splitter's rules.
 _W, _D, _S = r"[\p{L}\p{N}_]", r"\p{Nd}", r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 _NOISY = "(SELECT CAST(doc_id AS VARCHAR) AS doc_key, '3.2 Scaled runs [' || doc_id || ', 2–4] hold (Devlin et al., 2018) and (Peters, 2018a) , with dimen- sion x [1].  WMT 2014 English . ' || text AS t FROM documents)"
@@ -120,11 +125,14 @@ def _cleaning(name: str, sql: str | None) -> None:
 
 
 _cleaning("repair_hyphens", rf"regexp_replace(t, '({_W})-{_S}+([a-z])', '\1\2', 'g')")
-_cleaning("strip_section_numbers", None)
+_cleaning("strip_section_numbers", rf"regexp_replace(t, '(^|[^\p{{L}}\p{{N}}_]){_D}+(?:\.{_D}+)*{_S}+([A-Z])', '\1\2', 'g')")
 _cleaning("strip_bracket_citations", rf"regexp_replace(t, '\[(?:{_D}|,|{_S}|–|-)+\]', ' ', 'g')")
 _cleaning("strip_author_year_citations", rf"regexp_replace(t, '\([A-Z][a-z]+(?:{_S}+et{_S}+al\.|{_S}+and{_S}+[A-Z][a-z]+|,{_S}+[A-Z][a-z]+)?,?{_S}*{_D}{{4}}[a-z]?\)', ' ', 'g')")
 _cleaning("strip_math", None)
-_cleaning("strip_page_numbers", None)
+# runs of word characters stand at even places of the parts
+_PARTS = rf"string_split(regexp_replace(t, '({_W}+)', '{T.MARK}\1{T.MARK}', 'g'), '{T.MARK}')"
+_LONE = rf"i % 2 = 0 AND regexp_full_match(p[i], '{_D}{{1,3}}') AND NOT coalesce(regexp_full_match(p[i + 1], '{_S}*') AND regexp_matches(p[i + 2], '^[a-zA-Z]'), false)"
+_cleaning("strip_page_numbers", f"array_to_string(list_transform(range(1, len({_PARTS}) + 1), lambda i: CASE WHEN {_LONE.replace('p[', _PARTS + '[')} THEN ' ' ELSE {_PARTS}[i] END), '')")
 _cleaning("collapse_whitespace", rf"regexp_replace(t, '{_S}+', ' ', 'g')")
 _cleaning("tighten_punctuation", rf"regexp_replace(t, '{_S}+([,;:.!?])', '\1', 'g')")
 _cleaning("clean_text", None)
@@ -212,7 +220,7 @@ def weak_labels(spark, d):
 @query(f"""SELECT doc_key, CAST(k AS INTEGER) AS n_kept, CAST(n - k AS INTEGER) AS n_excluded, CAST(CASE WHEN n >= 30 THEN k - ceil(round(0.2 * k, 9)) ELSE 0 END AS INTEGER) AS n_train, CAST(CASE WHEN n >= 30 THEN ceil(round(0.2 * k, 9)) ELSE 0 END AS INTEGER) AS n_val
   FROM (SELECT doc_key, count(*) AS n, count(label) AS k FROM {_LABELLED} GROUP BY doc_key)""")
 def train_shape(spark, d):
-    t = salience.train_salience(_vectors(spark, d), epochs=1)
+    t = salience.train_salience(_vectors(spark, d))
     used = F.col("status") != "too_short"
     shape = [F.when(used, F.col(c)).otherwise(0).cast("int").alias(c) for c in ("n_train", "n_val")]
     return t.select("doc_key", (F.col("n_train") + F.col("n_val")).alias("n_kept"), "n_excluded", *shape)
@@ -220,12 +228,12 @@ def train_shape(spark, d):
 
 @query()
 def train_salience(spark, d):
-    return salience.loss_curve(salience.train_salience(_vectors(spark, d)))
+    return salience.loss_curve(salience.train_salience(_said_vectors(spark, d)))
 
 
 @query()
 def training_report(spark, d):
-    return salience.training_report(salience.train_salience(_vectors(spark, d)))
+    return salience.training_report(salience.train_salience(_said_vectors(spark, d)))
 
 
 @query()
@@ -285,19 +293,20 @@ def resolve_k(spark, d):
 
 
 def _summaries(spark, d) -> DataFrame:
-    return cluster.summarize(V.embed_sentences(_sentences(spark, d)))
+    return cluster.summarize(_said_vectors(spark, d))
 
 
-@query(f"SELECT doc_key, mode, {_K} AS k_used, CAST(n AS INTEGER) AS n_total_sentences, true AS in_order FROM {_COUNTED}, {_MODES} WHERE n >= 2")
+@query(f"""SELECT doc_key, mode, CASE WHEN n < 2 THEN 0 ELSE {_K} END AS k_used, CAST(n AS INTEGER) AS n_total_sentences, CASE WHEN n < 2 THEN 'too_few_sentences' ELSE 'ok' END AS status, true AS in_order
+  FROM {_COUNTED}, {_MODES} WHERE n >= 1""")
 def summary_shape(spark, d):
     i = F.col("selected_indices")
     fits = (i == F.array_sort(i)) & (F.size(i) <= F.col("k_used")) & (F.size(i) == F.size("sentences"))
-    return _summaries(spark, d).select("doc_key", "mode", "k_used", "n_total_sentences", fits.alias("in_order"))
+    return _summaries(spark, d).select("doc_key", "mode", "k_used", "n_total_sentences", "status", fits.alias("in_order"))
 
 
 @query()
 def summaries_rouge(spark, d):
-    docs = _docs(spark, d).select("doc_key", F.substring("joined_text", 1, 3000).alias("abstract"))
+    docs = _docs(spark, d).select("doc_key", T.extract_abstract(F.concat(F.lit("Title. Abstract: "), "joined_text")).alias("abstract"))
     return evaluate.rouge(_summaries(spark, d), docs)
 
 
@@ -313,12 +322,12 @@ def polish_prompts(spark, d):
 
 @query()
 def elbow_curve(spark, d):
-    return cluster.elbow_curve(_vectors(spark, d), 2, 8)
+    return cluster.elbow_curve(_said_vectors(spark, d))
 
 
 @query()
 def cluster_assignments(spark, d):
-    return cluster.cluster_documents(_vectors(spark, d), ("short",))
+    return cluster.cluster_documents(_said_vectors(spark, d))
 
 
 @query()
@@ -343,12 +352,12 @@ def _rouge_sql(n: int) -> str:
 
 @query(_rouge_sql(1))
 def rouge1(spark, d):
-    return _said(spark, d).select("conv_id", F.round(evaluate.rouge_n(F.col("summary"), F.col("reference"), 1), 6).alias("rouge1"))
+    return evaluate.rouge_n(_said(spark, d), 1, ["conv_id"]).withColumn("rouge1", F.round("rouge1", 6))
 
 
 @query(_rouge_sql(2))
 def rouge2(spark, d):
-    return _said(spark, d).select("conv_id", F.round(evaluate.rouge_n(F.col("summary"), F.col("reference"), 2), 6).alias("rouge2"))
+    return evaluate.rouge_n(_said(spark, d), 2, ["conv_id"]).withColumn("rouge2", F.round("rouge2", 6))
 
 
 @query()
@@ -364,14 +373,52 @@ def chat_history(spark, d):
     return retrieve.chat_history(q, q.select("question_id", F.lit("seen").alias("answer"))).withColumn("turn", F.col("turn").cast("int"))
 
 
-@query()
+_TOP = f"""(SELECT question_id, sent_idx, r FROM (SELECT question_id, sent_idx, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, sent_idx) AS r
+  FROM (SELECT question_id, v.doc_key, sent_idx, {_COS('q', 'e')} AS s FROM {_QUESTIONS} JOIN {_VEC} v USING (doc_key))) WHERE r <= 3)"""
+
+
+@query(f"""SELECT CAST(question_id AS BIGINT) AS question_id, 'Answer from these sentences.' || chr(10) || block || chr(10) || 'which?' AS prompt, 'No answer service. Closest sentences:' || chr(10) || block AS fallback
+  FROM (SELECT question_id, string_agg('- sentence ' || sent_idx, chr(10) ORDER BY r) AS block FROM {_TOP} GROUP BY question_id)""")
 def answer_prompts(spark, d):
     v = _vectors(spark, d).withColumn("sentence", F.concat(F.lit("sentence "), F.col("sent_idx").cast("string")))
     q = _questions(v)
     return retrieve.build_answer_prompts(retrieve.retrieve_topk(q, v), q, "Answer from these sentences.")
 
 
-@query()
+_TOKENS = f"(SELECT doc_key, sent_idx // 5 AS s, sent_idx % 5 AS t, e FROM {_VEC})"
+
+
+@query(f"""SELECT doc_key, CAST(s AS INTEGER) AS sent_idx, 'mean' AS pooling, round(max(m), 6) AS largest, round(min(m), 6) AS least FROM
+  (SELECT doc_key, s, i, m / sqrt(sum(m * m) OVER (PARTITION BY doc_key, s)) AS m FROM (SELECT doc_key, s, i, avg(x) AS m FROM (SELECT doc_key, s, unnest(range(len(e))) AS i, unnest(e) AS x FROM {_TOKENS}) GROUP BY doc_key, s, i)) GROUP BY doc_key, s
+  UNION ALL SELECT doc_key, CAST(s AS INTEGER), 'cls', round(list_max(e), 6), round(list_min(e), 6) FROM {_TOKENS} WHERE t = 0""")
 def mean_pooled(spark, d):
     tokens = _vectors(spark, d).select("doc_key", F.floor(F.col("sent_idx") / 5).cast("int").alias("sent_idx"), (F.col("sent_idx") % 5).alias("token_idx"), F.lit(1).alias("mask"), F.col("embedding").alias("vec"))
-    return V.mean_pool(tokens).union(V.cls_pool(tokens)).select("doc_key", "sent_idx", "pooling", F.round(norm(F.col("embedding")), 6).alias("norm"))
+    return V.mean_pool(tokens).union(V.cls_pool(tokens)).select("doc_key", "sent_idx", "pooling", F.round(F.array_max("embedding"), 6).alias("largest"), F.round(F.array_min("embedding"), 6).alias("least"))
+
+
+_KEPT = f"(SELECT CAST(doc_id AS VARCHAR) AS doc_key, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_idx, s AS sentence FROM {_JUDGED} WHERE v = 'keep')"
+
+
+def _long(sentences: DataFrame) -> DataFrame:
+    """Sentences of a hundred characters or more, as the selected ones."""
+    return sentences.where(F.length("sentence") >= 100).select("doc_key", "sent_idx")
+
+
+@query(f"SELECT doc_key, md5(string_agg(sentence, chr(10) ORDER BY sent_idx)) AS digest FROM {_KEPT} WHERE length(sentence) >= 100 GROUP BY doc_key")
+def selected_sentences(spark, d):
+    said = _sentences(spark, d)
+    return cluster.attach_selected_sentences(_long(said), said).select("doc_key", F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+@query(rf"""SELECT doc_key, count(*) FILTER (length(sentence) >= 100) AS n_selected, CAST(sum(len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> ''))) FILTER (length(sentence) >= 100) AS BIGINT) AS word_count,
+  round(count(*) FILTER (length(sentence) >= 100) / count(*), 9) AS compression_ratio FROM {_KEPT} GROUP BY doc_key HAVING n_selected > 0""")
+def summary_stats(spark, d):
+    said = _sentences(spark, d)
+    return cluster.summary_stats(_long(said), said).withColumn("compression_ratio", F.round("compression_ratio", 9))
+
+
+@query()
+def ingested_documents(spark, d):
+    docs, sentences = pages.ingest_documents(_pages(spark, d))
+    n = sentences.groupBy("doc_key").agg(F.count("*").alias("n_sentences"))
+    return docs.join(n, "doc_key", "left").select("doc_key", F.md5("cleaned_text").alias("digest"), F.length("abstract").alias("abstract_chars"), F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docdigest.functions import text as T
+from docdigest.functions.stem import porter_stem
 from docdigest.operators import cluster, evaluate, kernels, pages, retrieve, salience
 from docdigest.operators import vectors as V
 from docdigest.plans import catalog
@@ -118,9 +119,14 @@ def test_kmeans_and_silhouette():
 
 def test_summaries_do_not_depend_on_partitions(spark):
     v = V.embed_sentences(pages.kept_sentences(catalog._docs(spark, SF).limit(20), "joined_text")).cache()
+    one = spark.createDataFrame([("single", 0, "alone", [1.0] * 256, "cls", "m"), (None, 0, "a", [1.0] * 256, "cls", "m"), (None, 1, "b", [0.5] * 256, "cls", "m")], v.schema)
+    v = v.union(one)
     a, b = (sorted(map(str, cluster.summarize(v.repartition(n)).collect())) for n in (1, 7))
     assert a == b and a
-    for r in cluster.summarize(v).collect():
+    rows = cluster.summarize(v).collect()
+    assert sorted((r.mode, r.status) for r in rows if r.doc_key == "single") == [(m, "too_few_sentences") for m in ("full", "one_page", "short")]
+    assert len([r for r in rows if r.doc_key is None]) == 3 and cluster.summarize(v.limit(0)).count() == 0
+    for r in (r for r in rows if r.status == "ok"):
         assert r.selected_indices == sorted(set(r.selected_indices)) and r.compression_ratio == len(r.sentences) / r.n_total_sentences
 
 
@@ -136,9 +142,23 @@ def test_salience_counts(spark):
 
 
 def test_rouge(spark):
-    df = spark.createDataFrame([(["a", "b", "c", "a"], ["a", "c", "a", "d"]), (["a"], []), (["a"], ["b"])], "s array<string>, r array<string>")
-    got = df.select(evaluate.rouge_n(F.col("s"), F.col("r"), 1), evaluate.rouge_n(F.col("s"), F.col("r"), 2), evaluate.rouge_l("s", "r")).collect()
-    assert [tuple(None if v is None else round(v, 6) for v in r) for r in got] == [(0.75, 0.333333, 0.75), (None, None, None), (0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a"], ["a", "c", "a", "d"]), (2, ["a"], []), (3, ["a"], ["b"]), (4, None, ["b"]), (5, ["x"] * 30_000, ["x"] * 20_000)], "k int, summary array<string>, reference array<string>")
+    both = evaluate.rouge_n(df, 1, ["k"]).join(evaluate.rouge_n(df, 2, ["k"]), "k")
+    got = {r.k: (r.rouge1, r.rouge2) for r in both.collect()}
+    assert [tuple(None if v is None else round(v, 6) for v in got[k]) for k in range(1, 6)] == [(0.75, 0.333333), (None, None), (0.0, 0.0), (0.0, 0.0), (0.8, round(2 * 19_999 / 49_998, 6))]
+    long = {r.k: r.v for r in df.where("k < 5").select("k", evaluate.rouge_l("summary", "reference").alias("v")).collect()}
+    assert long == {1: 0.75, 2: None, 3: 0.0, 4: None}
+    assert evaluate.rouge_n(df.limit(0), 1, ["k"]).count() == 0
+
+
+def test_rouge_stems(spark):
+    words = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "feed": "feed", "motoring": "motor", "conflated": "conflat", "sized": "size", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "valenci": "valenc", "operator": "oper", "hopefulness": "hope", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "was": "wa", "is": "is"}
+    assert {w: porter_stem(w) for w in words} == words
+    summaries = spark.createDataFrame([("d", "short", ["Agreed motoring!", "Was falling"]), ("e", "short", ["x"])], "doc_key string, mode string, sentences array<string>")
+    docs = spark.createDataFrame([("d", "agree motors was fall"), ("e", "")], "doc_key string, abstract string")
+    got = {r.doc_key: r for r in evaluate.rouge(summaries, docs).collect()}
+    assert (got["d"].rouge1, got["d"].rouge2, got["d"].rougeL) == (1.0, 1.0, 1.0) and got["e"].rouge1 is None
+    assert {r.doc_key: r.rouge1 for r in evaluate.rouge(summaries, docs, stem=False).collect()}["d"] == 0.25
 
 
 def test_pooling_and_retrieval(spark):
