@@ -8,15 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdigest.llm.common import cut
+from docdigest.llm.common import cut, lean
 from docdigest.llm.components import Forest, connected_components
 
 #: Cosine from which vectors link.
 THRESHOLD = 0.93
 #: Vectors that the centroids are fitted on at most, vectors of a cell about, cells at most, rounds of the fit.
 SAMPLE, PER_CELL, CELLS, ROUNDS = 20_000, 4000, 1024, 8
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and rows of a batch of dealt vectors.
+BLOCK, ROWS = 1024, 2000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -45,6 +45,7 @@ def _unit(batch_column) -> list[np.ndarray | None]:
     return out
 
 
+@lean
 def _clean(batches):
     """Rows (vec_id, label, embedding) with the unit vector's bytes, or null."""
     for batch in batches:
@@ -61,18 +62,27 @@ def _cells(centroids: dict[int, np.ndarray], threshold: float):
     reach = np.sqrt((1 - threshold) / 2) + 1e-9
     gaps = {p: np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) for p, c in centroids.items()}
 
+    @lean
     def deal(batches):
         for batch in batches:
-            rows = []
-            for row, label, part, unit in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                home, near = 0, [0]
-                if part in centroids:
-                    dot = centroids[part] @ np.frombuffer(unit)
-                    home = int(dot.argmax())
-                    near = np.flatnonzero(dot[home] - dot <= reach * gaps[part][home] + 1e-7).tolist()
-                rows += [(row, label, len(unit) // 8, cell, home, near, unit) for cell in near]
+            rows, labels, parts, units = (batch.column(i).to_pylist() for i in range(4))
+            by_part: dict[int, list[int]] = {}
+            for i, part in enumerate(parts):
+                by_part.setdefault(part if part in centroids else None, []).append(i)
+            out = []
+            for part, members in by_part.items():
+                if part is None:
+                    out += [(rows[i], labels[i], len(units[i]) // 8, 0, 0, [0], units[i]) for i in members]
+                    continue
+                dot = np.frombuffer(b"".join(units[i] for i in members)).reshape(len(members), -1) @ centroids[part].T
+                home = dot.argmax(1)
+                close = dot.max(1)[:, None] - dot <= reach * gaps[part][home] + 1e-7
+                for i, own, cells in zip(members, home.tolist(), close, strict=True):
+                    near = np.flatnonzero(cells).tolist()
+                    out += [(rows[i], labels[i], len(units[i]) // 8, cell, own, near, units[i]) for cell in near]
             kinds = [batch.column(0).type, batch.column(1).type, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["row", "label", "dim", "cell", "home", "near", "unit"])
+            for at in range(0, len(out), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[at : at + ROWS]], kind) for i, kind in enumerate(kinds)], ["row", "label", "dim", "cell", "home", "near", "unit"])
 
     return deal
 
@@ -102,9 +112,9 @@ def _compare(threshold: float):
         near = x @ y.T >= threshold
         inside = home == cell
         near &= ~inside | (xi[:, None] < yi)  # each pair of one cell once
-        for other in np.unique(home[home < cell]):  # a pair that both cells see counts in the smaller
-            seen = np.array([other in n for n in mine["near"]])
-            near[np.ix_(seen, home == other)] = False
+        cells = [set(n) for n in mine["near"]]
+        for other in np.unique(home[home < cell]).tolist():  # a pair that both cells see counts in the smaller
+            near[np.ix_(np.array([other in n for n in cells]), home == other)] = False
         i, j = np.nonzero(near)
         forest, edges = Forest(), []
         for a, b in zip(xi[i].tolist(), yi[j].tolist(), strict=True):

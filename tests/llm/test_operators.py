@@ -401,6 +401,36 @@ def test_near_vectors_loses_no_link_between_cells(spark, monkeypatch):
     assert {r.vec_id: r.component_id for r in got} == {i: of[i] for i in range(800)}
 
 
+@pytest.mark.parametrize("effective", [8, 16])
+def test_near_vectors_of_few_directions(spark, monkeypatch, effective):
+    """768 dimensions that vary in few directions, more than 128 cells: every link is found, and none twice."""
+    from docdigest.llm import near_vectors as N
+
+    monkeypatch.setattr(N, "PER_CELL", 15)
+    random = np.random.default_rng(effective)
+    x = random.normal(size=(2100, effective)) @ random.normal(size=(effective, 768)) + 0.02 * random.normal(size=(2100, 768))
+    x[1000:] = x[:1100] + 0.3 * random.normal(size=(1100, 768)) * np.linalg.norm(x[:1100], axis=1, keepdims=True) / 768**0.5
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    assert near.sum() > 500 and [got[i] for i in range(2100)] == near.tolist()
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_centroids_of_large_tables_fit_the_driver():
+    import tracemalloc
+
+    from docdigest.llm import near_vectors as N
+
+    tracemalloc.start()
+    x = np.random.default_rng(1).normal(size=(5000, 768))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    N._cells({1: N.spherical_kmeans(x, 1024, rounds=1)}, 0.93)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
