@@ -174,8 +174,8 @@ def test_jaccard_candidates_in_bounded_memory(members):
     import pyarrow as pa
 
     n = 10_000
-    sets = np.arange(2 * members, dtype=np.int64).reshape(-1, 2)
-    rows = [[7] * members, [np.arange(n, dtype=np.uint64).tobytes()] * members, [np.repeat(s[None], n, 0).tobytes() for s in sets], [np.full(n, n, np.int32).tobytes()] * members, [b""] * members]
+    sets = np.arange(members, dtype=np.int64)
+    rows = [[7] * members, [np.arange(n, dtype=np.uint64).tobytes()] * members, [np.repeat(s, n).tobytes() for s in sets], [np.full(n, n, np.int32).tobytes()] * members, [b""] * members]
     batch = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], jaccard_join._DEALT)
     tracemalloc.start()
     found = list(jaccard_join._candidates([batch]))
@@ -183,7 +183,7 @@ def test_jaccard_candidates_in_bounded_memory(members):
     tracemalloc.stop()
     shared = {}
     for r in (r for b in found for r in b.to_pylist()):
-        shared[(r["a1"], r["b1"])] = None if r["shared"] is None else shared.get((r["a1"], r["b1"]), 0) + r["shared"]
+        shared[(r["a"], r["b"])] = None if r["shared"] is None else shared.get((r["a"], r["b"]), 0) + r["shared"]
     if members <= jaccard_join.PAIRED:
         assert len(shared) == members * (members - 1) // 2 and set(shared.values()) == {n}
     else:
@@ -702,6 +702,41 @@ def test_mixing_draws_shards_multinomially(spark, monkeypatch):
     assert [r.source for r in sorted(ranked, key=lambda r: r.rank)] == ["", "Z", "a", "b", "é", "\uffff", "\U0001f600", None] and sorted(r.rank for r in ranked) == list(range(1, 9))
 
 
+def test_pipeline_of_no_rows_and_of_clashing_names(spark):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    names = ["lang_pred", "score", "row", "best", "found", "n_words", "hits", "items", "longest", "s1", "n", "size", "k", "run", "start", "component", "node"]
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{text} {i} tail of its own {'x y z ' * i}", "en", "s", 1, *range(len(names))) for i in range(4)] + [(9, None, None, None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        found = docs.collect()
+        assert docs.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), *names], name
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in found) and {r.doc_id for r in found} >= {0}, name
+    assert "taken" in corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns
+
+
+def test_jaccard_of_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard_components(docs).count() == 0 and one_of_each(docs).count() == 0
+
+
+def test_html_vote_ties_and_long_pages(spark):
+    """Of paths with equally many votes, the greatest digest wins, however rows are dealt; a page of megabytes is read whole."""
+    rows = [(1, "http://t/1", f"<div class=a>{LONG}</div>"), (2, "http://t/2", f"<div class=b>{LONG}</div>"), (3, "http://t/3", "<p>" + "word &amp; " * 300_000 + "end</p>" + "<!-- <p> -->" * 10_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    won = {tuple((r.path, r.votes) for r in host_paths(pages.where("page_id < 3").repartition(n)).collect()) for n in (1, 4)}
+    assert len(won) == 1 and won.pop()[0][1] == 1
+    got = {r.page_id: r for r in extract_text(pages).collect()}
+    assert got[1].text == got[2].text == LONG.strip() and got[3].n_chars == len("word & ") * 300_000 + 3
+    verdicts = judge(pages.selectExpr("page_id", "url", "concat(html, repeat('<link ', 100000)) as html")).collect()
+    assert {r.verdict for r in verdicts} == {"allow"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
