@@ -11,6 +11,8 @@ from docdigest.functions.vectors import cosine_similarity
 
 #: Questions that one pass over the vectors scores at once.
 QUESTIONS = 2000
+#: Questions whose scores with a batch of vectors are held at once.
+TOGETHER = 250
 
 
 def _ranked(scored: DataFrame, k: int, *tie) -> DataFrame:
@@ -51,17 +53,18 @@ def retrieve_topk_corpus(questions: DataFrame, vectors: DataFrame, k: int = 3) -
                 pdf = pdf.sort_values(["doc_key", "sent_idx"], na_position="first", kind="stable")
                 x = np.stack(pdf["embedding"].to_numpy()).astype(float)
                 size = _sums(x * x) ** 0.5 + 1e-8
-                s = (m / sizes[:, None]) @ (x / size[:, None]).T
-                s[np.isnan(s)] = np.inf
-                last = min(k, len(x)) - 1
-                least = -np.partition(-s, last, axis=1)[:, last] - 1e-9
-                found = []
-                for i, row in enumerate(s):  # all that may be among the k best; a product's rounding depends on its place, so these are summed anew
-                    near = np.flatnonzero(row >= least[i])
-                    exact = _sums(x[near] * m[i]) / (sizes[i] * size[near])
-                    best = np.argsort(-np.where(np.isnan(exact), np.inf, exact), kind="stable")[:k]
-                    at = near[best]
-                    found.append(pd.DataFrame({"question_id": ids[i], "doc_key": pdf["doc_key"].to_numpy()[at], "sent_idx": pdf["sent_idx"].to_numpy()[at], "score": exact[best]}))
+                unit, found = (x / size[:, None]).T, []
+                for lo in range(0, len(ids), TOGETHER):
+                    s = (m[lo : lo + TOGETHER] / sizes[lo : lo + TOGETHER, None]) @ unit
+                    s[np.isnan(s)] = np.inf
+                    last = min(k, len(x)) - 1
+                    least = -np.partition(-s, last, axis=1)[:, last] - 1e-9
+                    for i, row in enumerate(s, lo):  # all that may be among the k best; a product's rounding depends on its place, so these are summed anew
+                        near = np.flatnonzero(row >= least[i - lo])
+                        exact = _sums(x[near] * m[i]) / (sizes[i] * size[near])
+                        best = np.argsort(-np.where(np.isnan(exact), np.inf, exact), kind="stable")[:k]
+                        at = near[best]
+                        found.append(pd.DataFrame({"question_id": ids[i], "doc_key": pdf["doc_key"].to_numpy()[at], "sent_idx": pdf["sent_idx"].to_numpy()[at], "score": exact[best]}))
                 yield pd.concat(found)
 
         part = vectors.select("doc_key", "sent_idx", "embedding").mapInPandas(score, "question_id long, doc_key string, sent_idx int, score double")
