@@ -360,7 +360,14 @@ def rouge2(spark, d):
     return evaluate.rouge_n(_said(spark, d), 2, ["conv_id"]).withColumn("rouge2", F.round("rouge2", 6))
 
 
-@query()
+# the table of longest common subsequences, a row for each token of one side; a row's values never fall
+_LCS = """list_reduce(list_transform(list_concat([''], a), lambda x: list_transform(b, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END)),
+  lambda p, e: list_transform(range(1, len(e) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(p[i], CASE WHEN e[i] = 1 THEN CASE WHEN i = 1 THEN 0 ELSE p[i - 1] END + 1 ELSE 0 END)))))[-1]"""
+_SIDE = lambda role: f"coalesce(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn) FILTER (role = '{role}')), '[a-z0-9]+'), [])"
+
+
+@query(f"""WITH t AS (SELECT conv_id, {_SIDE("assistant")} AS a, {_SIDE("user")} AS b FROM conversations GROUP BY conv_id),
+ m AS (SELECT conv_id, 2.0 * {_LCS} / (len(a) + len(b)) AS f FROM t WHERE len(b) > 0) SELECT t.conv_id, round(f, 6) AS rouge_l FROM t LEFT JOIN m USING (conv_id)""")
 def rouge_l(spark, d):
     return _said(spark, d).select("conv_id", F.round(evaluate.rouge_l("summary", "reference"), 6).alias("rouge_l"))
 
