@@ -249,7 +249,7 @@ def _found(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (word spans under any window of an item), ``items`` and ``longest`` (words of the longest match with a window or more).
+    """``docs`` (but for its text) with ``n_words``, ``hits`` (word spans under any window of an item), ``items`` and ``longest`` (words of the longest match with a window or more).
 
     Words are runs of ASCII letters and digits and of other than ASCII characters, A-Z lower-cased. A null text has none. A
     null item id is called ``null``; items of one id are one; items without words have no window. Columns of ``docs`` that have

@@ -28,7 +28,7 @@ NEGATIVE = frozenset(
     " footer header masthead comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
     " subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer search".split()
 )
-BESIDE = frozenset("site page main top bottom left right box block area bar list items links posts articles section container wrapper wrap inner outer unit slot form thread row col content global primary secondary sticky".split())
+BESIDE = frozenset("site page main top bottom left right box block area bar list items links posts articles section container wrapper wrap inner outer unit slot form thread row col global primary secondary sticky".split())
 # Classes that mark a paragraph or a piece of one as an advert, and roles of what is not the article.
 ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
 ROLES = frozenset("navigation banner search alert contentinfo complementary".split())
@@ -86,7 +86,8 @@ def _marks(word: str) -> bool:
 class Page:
     """A page's elements and its blocks of text. Elements: parent, tag, path digest; 0 is the page. Blocks: element, text, text inside links."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, dropped: frozenset[str] = DROPPED) -> None:
+        self.dropped = dropped
         self.parent, self.tag, self.name, self.key, self.out, self.inside, self.block = [-1], [""], [""], [b""], [False], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         stack, open_, text = [0], {}, []
@@ -150,7 +151,7 @@ class Page:
                 found.setdefault(key.lower(), a or b or c)
         classes = entities.unescape(found.get("class", "")).lower().split()
         inside = self.inside[up] or name in ("article", "main")
-        out = self.out[up] or name in DROPPED or "hidden" in found or found.get("role", "").lower() in ROLES or name == "header" and not inside
+        out = self.out[up] or name in self.dropped or "hidden" in found or found.get("role", "").lower() in ROLES or name == "header" and not inside
         if name in MARKED and not out:
             marked = [w for w in (*classes, found.get("id", "").lower()) if _marks(w)]
             own = inside or {"article", "post", "entry"} & {x for w in classes for x in _WORD.findall(w)}
@@ -215,13 +216,27 @@ class Page:
         return "\n\n".join(t for owner, t, _ in self.blocks if inside[owner]) or None
 
 
+#: Characters outside of links from which on the text of a form is taken for an article's, on a page that has no other.
+FORM_TEXT = 200
+
+
+def read_page(source: str | None) -> tuple[Page, int]:
+    """A page and its smallest container of the text. A page that has all of its text in a form, as some systems make them, is read with it."""
+    page = Page(source or "")
+    if not page.blocks and source and "<form" in source.lower():
+        whole = Page(source, DROPPED - {"form"})
+        x = whole.best()
+        if whole.weight[0] >= FORM_TEXT:
+            return whole, x
+    return page, page.best()
+
+
 @lean
 def _votes(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: dict[tuple[str, bytes], list] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            page = Page(source.as_py() or "")
-            x = page.best()
+            page, x = read_page(source.as_py())
             if page.blocks:
                 votes.setdefault((host, page.key[x]), [0, page.path(x)])[0] += 1
         columns = [pa.array([h for h, _ in votes], pa.string()), pa.array([k for _, k in votes], pa.binary()), pa.array([v[1] for v in votes.values()], pa.string()), pa.array([v[0] for v in votes.values()], pa.int64())]
@@ -233,8 +248,7 @@ def _texts(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for source, key in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            page = Page(source.as_py() or "")
-            x = page.best()
+            page, x = read_page(source.as_py())
             out.append((page.text(key) if key is not None else None) or page.text(page.key[x]) or "\n\n".join(t for _, t, _ in page.blocks))
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], [*batch.schema.names[2:], "text"])
 
@@ -255,7 +269,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     The text has the blocks of the host's winning container, or of the page's own one where the page lacks that or has most of
     its text elsewhere: white space in a block becomes one space, blocks are joined by an empty line. Menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and comments are left out. Null html has the empty text; null URLs share one host.
+    sidebars, notices, adverts, forms (but one that has all of a page's text), scripts, styles and comments are left out. Null html has the empty text; null URLs share one host.
     """
     won = small(cut(host_paths(pages)).select(F.col("host").alias("__host"), F.col("key").alias("__key")), "__host")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url").cast("string")).alias("__h"))
