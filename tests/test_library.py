@@ -191,6 +191,43 @@ def test_files(spark, tmp_path):
     assert tables.new_documents_only(files, files.where("stem = 'a'")).count() == 1
 
 
+def test_stage_tables(spark, tmp_path):
+    pages_ = spark.createDataFrame([("d", 0, "text"), ("e", 1, None)], tables.SCHEMAS["pages"])
+    pages_.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "pages"))
+    back = tables.read_table(spark, "pages", str(tmp_path / "pages"))
+    assert back.columns == ["doc_key", "page_num", "text"] and sorted(map(str, back.collect())) == sorted(map(str, pages_.collect()))
+    rows = [("d", m, 1, 3, [0], ["One two."], 2, 1 / 3, None, "ok") for m in cluster.MODES]
+    summaries = spark.createDataFrame(rows, cluster.SUMMARY)
+    for fmt in ("parquet", "json"):
+        tables.write_summaries(summaries, str(tmp_path / fmt), fmt)
+        assert {(r.mode, r.word_count) for r in spark.read.format(fmt).load(str(tmp_path / fmt)).collect()} == {(m, 2) for m in cluster.MODES}
+        assert (tmp_path / fmt / "mode=short").is_dir()
+    report = {r.mode: r for r in tables.summary_report(summaries).collect()}["short"]
+    assert report.file_name == "paper_short_extractive_summary.txt" and "33%" in report.report and report.report.endswith("One two.")
+    assert summaries.select(retrieve.numbered(F.array(F.lit("a"), F.lit("b"))).alias("n")).first().n == ["1. a", "2. b"]
+    prompt = retrieve.build_polish_prompts(summaries, "go").first()
+    assert prompt.prompt == "go\n1. One two." and prompt.fallback == "One two."
+
+
+def test_corpus_models(spark):
+    rng = np.random.default_rng(5)
+    rows = [("d", i, (rng.normal(size=4) * 0.05 + np.eye(4)[i % 3]).tolist()) for i in range(90)]
+    v = spark.createDataFrame(rows, "doc_key string, sent_idx int, embedding array<double>")
+    found = {r.sent_idx: r.cluster_id for r in cluster.cluster_corpus(v, 3)[1].collect()}
+    assert all((found[i] == found[j]) == (i % 3 == j % 3) for i in range(90) for j in range(0, 90, 7))
+    assert len({r.cluster_id for r in cluster.cluster_documents(v, ("short",)).collect()}) == 4
+    elbow = [r.inertia for r in cluster.elbow_curve(v).orderBy("k").collect()]
+    assert len(elbow) == 19 and elbow[1] < 2 < elbow[0]
+    report = salience.train_salience_corpus(v)[1].first()
+    assert report.n_train + report.n_val == 60 and report.n_val == 12 and 0 <= report.val_accuracy <= 1
+    every = V.pairwise_similarity(v.where("sent_idx < 5"), min_score=0.9).collect()
+    want = {(i, j) for i in range(5) for j in range(i + 1, 5) if np.dot(rows[i][2], rows[j][2]) / np.linalg.norm(rows[i][2]) / np.linalg.norm(rows[j][2]) >= 0.9}
+    assert {(r.i, r.j) for r in every} == want
+    curve = salience.loss_curve(salience.train_salience(v)).collect()
+    assert [r.epoch for r in curve] == list(range(1, 16))
+    assert [(r.status, r.documents) for r in salience.training_report(salience.train_salience(v)).collect()] == [("trained", 1)]
+
+
 def test_streams(spark, tmp_path):
     text = "The first page has one long sentence that is kept by all of the gates. " * 3
     arrivals = [[("d", 0, text), ("d", 0, text), ("e", 0, text)], [("d", 1, text.upper()), ("d", 0, "another " + text)], [("d", 1, text.upper())]]
