@@ -44,14 +44,16 @@ def _address(url: Column) -> Column:
 
 
 def _unescaped(c: Column) -> Column:
-    """Text with character references decoded: numbers, and the names of what stands in addresses."""
+    """Text with character references decoded: numbers (U+FFFD for what is no character), and the names of what stands in addresses."""
     names = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%"}
 
     def one(part: Column, i: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]+);", 1)
         digits = F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 6)).otherwise(F.conv(F.substring(name, 2, 7), 10, 16))
         sign = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[name]
-        sign = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(sign)
+        value = F.conv(digits, 16, 10).cast("long")
+        valid = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+        sign = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(F.when(valid, digits).otherwise("FFFD"), 8, "0")), "UTF-32")).otherwise(sign)
         rest = F.substr(part, F.length(name) + 2)
         return F.when(i == 0, part).when((name == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, rest))
 
