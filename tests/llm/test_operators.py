@@ -153,7 +153,7 @@ def test_jaccard_edges(spark):
 
 
 def test_jaccard_large_families(spark, monkeypatch):
-    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("CHUNK", 4), ("COMMON", 6), ("DEALT", 900), ("PAIRS", 50), ("PER_BUCKET", 2000)):
+    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("CHUNK", 4), ("WIDE", 3), ("WIDE_CLASS", 17), ("COMMON", 6), ("DEALT", 900), ("PAIRS", 50), ("PER_BUCKET", 2000)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(11)
     base = [f"v{i}" for i in rng.integers(0, 500, 200)]
@@ -464,7 +464,7 @@ def test_urls(spark):
 
 def test_urls_resolve_targets(spark):
     page = "http://h.net/a/b/c.html?q=1#f"
-    cases = {"../x": "http://h.net/a/x", "b.html": "http://h.net/a/b/b.html", "./b?z#y": "http://h.net/a/b/b?z#y", "/r/../s": "http://h.net/s", "//o.net/p": "http://o.net/p", "?p=2": "http://h.net/a/b/c.html?p=2", "../../../..": "http://h.net/", "#top": None, "mailto:x@y": None, "HTTPS://o.net/": "HTTPS://o.net/", "a&amp;b&#47;c&#x2E;d&nope;e&": "http://h.net/a/b/a&b/c.d&nope;e&"}
+    cases = {"../x": "http://h.net/a/x", "b.html": "http://h.net/a/b/b.html", "./b?z#y": "http://h.net/a/b/b?z#y", "/r/../s": "http://h.net/s", "//o.net/p": "http://o.net/p", "?p=2": "http://h.net/a/b/c.html?p=2", "../../../..": "http://h.net/", "#top": None, "mailto:x@y": None, "HTTPS://o.net/": "HTTPS://o.net/", "a&amp;b&#47;c&#x2E;d&nope;e&": "http://h.net/a/b/a&b/c.d&nope;e&", "&#1114112;&#xD800;&#0;&#x1F600;": "http://h.net/a/b/\ufffd\ufffd\ufffd\U0001f600"}
     rows = [(i, page, f'<link href="{t}" rel="canonical">') for i, t in enumerate(cases)]
     rows += [(100, page, "<base href='/base/'><link rel='alternate canonical' href='k'>"), (101, page, "<!-- <link rel=canonical href=k> --><link rel=stylesheet href=canonical><link data-href=q rel=canonical href=r>"), (102, page, None), (103, "no url", "<link rel=canonical href=k>"), (104, page, "<meta content=\"3; URL='n/../m'\" http-equiv=Refresh>")]
     df = spark.createDataFrame(rows, "i int, url string, html string")
