@@ -177,7 +177,8 @@ def _blocks(docs: DataFrame, packed: DataFrame, sources: DataFrame, seed: int, b
     placed = both.select("source_key", "doc_id", F.explode("places").alias("at"), "text").select("source_key", "doc_id", "at.start", "at.size", "text")
     pieces = placed.mapInArrow(_pieces(block), f"source_key string, block long, doc_id {kind}, start long, size long, word long, words long, text string")
     parts = F.sort_array(F.collect_list(F.struct("start", "doc_id", "size", "word", "words", "text"))).alias("parts")
-    return draw_blocks(sources, seed, block).join(pieces.groupBy("source_key", "block").agg(parts), ["source_key", "block"]).select("source_key", "slot", "shard", "block", "parts")
+    drawn = draw_blocks(sources, seed, block).hint("merge")  # Spark takes it for as small as the sources that it is drawn from
+    return drawn.join(pieces.groupBy("source_key", "block").agg(parts), ["source_key", "block"]).select("source_key", "slot", "shard", "block", "parts")
 
 
 def mixed_blocks(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 1, block: int = BLOCK) -> DataFrame:
