@@ -116,12 +116,12 @@ def flat_pages(spark, d):
     return pages.assemble_pages(_words(spark, d), detect_columns=False).select("doc_key", "page_num", F.md5("text").alias("digest"))
 
 
-def _cleaning(name: str, sql: str | None) -> None:
+def _cleaning(name: str, sql: str | None, source: str = _NOISY) -> None:
     def run(spark, d, step=getattr(T, name)):
         return _noisy(spark, d).select("doc_key", F.md5(step(F.col("joined_text"))).alias("digest"))
 
     run.__name__ = f"clean_{name}"
-    query(sql and f"SELECT doc_key, md5({sql}) AS digest FROM {_NOISY}")(run)
+    query(sql and f"SELECT doc_key, md5({sql}) AS digest FROM {source}")(run)
 
 
 _cleaning("repair_hyphens", rf"regexp_replace(t, '({_W})-{_S}+([a-z])', '\1\2', 'g')")
@@ -132,7 +132,7 @@ _cleaning("strip_math", None)
 # runs of word characters stand at even places of the parts
 _PARTS = rf"string_split(regexp_replace(t, '({_W}+)', '{T.MARK}\1{T.MARK}', 'g'), '{T.MARK}')"
 _LONE = rf"i % 2 = 0 AND regexp_full_match(p[i], '{_D}{{1,3}}') AND NOT coalesce(regexp_full_match(p[i + 1], '{_S}*') AND regexp_matches(p[i + 2], '^[a-zA-Z]'), false)"
-_cleaning("strip_page_numbers", f"array_to_string(list_transform(range(1, len({_PARTS}) + 1), lambda i: CASE WHEN {_LONE.replace('p[', _PARTS + '[')} THEN ' ' ELSE {_PARTS}[i] END), '')")
+_cleaning("strip_page_numbers", f"array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN {_LONE} THEN ' ' ELSE p[i] END), '')", f"(SELECT doc_key, {_PARTS} AS p FROM {_NOISY})")
 _cleaning("collapse_whitespace", rf"regexp_replace(t, '{_S}+', ' ', 'g')")
 _cleaning("tighten_punctuation", rf"regexp_replace(t, '{_S}+([,;:.!?])', '\1', 'g')")
 _cleaning("clean_text", None)
