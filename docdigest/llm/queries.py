@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from docdigest.llm.chat_format import describe_conversations
 from docdigest.llm.common import small_batches
+from docdigest.llm.conversation_trie import conversation_trie
 from docdigest.llm.decontaminate import count_hits, find_windows
+from docdigest.llm.divergence import audit_sources
 from docdigest.llm.html_text import extract_text
 from docdigest.llm.jaccard_join import jaccard_components
 from docdigest.llm.language_id import fit_prototypes, held_out, learnable, predict_language
 from docdigest.llm.licenses import scan_licenses
+from docdigest.llm.line_dedup import dedup_lines
 from docdigest.llm.mixing import mix
 from docdigest.llm.near_vectors import near_vectors
 from docdigest.llm.oracles import ORACLES
@@ -86,7 +89,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, source, part, item, value, rank) of each group's distances and outstanding terms."""
+    return audit_sources(_read(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each document."""
+    return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_decontaminate, op6_near_vectors, op7_url_filter, op8_chat_format, op9_html_text, op10_mixing)
+    for f in (op1_language_id, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_decontaminate, op6_near_vectors, op7_url_filter, op8_chat_format, op9_html_text, op10_mixing, op11_source_divergence, op12_line_dedup, op13_conversation_trie)
 }
