@@ -36,34 +36,33 @@ def _pieces(text: str) -> Iterator[list[bytes]]:
         yield _TERM.findall(piece[0])
 
 
-def _counting(add, keys: int):
-    """A function of batches that counts terms by the first ``keys`` columns (the text stands after them); ``add`` puts a text's terms into a counter."""
+def _counted(batches: Iterator[pa.RecordBatch], add) -> Iterator[dict[tuple, Counter]]:
+    """Counters of terms by the columns before the text, handed on whenever they hold much; ``add`` puts a text's terms into one."""
+    held: dict[tuple, Counter] = defaultdict(Counter)
+    read = size = 0
+    for batch in batches:
+        for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counter = held[tuple(key)]
+            before = len(counter)
+            add(counter, text)
+            read, size = read + len(text), size + len(counter) - before
+            if read > HELD_BYTES or size > HELD_TERMS:
+                yield held
+                held.clear()
+                read = size = 0
+    yield held
 
-    @lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = defaultdict(Counter)
-        read = size = 0
-
-        def rows():
-            for key, counter in held.items():
-                n = len(counter)
-                names = [pa.array([k] * n, pa.string()) for k in key]
-                terms = pa.array(counter.keys(), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*names, terms, pa.array(counter.values(), pa.int64())], [*"ab"[:keys], "term", "n"])
-            held.clear()
 
-        for batch in batches:
-            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counter = held[tuple(key)]
-                before = len(counter)
-                add(counter, text)
-                read, size = read + len(text), size + len(counter) - before
-                if read > HELD_BYTES or size > HELD_TERMS:
-                    yield from rows()
-                    read = size = 0
-        yield from rows()
+def _strings(terms) -> pa.Array:
+    return pa.array(terms, pa.binary()).cast(pa.string())
 
-    return count
+
+@lean
+def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (lang, text), (lang, term, n): texts that have a term."""
+    for held in _counted(batches, _once):
+        for (lang,), counter in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), _strings(list(counter)), pa.array(list(counter.values()), pa.int64())], ["lang", "term", "n"])
 
 
 def _once(counter: Counter, text: str) -> None:
@@ -110,7 +109,7 @@ def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Da
     ``shards(lang, shard, first, base, size, transducer)`` are transducers over ranges of at most ``SHARD_TERMS`` sorted terms, ``shard``
     numbers them and ``base`` is the ordinal of a shard's first term in its language; ``terms(lang, ord, term)`` has every term's ordinal.
     """
-    found = _texts(docs).select("lang", "text").mapInArrow(_counting(_once, 1), "lang string, term string, n long")
+    found = _texts(docs).select("lang", "text").mapInArrow(_documents_with, "lang string, term string, n long")
     kept = cut(found.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("lang", "term"))
     ranges = kept.count() // SHARD_TERMS + 1
     made = kept.repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_build, "lang string, first string, ord long, term string, transducer binary")
@@ -154,20 +153,27 @@ def _recounted(texts: DataFrame, shards: DataFrame) -> DataFrame:
     for r in shards.select("lang", "first", "base", "transducer").collect():
         rows[r.lang].append((r.first.encode(), r.base, bytes(r.transducer)))
     sent = texts.sparkSession.sparkContext.broadcast(dict(rows))
-    count = _counting(_every, 2)
 
     @lean
     def run(batches):
         opened: dict[str, _Vocabulary] = {}
-        for batch in count(batches):
-            lang = batch.column(0)[0].as_py() if batch.num_rows else None
-            if lang not in sent.value:
-                continue
-            if lang not in opened:
-                opened[lang] = _Vocabulary(sent.value[lang])
-            place = opened[lang].ordinals(batch.column(2).cast(pa.binary()).to_pylist())
-            known = pa.array(place >= 0)
-            yield pa.RecordBatch.from_arrays([c.filter(known) for c in (batch.column(0), batch.column(1), pa.array(place), batch.column(3))], ["lang", "source", "ord", "n"])
+        for held in _counted(batches, _every):
+            seen = defaultdict(list)
+            for (lang, _), counter in held.items():
+                if lang in sent.value:
+                    seen[lang].append(counter)
+            for lang, counters in seen.items():  # each distinct term walks once
+                if lang not in opened:
+                    opened[lang] = _Vocabulary(sent.value[lang])
+                terms = list(set().union(*counters))
+                place = opened[lang].ordinals(terms)
+                seen[lang] = {terms[i]: p for i, p in zip(np.flatnonzero(place >= 0).tolist(), place[place >= 0].tolist(), strict=True)}
+            for (lang, source), counter in held.items():
+                place = seen.get(lang) or {}
+                found = [(place[t], n) for t, n in counter.items() if t in place]
+                if found:
+                    at, n = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([source] * len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lang", "source", "ord", "n"])
 
     return texts.mapInArrow(run, _COUNTS)
 
@@ -178,16 +184,17 @@ def _dealt(texts: DataFrame, shards: DataFrame) -> DataFrame:
     for r in shards.select("lang", "first", "shard").collect():
         bounds[r.lang].append((r.first.encode(), r.shard))
     bounds = {lang: tuple(zip(*sorted(rows), strict=True)) for lang, rows in bounds.items()}
-    count = _counting(_every, 2)
 
     @lean
     def route(batches):
-        for batch in count(batches):
-            lang = batch.column(0)[0].as_py() if batch.num_rows else None
-            if lang in bounds:
-                first, shard = bounds[lang]
-                to = [bisect_right(first, t) - 1 for t in batch.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([shard[i] if i >= 0 else None for i in to], pa.int32()), *batch.columns], ["shard", "lang", "source", "term", "n"])
+        for held in _counted(batches, _every):
+            for (lang, source), counter in held.items():
+                if lang in bounds and counter:
+                    first, shard = bounds[lang]
+                    terms = list(counter)
+                    to = [bisect_right(first, t) - 1 for t in terms]
+                    names = ([x] * len(terms) for x in (lang, source))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard[i] if i >= 0 else None for i in to], pa.int32()), *map(pa.array, names), _strings(terms), pa.array(list(counter.values()), pa.int64())], ["shard", "lang", "source", "term", "n"])
 
     @lean
     def walk(batches):

@@ -14,6 +14,7 @@ from docdigest.llm.cuckoo import CuckooFilter
 from docdigest.llm.divergence import audit_sources
 from docdigest.llm.line_dedup import LineIndex, dedup_lines
 from docdigest.llm.transducer import Transducer
+
 LOWER = {x: x + 32 for x in range(65, 91)}
 
 
