@@ -22,7 +22,7 @@ SHARD_TERMS, SENT_BYTES = 50_000, 16 << 20
 #: Distinct terms, and bytes of text, that a task counts before it hands the counts on.
 HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
 #: Terms and sources of one matrix of shares.
-BLOCK_TERMS, BLOCK_SOURCES = 4096, 256
+BLOCK_TERMS, BLOCK_SOURCES = 512, 256
 #: Tasks among which the terms of one transducer are dealt.
 SALTS = 16
 
