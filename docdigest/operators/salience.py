@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdigest.functions.vectors import cosine_similarity
-from docdigest.operators.cluster import _matrix, by_document
+from docdigest.operators import nets
+from docdigest.operators.cluster import LARGE, _matrix, by_document
 from docdigest.operators.kernels import mlp
+from docdigest.sources.lineage import cut
 
 MIN_SENTENCES, MIN_KEPT = 30, 20
 
@@ -27,16 +29,21 @@ def salience_scores(vectors: DataFrame) -> DataFrame:
     return both.withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("centroid"))).drop("centroid")
 
 
-def tertile_cuts(scores: DataFrame, lower: float = 33.33, upper: float = 66.67) -> DataFrame:
-    """``(doc_key, lo, hi)``: exact percentiles with linear interpolation."""
-    cuts = scores.groupBy("doc_key").agg(F.percentile("similarity", [lower / 100, upper / 100]).alias("c"))
-    return cuts.select("doc_key", F.col("c")[0].alias("lo"), F.col("c")[1].alias("hi"))
+def tertile_cuts(scores: DataFrame, lower: float = 33.33, upper: float = 66.67, accuracy: int | None = None) -> DataFrame:
+    """``(doc_key, lo, hi)``: exact percentiles with linear interpolation; with ``accuracy`` members of the document from mergeable sketches.
 
+    A sketch's cut stands within n / ``accuracy`` places of the exact one among a document's n scores; tasks merge sketches of bounded size
+    in one aggregation, where exact cuts gather a document's distinct scores.
+    """
+    at = [lower / 100, upper / 100]
+    cut = F.percentile("similarity", at) if accuracy is None else F.percentile_approx("similarity", at, accuracy)
+    return scores.groupBy("doc_key").agg(cut.alias("c")).select("doc_key", F.col("c")[0].alias("lo"), F.col("c")[1].alias("hi"))
 
-def weak_labels(vectors: DataFrame, lower: float = 33.33, upper: float = 66.67) -> DataFrame:
+
+def weak_labels(vectors: DataFrame, lower: float = 33.33, upper: float = 66.67, accuracy: int | None = None) -> DataFrame:
     """``salience``: the top share is labelled 1, the bottom share 0, what is between is not kept."""
     scores = salience_scores(vectors)
-    both = scores.join(tertile_cuts(scores, lower, upper), "doc_key")
+    both = scores.join(tertile_cuts(scores, lower, upper, accuracy), "doc_key")
     kept = (F.col("similarity") <= F.col("lo")) | (F.col("similarity") >= F.col("hi"))
     label = F.when(F.col("similarity") >= F.col("hi"), 1).when(F.col("similarity") <= F.col("lo"), 0)
     return both.withColumn("label", label.cast("int")).withColumn("kept", kept).drop("lo", "hi")
@@ -59,11 +66,15 @@ def stratified_split(salience: DataFrame, val: float = 0.2, seed: int = 42) -> D
 TRAINING = "doc_key string, n_total int, n_excluded int, n_train int, n_val int, epochs int, val_accuracy double, train_losses array<double>, val_losses array<double>, status string"
 
 
-def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidden=(128, 32), dropout: float = 0.3, seed: int = 42) -> DataFrame:
-    """``training``: one small net for each document; a document that is too short, keeps too little or fails has a row that says so."""
+def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidden=(128, 32), dropout: float = 0.3, seed: int = 42, large: int = LARGE) -> DataFrame:
+    """``training``: one small net for each document; a document that is too short, keeps too little or fails has a row that says so.
+
+    The nets of documents of more than ``large`` sentences are trained over all executors: each epoch adds up gradients by document.
+    """
     labelled = weak_labels(vectors)
     split = stratified_split(labelled, seed=seed).select("doc_key", "sent_idx", "label", "embedding", "split")
     rest = labelled.where("not kept").select("doc_key", "sent_idx", F.lit(None).cast("int").alias("label"), F.lit(None).cast(vectors.schema["embedding"].dataType).alias("embedding"), F.lit("none").alias("split"))
+    rows = split.unionByName(rest)
 
     def fit(pdf):
         n, train, val = len(pdf), pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
@@ -74,13 +85,23 @@ def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidd
             row.append("too_few_kept")
         else:
             try:
-                a, b, accuracy = mlp(_matrix(train), train["label"].to_numpy(float), _matrix(val), val["label"].to_numpy(float), epochs, lr, hidden, dropout, seed)
+                a, b, accuracy = mlp(_matrix(train), train["label"].to_numpy(float), _matrix(val), val["label"].to_numpy(float), epochs, lr, hidden, dropout, seed, rows=train["sent_idx"].to_numpy())
                 row[5:] = [epochs, accuracy, a, b, "trained"]
             except (ValueError, FloatingPointError) as error:
                 row.append(f"failed: {error}")
         return [tuple(row)]
 
-    return by_document(split.unionByName(rest), fit, TRAINING, ["doc_key", "sent_idx", "label", "embedding", "split"])
+    out = cut(by_document(rows, fit, TRAINING, ["doc_key", "sent_idx", "label", "embedding", "split"], large, lambda key: (key, 0, 0, 0, 0, 0, None, None, None, "large")))
+    marked = out.where("status = 'large'").select("doc_key")
+    if marked.isEmpty():
+        return out
+    of = rows.join(marked, "doc_key", "left_semi")
+    about = {r.doc_key: (r.n, r.train, r.val) for r in of.groupBy("doc_key").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "val").alias("val")).toLocalIterator()}
+    kept = cut(of.where("split != 'none'").select(F.col("doc_key").alias("g"), "sent_idx", "label", F.col("split").alias("part"), "embedding"))
+    trained = {g: v for g, v in about.items() if v[0] >= MIN_SENTENCES and v[1] + v[2] >= MIN_KEPT and v[1] and v[2]}
+    found = nets.train(kept, {g: v[1:] for g, v in trained.items()}, epochs, lr, hidden, dropout, seed)
+    more = [(g, n, n - a - b, a, b, *((epochs, found[g][2], found[g][0], found[g][1], "trained") if g in found else (0, None, None, None, "too_few_kept"))) for g, (n, a, b) in about.items()]
+    return out.where("status != 'large'").union(vectors.sparkSession.createDataFrame(more, TRAINING))
 
 
 def train_salience_corpus(vectors: DataFrame, hidden: int = 128, last: int = 32, seed: int = 42):

@@ -202,6 +202,17 @@ def pair_list_similarity(spark, d):
     return V.pairwise_similarity(v, pairs).withColumn("score", F.round("score", 6))
 
 
+@query(f"""SELECT a.doc_key, count(*) AS pairs, round(sum({_COS('a.e', 'b.e')}), 4) AS total, count(*) FILTER ({_COS('a.e', 'b.e')} >= 0.5) AS close FROM {_VEC} a JOIN {_VEC} b ON a.doc_key = b.doc_key AND a.sent_idx < b.sent_idx GROUP BY a.doc_key""")
+def all_pairs_similarity(spark, d):
+    pairs = V.pairwise_similarity(_vectors(spark, d))
+    return pairs.groupBy("doc_key").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("score") >= 0.5).alias("close"))
+
+
+@query(f"SELECT a.doc_key, a.sent_idx AS i, b.sent_idx AS j, round({_COS('a.e', 'b.e')}, 6) AS score FROM {_VEC} a JOIN {_VEC} b ON a.doc_key = b.doc_key AND a.sent_idx < b.sent_idx WHERE {_COS('a.e', 'b.e')} >= 0.9")
+def close_pairs(spark, d):
+    return V.pairwise_similarity(_vectors(spark, d), min_score=0.9).withColumn("score", F.round("score", 6))
+
+
 @query(f"SELECT doc_key, round(sqrt(list_inner_product(c, c)), 6) AS norm FROM {_MEAN}")
 def document_centroid(spark, d):
     return salience.document_centroid(_vectors(spark, d)).select("doc_key", F.round(norm(F.col("centroid")), 6).alias("norm"))
@@ -330,6 +341,17 @@ def cluster_assignments(spark, d):
     return cluster.cluster_documents(_said_vectors(spark, d))
 
 
+@query()
+def label_clusters(spark, d):
+    """Labels as documents of any size: all of them by steps over all executors."""
+    return cluster.cluster_documents(_vectors(spark, d), large=1)
+
+
+@query()
+def corpus_elbow(spark, d):
+    return cluster.corpus_elbow(_vectors(spark, d))
+
+
 @query()
 def cluster_corpus(spark, d):
     return cluster.cluster_corpus(_vectors(spark, d), 8)[1].select("doc_key", "sent_idx", "cluster_id")

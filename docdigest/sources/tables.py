@@ -59,4 +59,8 @@ def summary_report(summaries: DataFrame, layer: str = "Extractive") -> DataFrame
 
 
 def write_summaries(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Summaries or reports in a folder for each mode. As ``text``, the reports only: of summaries those that ``summary_report`` makes, a blank line after each."""
+    if fmt == "text":
+        reports = df if "report" in df.columns else summary_report(df)
+        df = reports.select("mode", F.concat("report", F.lit("\n")).alias("value"))
     df.write.mode("overwrite").partitionBy("mode").format(fmt).save(path)
