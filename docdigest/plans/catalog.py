@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docdigest.functions import text as T
 from docdigest.functions.vectors import l2_normalize, norm
-from docdigest.operators import cluster, evaluate, pages, retrieve, salience
+from docdigest.operators import cluster, evaluate, index, pages, retrieve, salience
 from docdigest.operators import vectors as V
 from docdigest.sources import tables
 
@@ -90,6 +90,7 @@ _JUDGED = f"(SELECT doc_id, i, s, {_VERDICT} AS v FROM {_SAID})"
 _COUNTED = f"(SELECT CAST(doc_id AS VARCHAR) AS doc_key, count(*) FILTER (v = 'keep') AS n FROM {_JUDGED} GROUP BY doc_id)"
 _POSITIONED = """(SELECT doc_id, i, text AS w, i // 600 AS page_num, (i // 12) * 11.5 AS top, (i % 12) * 51.0 AS x0
   FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS text FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents)))"""
+_QUOTED = pages.WORD_AND_PERIOD.replace("'", "''")
 _VEC = "(SELECT CAST(label AS VARCHAR) AS doc_key, CAST(vec_id AS INTEGER) AS sent_idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 _MEAN = f"(SELECT doc_key, list(m ORDER BY i) AS c FROM (SELECT doc_key, i, avg(x) AS m FROM (SELECT doc_key, unnest(range(len(e))) AS i, unnest(e) AS x FROM {_VEC}) GROUP BY doc_key, i) GROUP BY doc_key)"
 _COS = lambda a, b: f"list_inner_product({a}, {b}) / ((sqrt(list_inner_product({a}, {a})) + 1e-8) * (sqrt(list_inner_product({b}, {b})) + 1e-8))"
@@ -159,6 +160,15 @@ def kept_sentences(spark, d):
     return _sentences(spark, d)
 
 
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '{pages.TOKEN}')) AS t FROM documents),
+ w AS (SELECT lower(regexp_extract(t, '{_QUOTED}', 1)) AS word, regexp_extract(t, '{_QUOTED}', 2) = '.' AS period FROM t),
+ c AS (SELECT word, count(*) FILTER (period) AS a, count(*) FILTER (NOT period) AS b, length(replace(word, '.', '')) AS n FROM w WHERE word <> '' GROUP BY word),
+ s AS (SELECT sum(a) / sum(a + b) AS p FROM c)
+ SELECT word, a AS with_period, b AS without_period, round(2 * (a * (ln({pages.PERIOD_CHANCE}) - ln(p)) + b * (ln(1 - {pages.PERIOD_CHANCE}::DOUBLE) - ln(1 - p))) * exp(-n) * (length(word) - n + 1) * pow(n, -b), 6) + 0.0 AS score FROM c, s""")
+def abbreviation_scores(spark, d):
+    return pages.abbreviation_scores(_docs(spark, d), "joined_text").withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 @query(f"SELECT doc_key, n AS n_sentences, CASE WHEN n = 0 THEN 'no_text' WHEN n < 4 THEN 'too_few_sentences' ELSE 'ok' END AS status FROM {_COUNTED}")
 def document_status(spark, d):
     return pages.document_status(_docs(spark, d), "joined_text")
@@ -208,9 +218,9 @@ def all_pairs_similarity(spark, d):
     return pairs.groupBy("doc_key").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("score") >= 0.5).alias("close"))
 
 
-@query(f"SELECT a.doc_key, a.sent_idx AS i, b.sent_idx AS j, round({_COS('a.e', 'b.e')}, 6) AS score FROM {_VEC} a JOIN {_VEC} b ON a.doc_key = b.doc_key AND a.sent_idx < b.sent_idx WHERE {_COS('a.e', 'b.e')} >= 0.9")
+@query(f"SELECT a.doc_key, a.sent_idx AS i, b.sent_idx AS j, round({_COS('a.e', 'b.e')}, 6) AS score FROM {_VEC} a JOIN {_VEC} b ON a.doc_key = b.doc_key AND a.sent_idx < b.sent_idx WHERE {_COS('a.e', 'b.e')} >= 0.35")
 def close_pairs(spark, d):
-    return V.pairwise_similarity(_vectors(spark, d), min_score=0.9).withColumn("score", F.round("score", 6))
+    return V.pairwise_similarity(_vectors(spark, d), min_score=0.35).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT doc_key, round(sqrt(list_inner_product(c, c)), 6) AS norm FROM {_MEAN}")
@@ -293,6 +303,16 @@ def topk_in_corpus(spark, d):
     return retrieve.retrieve_topk_corpus(_questions(v), v).withColumn("score", F.round("score", 6))
 
 
+@query()
+def topk_by_index(spark, d):
+    """The same questions through the approximate index, with the recall of each against the exact search."""
+    v = _vectors(spark, d)
+    q = _questions(v)
+    fitted = index.fit_projections(v)
+    found = index.search_index(q, index.build_index(v, fitted), v, fitted)
+    return found.join(index.recall(found, retrieve.retrieve_topk_corpus(q, v)), "question_id").withColumn("score", F.round("score", 6))
+
+
 _MODES = "(VALUES ('short'), ('one_page'), ('full')) m(mode)"
 _K = "CAST(least(CASE mode WHEN 'short' THEN 4 WHEN 'one_page' THEN 11 ELSE greatest(5, round_even(0.15 * n, 0)) END, n - 1) AS INTEGER)"
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docdigest.operators import cluster, kernels, lloyd, nets, salience
+from docdigest.functions import text as T
+from docdigest.operators import cluster, index, kernels, lloyd, nets, pages, retrieve, salience
 from docdigest.operators import vectors as V
 from docdigest.sources import tables
 
@@ -248,3 +249,93 @@ def test_large_documents_train(spark):
         assert np.allclose(r.train_losses or [], apart[key].train_losses or [], atol=1e-9)
         assert np.allclose(r.val_losses or [], apart[key].val_losses or [], atol=1e-9)
         assert [x for x in r if not isinstance(x, list)] == [x for x in apart[key] if not isinstance(x, list)]
+
+
+def exact_top(x, q, k=3):
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    s = (q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-8)) @ u.T
+    return s, -np.partition(-s, k - 1, axis=1)[:, k - 1]
+
+
+@pytest.mark.parametrize("dim", [64, 768])
+def test_index_recall(spark, dim):
+    """Vectors around topics that vary in sixteen directions, with some noise in all, and a large group of copies."""
+    rng = np.random.default_rng(dim)
+    n = 6000
+    basis = rng.normal(size=(16, dim))
+    x = (rng.normal(size=(60, 16))[rng.integers(60, size=n)] + 0.5 * rng.normal(size=(n, 16))) @ basis + 0.3 * rng.normal(size=(n, dim))
+    x[:2000] = x[0]
+    x = x.astype(np.float32)
+    v = vectors(spark, {"d": x}, 5)
+    asked = np.r_[[0], rng.integers(2000, n, 60)]
+    q = spark.createDataFrame([(int(i), "d", "which?", (x[i] + 0.05 * rng.normal(size=dim)).astype(np.float32).tolist()) for i in np.unique(asked)], "question_id long, doc_key string, question string, embedding array<float>")
+    fitted = index.fit_projections(v, sample=3000)
+    built = index.build_index(v, fitted)
+    assert built.count() == n
+    found = index.search_index(q, built, v, fitted, candidates=300)
+    rows = found.collect()
+    assert max(r.n_candidates for r in rows) <= 300
+    asked = {r.question_id: np.array(r.embedding) for r in q.collect()}
+    ids = sorted(asked)
+    s, least = exact_top(x.astype(float), np.array([asked[i] for i in ids]))
+    hits = 0
+    for r in rows:
+        at = ids.index(r.question_id)
+        assert np.isclose(r.score, s[at, r.sent_idx])
+        hits += r.score >= least[at] - 1e-9
+    assert hits / (3 * len(ids)) >= 0.9
+    # copies tie: the first of them come first
+    assert [r.sent_idx for r in sorted(rows, key=lambda r: r.rank) if r.question_id == 0] == [0, 1, 2]
+    of = {r.question_id: r.recall for r in index.recall(found, retrieve.retrieve_topk_corpus(q, v)).collect()}
+    assert np.isclose(np.mean(list(of.values())), hits / (3 * len(ids)))
+    # far fewer than all are looked at
+    assert fitted.probes < 1 << fitted.bits
+
+
+def test_index_edges(spark):
+    v = vectors(spark, {"d": blobs(5, 4, 2)})
+    fitted = index.fit_projections(v)
+    q = spark.createDataFrame([(1, "d", "x", [1.0, 0.0, 0.0, 0.0]), (2, "d", " ", [1.0, 0.0, 0.0, 0.0]), (3, "d", "zero", [0.0] * 4)], "question_id long, doc_key string, question string, embedding array<float>")
+    assert {r.question_id for r in index.search_index(q, index.build_index(v, fitted), v, fitted).collect()} == {1, 3}
+    none = v.limit(0)
+    fitted = index.fit_projections(none)
+    assert index.build_index(none, fitted).count() == 0
+    nulls = v.withColumn("embedding", F.when(F.col("sent_idx") > 1, F.col("embedding")))
+    assert index.build_index(nulls, index.fit_projections(nulls)).count() == 3
+
+
+def test_probes_come_by_distance():
+    p = np.random.default_rng(1).normal(size=(3, index.SIGNATURE))
+    fitted = index.Projections(np.eye(index.SIGNATURE), np.zeros(index.SIGNATURE), 6, 64, 1.0)
+    codes, probed = fitted.codes(p), fitted.probed(p)
+    for row in range(3):
+        for t in range(index.TABLES):
+            far = np.abs(p[row, t * 6 : t * 6 + 6])
+            cost = [sum(far[b] ** 2 for b in range(6) if (int(c) ^ int(codes[row, t])) >> b & 1) for c in probed[row, t]]
+            assert sorted(probed[row, t]) == list(range(64))
+            assert cost[0] == 0
+            assert (np.diff(cost) >= -1e-12).all()
+
+
+def test_learned_abbreviations(spark):
+    rng = np.random.default_rng(9)
+    usual = "river stone light water house garden morning window paper table music letter field summer".split()
+    said = []
+    for _ in range(3000):
+        w = [str(x) for x in rng.choice(usual, int(rng.integers(4, 9)))]
+        if rng.random() < 0.2:
+            w.insert(2, str(rng.choice(["approx.", "Dept.", "e.g.", "Mt."])))
+        said.append(" ".join(w).capitalize() + ".")
+    docs = spark.createDataFrame([(str(i), " ".join(said[i : i + 10])) for i in range(0, 3000, 10)] + [("null", None), ("empty", "")], "doc_key string, text string").repartition(5)
+    scored = pages.abbreviation_scores(docs, "text")
+    rows = {r.word: r for r in scored.collect()}
+    assert rows["dept"].without_period == 0
+    assert rows["e.g"].with_period > 50
+    assert sum(r.with_period for r in rows.values()) >= 3000
+    learned = pages.learn_abbreviations(docs, "text")
+    assert set(learned) == {"approx", "dept", "e.g", "mt"}
+    text = "It is near Mt. Blanc Today. The Dept. Of Water. See e.g. Rivers. Light window."
+    split = lambda names: docs.limit(1).select(T.split_sentences(F.lit(text), names).alias("s")).first().s
+    assert split(pages.abbreviation_patterns(learned)) == ["It is near Mt. Blanc Today.", "The Dept. Of Water.", "See e.g. Rivers.", "Light window."]
+    assert split(T.ABBREVIATIONS) == ["It is near Mt.", "Blanc Today.", "The Dept.", "Of Water.", "See e.g. Rivers.", "Light window."]
+    assert pages.learn_abbreviations(docs.limit(0), "text") == []
