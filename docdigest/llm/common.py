@@ -60,6 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that was cut and is read no more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (rdd := plan.rdd()).getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a narrow table that may be broadcast, and bytes of its strings: about 20 MB at most.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 

@@ -111,28 +111,59 @@ def _known_runs(ids: np.ndarray, least: int, overlap: int) -> Iterator[np.ndarra
         yield np.concatenate(held)
 
 
-def _common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many words the suffixes of a at i and of b at j have in common, up to the first 0."""
-    out, todo = np.zeros(len(i), np.int64), np.arange(len(i))
-    while len(todo):
-        x, y = i[todo] + out[todo], j[todo] + out[todo]
-        same = (x < len(a)) & (y < len(b))
-        same[same] = (a[x[same]] == b[y[same]]) & (a[x[same]] > 0)
-        todo = todo[same]
-        out[todo] += 1
-    return out
+class _Common:
+    """How many words suffixes of two texts have in common, up to the first 0: the first words one by one, longer matches by ranks of stretches of 2, 4, 8 … words."""
+
+    #: Words that are compared one by one.
+    SHORT = 64
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a, self.b = np.append(a, 0), np.append(b, 0)
+        self.ranks: list[np.ndarray] = []
+
+    def _rank(self, most: int) -> None:
+        """Equal stretches of each size get equal ranks; a 0 is like no other word."""
+        both = np.concatenate([self.a, self.b])
+        end = np.flatnonzero(both == 0)
+        both[end] = -1 - end
+        rank, k = np.unique(both, return_inverse=True)[1], 1
+        while True:
+            self.ranks.append(rank.astype(np.int32))
+            if 2 * k > most or (top := int(rank.max()) + 1) == len(both):
+                return
+            after = np.zeros_like(rank)
+            after[:-k] = rank[k:] + 1
+            rank = np.unique(rank * (top + 1) + after, return_inverse=True)[1]
+            k *= 2
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(i), np.int64), np.arange(len(i))
+        for _ in range(self.SHORT):
+            word = self.a[i[todo] + out[todo]]
+            todo = todo[(word == self.b[j[todo] + out[todo]]) & (word > 0)]
+            if not len(todo):
+                return out
+            out[todo] += 1
+        if not self.ranks:
+            self._rank(min(len(self.a), len(self.b)))
+        for k in range(len(self.ranks) - 1, -1, -1):
+            rank, x, y = self.ranks[k], i[todo] + out[todo], j[todo] + out[todo] + len(self.a)
+            same = (x < len(self.a)) & (y < len(rank))
+            same[same] = rank[x[same]] == rank[y[same]]
+            out[todo[same]] += 1 << k
+        return out
 
 
 def _longest(bench: Benchmark, text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The longest match of each text suffix with a benchmark suffix of its class, found next to its place among them by binary search."""
     lo, hi = bench.first[group], bench.last[group]
-    best = np.zeros(len(at), np.int64)
+    best, common = np.zeros(len(at), np.int64), _Common(text, bench.flat)
     while len(open_ := np.flatnonzero(lo < hi)):
         mid = (lo[open_] + hi[open_]) // 2
         x, y = at[open_], bench.at[mid]
-        n = _common(text, x, bench.flat, y)
+        n = common(x, y)
         best[open_] = np.maximum(best[open_], n)
-        after = np.append(text, 0)[np.minimum(x + n, len(text))] >= bench.flat[y + n]
+        after = common.a[x + n] >= common.b[y + n]
         lo[open_[after]], hi[open_[~after]] = mid[after] + 1, mid[~after]
     return best
 

@@ -18,6 +18,11 @@ RULES = [
 ]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: a plan grows with what it says, not with what it says again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and the next ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     host = F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)
@@ -47,51 +52,69 @@ def _unescaped(c: Column) -> Column:
     """Text with character references decoded: numbers (U+FFFD for what is no character), and the names of what stands in addresses."""
     names = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%"}
 
+    signs = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+    def number(digits: Column) -> Column:
+        value = F.conv(digits, 16, 10).cast("long")
+        valid = _let(value, lambda v: v.between(1, 0x10FFFF) & ~v.between(0xD800, 0xDFFF))
+        return F.decode(F.unhex(F.lpad(F.when(valid, digits).otherwise("FFFD"), 8, "0")), "UTF-32")
+
+    def sign(name: Column) -> Column:
+        digits = F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 6)).otherwise(F.conv(F.substring(name, 2, 7), 10, 16))
+        return F.when(name.startswith("#"), _let(digits, number)).otherwise(signs[name])
+
     def one(part: Column, i: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]+);", 1)
-        digits = F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 6)).otherwise(F.conv(F.substring(name, 2, 7), 10, 16))
-        sign = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[name]
-        value = F.conv(digits, 16, 10).cast("long")
-        valid = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-        sign = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(F.when(valid, digits).otherwise("FFFD"), 8, "0")), "UTF-32")).otherwise(sign)
-        rest = F.substr(part, F.length(name) + 2)
-        return F.when(i == 0, part).when((name == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, rest))
+        decoded = _let(name, lambda n: F.concat(F.when(n != "", sign(n)), F.substr(part, F.length(n) + 2)))
+        return F.when(i == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
 
-    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), one), "")).otherwise(c)
+    return _let(c, lambda c: F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), one), "")).otherwise(c))
 
 
 def _without_dots(path: Column) -> Column:
     """A path whose ``.`` and ``..`` parts are resolved."""
     step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))).otherwise(F.concat(done, F.array(part)))
-    parts = F.split(path, "/")
-    whole = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    ends = F.element_at(parts, -1).isin(".", "..")
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.when(ends, F.concat(whole, F.lit("/"))).otherwise(whole)).otherwise(path)
+    whole = lambda parts: F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    ended = lambda parts: F.concat(whole(parts), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return _let(path, lambda p: F.when(p.rlike(r"/\.{1,2}(/|$)"), _let(F.split(p, "/"), ended)).otherwise(p))
 
 
 def resolved(target: Column, base: Column) -> Column:
     """The absolute address of a link's target on a page of the address ``base``; null for what is none, such as a place on the page."""
-    host, path = host_of(base), path_of(base)
-    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
-    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
-    here = F.concat(F.lit("http://"), host)
-    relative = F.when(own == "", F.when(rest.startswith("?"), F.concat(path, rest))).when(own.startswith("/"), F.concat(_without_dots(own), rest)).otherwise(F.concat(_without_dots(F.concat(folder, own)), rest))
-    return F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:") | (host == ""), None).otherwise(F.concat(here, relative))
+
+    def joined(own: Column, rest: Column, path: Column) -> Column:
+        folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+        whole = _without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)))
+        return F.when(own == "", F.when(rest.startswith("?"), F.concat(path, rest))).otherwise(F.concat(whole, rest))
+
+    def relative(target: Column, at: Column) -> Column:
+        parts = F.struct(F.regexp_extract(target, r"^([^?#]*)", 1).alias("own"), F.regexp_extract(target, r"^[^?#]*(.*)$", 1).alias("rest"), path_of(at).alias("path"))
+        return _let(parts, lambda x: joined(x["own"], x["rest"], x["path"]))
+
+    def one(x: Column) -> Column:
+        t, at = x["target"], x["base"]
+        own = F.when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
+        here = _let(host_of(at), lambda host: F.when(host != "", F.concat(F.lit("http://"), host, relative(t, at))))
+        return F.coalesce(own, F.when(~t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), here))
+
+    return _let(F.struct(target.alias("target"), base.alias("base")), one)
 
 
 def links_of(url: Column, html: Column) -> Column:
     """Absolute targets of a page's canonical links and redirects (meta refresh), resolved against its address or its ``base``; comments do not count."""
-    html = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta|base)\b[^<>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b[^<>]*[\s"']rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b[^<>]*[\s"']http-equiv\s*=\s*["']?refresh\b"""))
     href = lambda t: F.regexp_extract(t, r"""(?i)[\s"']href\s*=\s*["']?\s*([^\s"'<>]+)""", 1)
-    targets = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^\s"'<>]+)""", 1))
-    first = F.get(F.filter(F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _unescaped(href(t))), lambda t: t != ""), F.lit(0))
-    base = F.coalesce(resolved(first, url), url)
-    both = F.transform(F.concat(F.transform(canonical, href), targets), _unescaped)
-    found = F.filter(F.transform(F.filter(both, lambda t: t != ""), lambda t: resolved(t, base)), lambda t: t.isNotNull())
-    return F.when(html.rlike("(?i)canonical|refresh"), found)
+
+    def found(tags: Column) -> Column:
+        canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b[^<>]*[\s"']rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""))
+        refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b[^<>]*[\s"']http-equiv\s*=\s*["']?refresh\b"""))
+        bases = F.filter(F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base\b")), href), lambda t: t != "")
+        targets = F.concat(F.transform(canonical, href), F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^\s"'<>]+)""", 1)))
+        base = F.coalesce(resolved(_unescaped(F.get(bases, F.lit(0))), url), url)
+        absolute = lambda at: F.transform(F.filter(targets, lambda t: t != ""), lambda t: resolved(_unescaped(t), at))
+        return F.filter(_let(base, absolute), lambda t: t.isNotNull())
+
+    tags = F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", ""), F.lit(r"(?i)<(?:link|meta|base)\b[^<>]*>"), F.lit(0))
+    return F.when(html.rlike("(?i)canonical|refresh"), _let(tags, found))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:

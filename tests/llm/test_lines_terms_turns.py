@@ -2,18 +2,22 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from docdigest.llm import divergence, line_dedup
+from docdigest.llm import decontaminate, divergence, line_dedup
+from docdigest.llm.common import cut, forget
 from docdigest.llm.conversation_trie import conversation_trie
 from docdigest.llm.cuckoo import CuckooFilter
 from docdigest.llm.divergence import audit_sources
 from docdigest.llm.line_dedup import LineIndex, dedup_lines
 from docdigest.llm.transducer import Transducer
+from docdigest.llm.url_filter import links_of
 
 LOWER = {x: x + 32 for x in range(65, 91)}
 
@@ -241,3 +245,56 @@ def test_trie_without_turns(spark):
     assert sum(zlib.crc32(str(c).encode()) % 4 > 0 for c in range(1, 20)) > 1
     table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     assert sorted(map(tuple, conversation_trie(table).collect()), key=str) == brute_trie(rows)
+
+
+def test_long_matches_take_no_squares():
+    """Verbatim items of many words, and many equal words, against the time that comparing word by word would take."""
+    rng = np.random.default_rng(2)
+    item = rng.integers(1, 1 << 62, 20_000).astype(np.uint64)
+    text = np.concatenate([item[:500] + np.uint64(7), item, item[:300]])
+    began = time.time()
+    bench = decontaminate.Benchmark([("a", item)])
+    pos, group, length = decontaminate.search(bench, bench.ids(text))
+    assert time.time() - began < 5
+    assert dict(zip(pos.tolist(), length.tolist(), strict=True)) == {500 + i: 20_000 - i for i in range(19_991)} | {20_500 + i: 300 - i for i in range(291)}
+    same = np.full(5_000, 9, np.uint64)
+    began = time.time()
+    bench = decontaminate.Benchmark([("a", same)])
+    pos, group, length = decontaminate.search(bench, bench.ids(np.full(200_000, 9, np.uint64)))
+    assert time.time() - began < 20
+    best = np.zeros(200_000, np.int64)
+    np.maximum.at(best, pos, length)
+    assert (best[: 200_000 - 9] == np.minimum(5_000, 200_000 - np.arange(200_000 - 9))).all()
+
+
+def test_common_words_are_counted():
+    rng = np.random.default_rng(3)
+    for most in (2, 3, 50):
+        a, b = (rng.integers(0, most, 3000) for _ in range(2))
+        a[500:1500], b[100:1100] = 1, 1
+        b[1500:2500] = a[1800:2800]
+        i, j = rng.integers(0, 3000, 4000), rng.integers(0, 3000, 4000)
+        i[:500], j[:500] = 500 + rng.integers(0, 900, 500), 100 + rng.integers(0, 900, 500)
+        i[500:900] = 1800 + np.arange(400)
+        j[500:900] = 1500 + np.arange(400)
+        got = decontaminate._Common(a, b)(i, j)
+        for x, y, n in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+            m = next((k for k in range(min(len(a) - x, len(b) - y)) if a[x + k] != b[y + k] or not a[x + k]), min(len(a) - x, len(b) - y))
+            assert n == m
+
+
+def test_link_plans_stay_small(spark):
+    pages = spark.createDataFrame([("http://a.b/c", "<link rel=canonical href=d>")], "url string, html string")
+    plan = pages.select(links_of(pages.url, pages.html).alias("t"))
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert plan.first().t == ["http://a.b/d"]
+
+
+def test_forgotten_tables_leave_no_files(spark):
+    df = cut(spark.range(10))
+    folder = spark.sparkContext.getCheckpointDir()
+    files = lambda: {p for p in Path(folder.removeprefix("file:")).rglob("part-*")}
+    held = files()
+    forget(df)
+    assert len(files()) < len(held)
+    forget(spark.range(3))
