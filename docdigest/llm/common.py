@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 
 import numpy as np
@@ -60,6 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the steps of a long operator: only then does Spark delete shuffle files and checkpoints of tables that nobody refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that was cut and is read no more."""
     plan = df._jdf.queryExecution().analyzed()
