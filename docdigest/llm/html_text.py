@@ -32,8 +32,9 @@ BESIDE = frozenset("site page main top bottom left right box block area bar list
 # Classes that mark a paragraph or a piece of one as an advert, and roles of what is not the article.
 ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
 ROLES = frozenset("navigation banner search alert contentinfo complementary".split())
-#: Share of a page's text that may stand beside the container that is taken, and beside a host's container.
-BESIDE_SHARE, BESIDE_HOST = 0.1, 0.5
+# Words that an article's own sections are named by, too, and elements of text that may bear one as their only word.
+TOPICS = frozenset("alert banner copyright header login menu navigation notice notices promotion recommended recommendations related search share sharing signup social widget".split())
+TEXTUAL = frozenset("section table tbody tr td dl ol".split())
 #: Characters of a path that are shown at most; paths are compared by digest.
 SHOWN = 400
 
@@ -77,10 +78,10 @@ def tags(source: str) -> Iterator[tuple[int, int, str, str]]:
             at = end
 
 
-def _marks(word: str) -> bool:
-    """Whether a class or an id names what is no article: all its words do, or may stand beside such a word."""
+def _marks(word: str, topic: bool = False) -> bool:
+    """Whether a class or an id names what is no article: all its words do, or may stand beside such a word. Where it may name a ``topic``, a single word that can be one does not."""
     parts = set(_WORD.findall(word.lower()))
-    return bool(parts & NEGATIVE) and parts <= NEGATIVE | BESIDE
+    return bool(parts & NEGATIVE) and parts <= NEGATIVE | BESIDE and not (topic and len(parts) == 1 and parts <= TOPICS)
 
 
 class Page:
@@ -153,7 +154,8 @@ class Page:
         inside = self.inside[up] or name in ("article", "main")
         out = self.out[up] or name in self.dropped or "hidden" in found or found.get("role", "").lower() in ROLES or name == "header" and not inside
         if name in MARKED and not out:
-            marked = [w for w in (*classes, found.get("id", "").lower()) if _marks(w)]
+            named = found.get("id", "").lower()
+            marked = [w for w in classes if _marks(w, self.inside[up] and name in TEXTUAL)] + [named] * _marks(named, self.inside[up])
             own = inside or {"article", "post", "entry"} & {x for w in classes for x in _WORD.findall(w)}
             out = any(not (own and "header" in w) for w in marked)
         elif name in ("p", "a", "figure") and not out:
@@ -178,40 +180,34 @@ class Page:
         return "/" + "/".join(reversed(names))
 
     def _weigh(self) -> None:
-        """For each element, the text inside it less twice that of links, headings inside it, and its heaviest child."""
+        """For each element, the text inside it less twice that of links, and its heaviest child. A block that is half links or more, as menus are, weighs nothing."""
         n = len(self.tag)
-        self.weight, self.titles, self.heavy = [0] * n, [0] * n, [0] * n
+        self.weight, self.heavy = [0] * n, [0] * n
         for owner, text, linked in self.blocks:
-            points = max(0, len(text) - 2 * linked)
-            self.weight[owner] += points
-            self.titles[owner] += bool(points) and self.tag[owner] in ("h1", "h2", "h3", "h4", "h5", "h6")
+            self.weight[owner] += max(0, len(text) - 2 * linked)
         for x in range(n - 1, 0, -1):
             up = self.parent[x]
             self.weight[up] += self.weight[x]
-            self.titles[up] += self.titles[x]
             if not self.heavy[up] or self.weight[x] >= self.weight[self.heavy[up]]:
                 self.heavy[up] = x
 
     def best(self) -> int:
-        """The smallest container beside which no heading stands, and at most a tenth of the text; nothing inside an article is looked at."""
+        """The smallest container that has all of the page's text but blocks of links; nothing inside an article is looked at."""
         self._weigh()
         best = x = 0
-        while self.tag[x] != "article" and (x := self.heavy[x]):
-            beside = self.weight[best] - self.weight[x]
-            if beside > BESIDE_SHARE * self.weight[best] or self.titles[best] > self.titles[x]:
-                break
+        while self.weight[0] and self.tag[x] != "article" and self.weight[self.heavy[x]] == self.weight[0] and (x := self.heavy[x]):
             if self.tag[x] in CONTAINERS and (self.tag[best] != "main" or self.tag[x] == "article"):
                 best = x
         return best
 
     def text(self, key: bytes) -> str | None:
-        """The blocks inside elements of that path; None if there are none, or if most of the page's text is not in them."""
+        """The blocks inside elements of that path; None if there are none, or if any text of the page but blocks of links is not in them."""
         inside, weight = [False] * len(self.tag), 0
         for x in range(len(self.tag)):
             own = self.key[x] == key and (self.tag[x] in CONTAINERS or x == 0) and not self.out[x]
             weight += self.weight[x] if own and not (x and inside[self.parent[x]]) else 0
             inside[x] = own or (x > 0 and inside[self.parent[x]])
-        if self.weight[0] - weight > BESIDE_HOST * self.weight[0]:
+        if weight < self.weight[0]:
             return None
         return "\n\n".join(t for owner, t, _ in self.blocks if inside[owner]) or None
 
@@ -256,8 +252,8 @@ def _texts(batches) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame) -> DataFrame:
     """``(host, key, path, votes)``: the container path with the most votes of each host's pages, of equals the greatest digest.
 
-    A page with text has one vote, for the smallest container that holds its text: beside it no heading stands, and at most
-    a tenth of the text. Votes are summed in tasks before they shuffle.
+    A page with text has one vote, for the smallest container that has all its text but blocks of links. Votes are summed in
+    tasks before they shuffle.
     """
     votes = pages.select(host_of(F.col("url").cast("string")).alias("host"), "html").mapInArrow(_votes, "host string, key binary, path string, votes long")
     votes = votes.groupBy("host", "key").agg(F.sum("votes").alias("votes"), F.max("path").alias("path"))
@@ -267,8 +263,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of each row of ``pages(page_id, url, html)``.
 
-    The text has the blocks of the host's winning container, or of the page's own one where the page lacks that or has most of
-    its text elsewhere: white space in a block becomes one space, blocks are joined by an empty line. Menus, headers, footers,
+    The text has the blocks of the host's winning containers, or of the page's own one where the page lacks those or has text
+    elsewhere, so that only links stand outside: white space in a block becomes one space, blocks are joined by an empty line. Menus, headers, footers,
     sidebars, notices, adverts, forms (but one that has all of a page's text), scripts, styles and comments are left out. Null html has the empty text; null URLs share one host.
     """
     won = small(cut(host_paths(pages)).select(F.col("host").alias("__host"), F.col("key").alias("__key")), "__host")
