@@ -82,7 +82,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 def small(df: DataFrame, *strings: str) -> DataFrame:
     """A narrow table that was cut, marked for broadcast if it has few rows and short ``strings``; else as it is, and the join shuffles."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0)).cast("long")
-    n, held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
