@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from docdigest.llm import components as component_steps
 from docdigest.llm import jaccard_join, queries
 from docdigest.llm.chat_format import describe_conversations, escape, format_conversations, unescape
 from docdigest.llm.components import connected_components
@@ -78,6 +79,16 @@ def test_components(spark, native):
     assert connected_components(spark.createDataFrame([], "a long, b long"), native=native).count() == 0
 
 
+@pytest.mark.parametrize("most", [10, 60])
+def test_components_over_many_tasks(spark, monkeypatch, most):
+    """Chains, a hub and repeated edges, where a task holds few nodes at once, so that rounds of stars do the rest."""
+    monkeypatch.setattr(component_steps, "LOCAL_EDGES", most)
+    edges = [(i * 37 % 150, (i + 1) * 37 % 150) for i in range(149)] + [(2000, i) for i in range(2001, 2100)] + [(3000 + i, 3001 + i) for i in range(0, 60, 2)] * 3
+    want = components({x for e in edges for x in e}, edges)
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect())
+    assert {n: got.get(n, n) for n in want} == want and len(got) == sum(n != c for n, c in want.items())
+
+
 def test_language_held_out_accuracy(spark):
     docs = {r["doc_id"]: r for r in table("documents")}
     rows = queries.op1_language_id(spark, SF).collect()
