@@ -11,6 +11,11 @@ ABBREVIATIONS = {
     "{u}": "(?:licen[sc]ed|released|distributed|available|provided|published|covered|redistributed) (?:to you )?under (?:the |a |an )?(?:terms (?:and conditions )?of (?:the |a )?)?",
 }
 
+#: How the patterns of tags and of grants begin; what follows can also stand further on in a list of licenses.
+TAG, GRANT = "spdx {l} identifier", "{u}"
+#: Tiers whose statements "not" denies: grants and names.
+DENIABLE = (2, 3)
+
 TIERS = [
     # machine-readable tags and addresses of license texts
     """
@@ -52,6 +57,10 @@ pddl :: spdx pddl :: 1.0 :: spdx {l} identifier pddl 1.0 :: SPDX-License-Identif
 upl :: spdx upl :: 1.0 :: spdx {l} identifier upl 1.0 :: SPDX-License-Identifier: UPL-1.0
 zpl :: spdx zpl :: 1.0 :: spdx {l} identifier zpl (?:1.1|2.0|2.1) :: SPDX-License-Identifier: ZPL-2.1
 sspl :: spdx sspl :: 1.0 :: spdx {l} identifier sspl 1.0 :: SPDX-License-Identifier: SSPL-1.0
+elastic :: spdx elastic :: 1.0 :: spdx {l} identifier elastic 2.0 :: SPDX-License-Identifier: Elastic-2.0
+blueoak :: spdx blueoak :: 1.0 :: spdx {l} identifier blueoak 1.0.0 :: SPDX-License-Identifier: BlueOak-1.0.0
+mulan :: spdx mulanpsl :: 1.0 :: spdx {l} identifier mulanpsl [12].0 :: SPDX-License-Identifier: MulanPSL-2.0
+polyform :: spdx polyform :: 1.0 :: spdx {l} identifier polyform (?:noncommercial|small business) 1.0.0 :: SPDX-License-Identifier: PolyForm-Noncommercial-1.0.0
 cc0 :: spdx cc0 :: 1.0 :: spdx {l} identifier cc0 1.0 :: SPDX-License-Identifier: CC0-1.0
 cc-by-sa :: spdx cc :: 1.0 :: spdx {l} identifier cc by sa [1-4].[05] :: SPDX-License-Identifier: CC-BY-SA-4.0
 cc-by-nc :: spdx cc :: 1.0 :: spdx {l} identifier cc by nc [1-4].[05] :: SPDX-License-Identifier: CC-BY-NC-4.0
@@ -153,6 +162,10 @@ upl :: under universal permissive :: 0.95 :: {u}universal permissive {l}(?: (?:v
 zpl :: under zope :: 0.95 :: {u}zope public {l}(?: (?:version |v)?[12].[01])? :: subject to and distributed under the Zope Public License, Version 2.1
 sspl :: under server side :: 0.95 :: {u}server side public {l}(?: (?:version |v)?1)? :: licensed under the Server Side Public License v1
 elastic :: under elastic :: 0.95 :: {u}elastic {l}(?: (?:version |v)?2.0)? :: licensed under the Elastic License 2.0
+blueoak :: under blue oak :: 0.95 :: {u}blue oak model {l}(?: 1.0.0)? :: licensed under the Blue Oak Model License 1.0.0
+mulan :: under mulan :: 0.95 :: {u}mulan (?:psl|permissive software {l})(?: (?:version |v)?[12])? :: licensed under the Mulan PSL v2
+polyform :: under polyform :: 0.95 :: {u}polyform (?:noncommercial|small business|free trial|internal use|perimeter|shield|strict) {l}(?: 1.0.[01])? :: licensed under the PolyForm Shield License 1.0.0
+fsl :: under functional source :: 0.95 :: {u}functional source {l}(?: (?:version |v)?1.[01])? :: available under the Functional Source License, Version 1.1
 cecill :: under cecill :: 0.95 :: {u}cecill(?: [bc])?(?: {l})?(?: (?:version |v)?[12].[01])? :: distributed under the CeCILL-B license
 openrail :: under openrail :: 0.9 :: {u}(?:creativeml |bigscience )?open ?rail(?: m)?(?: {l})? :: released under the CreativeML OpenRAIL-M license
 llama :: under llama :: 0.9 :: {u}llama (?:2|3|3.1) community {l} :: licensed under the Llama 2 Community License
@@ -203,6 +216,13 @@ wtfpl :: wtfpl :: 0.7 :: wtfpl :: WTFPL
 ms-pl :: microsoft public :: 0.8 :: microsoft public {l} :: Microsoft Public License
 ofl :: open font :: 0.8 :: (?:sil )?open font {l}(?: 1.1)? :: SIL Open Font License
 odbl :: odbl :: 0.8 :: odbl(?: (?:v|version )?1.0)? :: ODbL 1.0
+busl :: business source :: 0.8 :: business source {l}(?: (?:version |v)?1.1)? :: Business Source License 1.1
+elastic :: elastic :: 0.8 :: elastic {l}(?: (?:version |v)?2(?:.0)?)? :: Elastic License 2.0
+blueoak :: blueoak :: 0.8 :: blueoak 1.0.0 :: BlueOak-1.0.0
+blueoak :: blue oak :: 0.8 :: blue oak model {l}(?: 1.0.0)? :: Blue Oak Model License
+mulan :: mulan :: 0.8 :: mulan (?:psl|permissive software {l})(?: (?:version |v)?[12])? :: Mulan Permissive Software License, Version 2
+polyform :: polyform :: 0.8 :: polyform (?:noncommercial|small business|free trial|internal use|perimeter|shield|strict) {l}(?: 1.0.[01])? :: PolyForm Noncommercial License
+fsl :: functional source :: 0.8 :: functional source {l}(?: (?:version |v)?1.[01])? :: Functional Source License
 sspl :: sspl :: 0.8 :: sspl(?: ?v?1)? :: SSPL v1
 """,
     # weak signs

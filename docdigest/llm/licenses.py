@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docdigest.llm.common import lean, word_bounds
-from docdigest.llm.license_rules import ABBREVIATIONS, TIERS
+from docdigest.llm.license_rules import ABBREVIATIONS, DENIABLE, GRANT, TAG, TIERS
 
 # The phrases of the base labels, and what they are called.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -25,6 +25,8 @@ class Rule(NamedTuple):
     score: float
     pattern: re.Pattern
     example: str
+    #: What of the pattern can stand further on in a list of licenses.
+    operand: re.Pattern | None
 
 
 #: A character between words, and the edge of a word, in lower-cased text.
@@ -41,15 +43,70 @@ def rules() -> list[Rule]:
     for tier, lines in enumerate(TIERS):
         for line in lines.strip().split("\n"):
             label, keywords, score, pattern, example = line.split(" :: ")
-            for short, long in ABBREVIATIONS.items():
-                pattern = pattern.replace(short, long)
-            out.append(Rule(tier, len(out), label, keywords.split(" "), float(score), _compiled(pattern.replace(".", "\\.")), example))
+            operand = next((pattern.removeprefix(x) for x in (TAG + " ", GRANT) if pattern.startswith(x)), None)
+            out.append(Rule(tier, len(out), label, keywords.split(" "), float(score), _full(pattern), example, operand and _full(operand)))
     return out
 
 
+def _full(pattern: str) -> re.Pattern:
+    for short, long in ABBREVIATIONS.items():
+        pattern = pattern.replace(short, long)
+    return _compiled(pattern.replace(".", "\\."))
+
+
+_SPDX = _full(TAG)
+#: A parenthesis or a word of an SPDX expression; what stands between two licenses of a grant, and what shows that a name is a license's.
+_TOKEN = re.compile(r"[ \t:]*+([()]|[a-z0-9][a-z0-9.+-]*+)")
+_JOINT = re.compile(r"(?:\s?,\s?(?:(?:and/or|and|or)\s)?|\s?/\s?|\s(?:and/or|and|or)\s)(?:under\s)?(?:the\s|a\s|an\s)?(?:terms\sof\s(?:the\s)?)?")
+_NAMED = re.compile(r"licen[sc]e|[0-9]")
+#: What comes before a grant, or the name of a license, that is denied.
+_LIST = re.compile(rf"(?<!{_WORD})(?:dual|dually|double|triple|tri|multi)\W\Z|(?<!{_WORD})either(?:\sof)?(?:\sthe)?\W\Z")
+_DENIED = re.compile(rf"(?<!{_WORD})(?<!or\s)(?:not|never|no\slonger|isn.t|aren.t|wasn.t|weren.t)(?:\s(?:be|been|being|yet|currently|itself|a|an|the|under|under\sthe))*\s\Z")
+
+
+def _further(text: str, found: list[tuple[int, int, Rule]], signatures: list[Rule]) -> tuple[list[tuple[int, int, Rule]], set[tuple[int, int]]]:
+    """Licenses after the first in SPDX expressions (``A OR (B AND C)``; what follows ``WITH`` is an exception, no license) and in grants (``under A or B``), and which places of them are denied with their grant."""
+    out, denied = [], set()
+    for tag in _SPDX.finditer(text) if "spdx" in text else ():
+        at, operator, first = tag.end(), "", True
+        while token := _TOKEN.match(text, at):
+            at = token.end()
+            if token[1] in "()":
+                continue
+            if operator is None:
+                if token[1] not in ("or", "and", "with"):
+                    break
+                operator = token[1]
+                continue
+            a, b = token.start(1), token.start(1) + len(token[1].rstrip("+.-"))
+            if operator != "with" and not first:
+                out += [(a, b, r) for r in signatures if r.operand and r.tier == 0 and r.operand.fullmatch(text, a, b)][:1]
+            operator, first = None, False
+    grants = [r for r in signatures if r.operand and r.tier]
+    for start, end, rule in found:
+        many = rule.operand and rule.tier and (_LIST.search(text, max(0, start - 12), start) or "either" in text[start:end])
+        while rule.operand and rule.tier and (joint := _JOINT.match(text, end)):
+            a = joint.end()
+            ends = [(m.end(), -r.number, r) for r in grants if (m := r.operand.match(text, a)) and (many or _NAMED.search(m[0]))]
+            if not ends:
+                break
+            if _denies(text, start):
+                denied |= {(a, max(ends)[0])}
+            end, _, rule = max(ends)
+            out.append((a, end, rule))
+    return out, denied
+
+
+def _denies(text: str, at: int) -> bool:
+    return _DENIED.search(text, max(0, at - 40), at) is not None
+
+
 def detections(text: str, signatures: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """Matches (start, end, rule) in a lower-cased text, in order, none of which overlap: of two that do, the one of the earlier tier stays, then the longer, then the one of the earlier rule."""
-    found = []
+    """Matches (start, end, rule) in a lower-cased text, in order, none of which overlap: of two that do, the one of the earlier tier stays, then the longer, then the one of the earlier rule.
+
+    Lists of licenses are followed to their end. A grant or a name after "not" and the like is no detection, nor is a weaker one inside it.
+    """
+    found, open_ = [], []
     gates: dict[str, bool] = {}
     for rule in signatures:
         for word in rule.keywords:
@@ -59,13 +116,16 @@ def detections(text: str, signatures: list[Rule]) -> list[tuple[int, int, Rule]]
                 break
         else:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
+            open_.append(rule)
+    more, denied = _further(text, found, open_)
+    found += more
     found.sort(key=lambda x: (x[2].tier, x[0] - x[1], x[2].number, x[0]))
     out: list[tuple[int, int, Rule]] = []
     for x in found:
         i = bisect_right(out, x[0], key=lambda y: y[0])
         if (i == 0 or out[i - 1][1] <= x[0]) and (i == len(out) or out[i][0] >= x[1]):
             out.insert(i, x)
-    return out
+    return [x for x in out if x[2].tier not in DENIABLE or (x[0], x[1]) not in denied and not _denies(text, x[0])]
 
 
 _LOWER = {x: x + 32 for x in range(65, 91)}

@@ -303,6 +303,29 @@ def test_license_rules():
         assert all(b <= c for (_, b, _), (c, _, _) in itertools.pairwise(found))
 
 
+def test_license_lists_and_denials():
+    signatures = rules()
+    labels = lambda text: [x[2].label for x in detections(text.translate(LOWER), signatures)]
+    tag = "SPDX-License-Identifier: "
+    assert labels(tag + "MIT OR Apache-2.0") == ["mit", "apache"]
+    assert labels(tag + "(MIT AND (BSD-3-Clause OR GPL-2.0+)) */ isc") == ["mit", "bsd-3-clause", "gpl"]
+    assert labels(tag + "GPL-2.0-or-later WITH Classpath-exception-2.0 AND ISC") == ["gpl", "isc"]
+    assert labels(tag + "GPL-2.0-only WITH MIT") == ["gpl"]
+    assert labels(tag + "MIT\nor ISC") == ["mit"] and labels(tag + "LicenseRef-1 OR ISC") == ["isc"]
+    assert labels("dual licensed under MIT and Apache 2.0") == ["mit", "apache"]
+    assert labels("Dual-licensed under the MIT, BSD, and GPL v2") == ["mit", "bsd", "gpl"]
+    assert labels("licensed under either of Apache License, Version 2.0 or MIT license") == ["apache", "mit"]
+    assert labels("under the terms of the GNU GPL v2") == ["gpl"] and labels("released under the GPL v2 or the Mozilla Public License 1.1") == ["gpl", "mpl"]
+    assert labels("released under the MIT License and Apache httpd is used") == ["mit"]
+    assert labels("not licensed under the GPL") == labels("It is not the MIT license.") == labels("never released under MIT or the Apache License") == []
+    assert labels("not only licensed under the GPL") == labels("whether or not licensed under the GPL") == ["gpl"]
+    assert labels("Business Source License 1.1, Elastic License 2.0, BlueOak-1.0.0") == ["busl", "elastic", "blueoak"]
+    began = time.time()
+    assert len(labels(tag + "mit " + "or mit " * 50_000)) == 50_001 and len(labels("licensed under mit" + " or mit license" * 50_000)) == 50_001
+    assert labels(tag + " " * 1_000_000) == [] and labels("not " * 200_000 + "licensed under mit") == []
+    assert time.time() - began < 20
+
+
 def test_license_priority_and_speed(spark):
     signatures = rules()
     labels = lambda text: [x[2].label for x in detections(text.lower(), signatures)]
