@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,38 +19,107 @@ from docdigest.llm.transducer import Transducer
 MIN_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Terms of one transducer, and bytes of all transducers that may be sent to every task; larger vocabularies stay where they are and terms are dealt to them.
 SHARD_TERMS, SENT_BYTES = 50_000, 16 << 20
-#: Distinct terms, and bytes of text, that a task counts before it hands the counts on.
-HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
+#: Occurrences of terms, and bytes of text, that a task counts before it hands the counts on.
+HELD_TERMS, HELD_BYTES = 4 << 20, 64 << 20
 #: Terms and sources of one matrix of shares.
 BLOCK_TERMS, BLOCK_SOURCES = 512, 256
 #: Tasks among which the terms of one transducer are dealt.
 SALTS = 16
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_PIECE = re.compile(rb"[\x00-\xff]{1,1048576}[a-z\x80-\xff]*")
-
-
-def _pieces(text: str) -> Iterator[list[bytes]]:
-    """Terms of a text, a megabyte at a time."""
-    for piece in _PIECE.finditer(text.encode("utf-8", "replace").lower()):
-        yield _TERM.findall(piece[0])
+#: Bytes of text that are cut into terms at a time; longer texts are cut between terms.
+_CUT = 1 << 20
+_PIECE = re.compile(rb"[\x00-\xff]{1,%d}[a-z\x80-\xff]*" % _CUT)
+_IN_TERM = np.zeros(256, bool)
+_IN_TERM[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: By number of bytes up to 8, the first so many of a big-endian 64-bit value.
+_FIRST = np.array([(1 << 64) - (1 << 64 - 8 * n) for n in range(9)], np.uint64)
+#: Keys from here on are the bytes of a term (none begins with a zero byte), smaller ones are numbers of longer terms.
+_SPELLED = 1 << 56
+
+
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, thing) -> int:
+        at = self[thing] = len(self)
+        return at
+
+
+def _cuts(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Lower-cased texts, or parts of long ones, about a megabyte at a time, with the places of their texts in the list."""
+    rows, parts, size = [], [], 0
+    for row, text in enumerate(texts):
+        data = text.encode("utf-8", "replace").lower()
+        for part in [data] if len(data) <= _CUT else (m[0] for m in _PIECE.finditer(data)):
+            rows.append(row)
+            parts.append(part)
+            size += len(part)
+            if size >= _CUT:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _keys(parts: list[bytes], longer: _Numbers) -> list[np.ndarray]:
+    """A key for each term of each part: its bytes where they are at most eight, else its number in ``longer``. Different terms have different keys."""
+    data = b"\0" + b"\0".join(parts) + bytes(8)
+    inside = _IN_TERM[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    ahead = np.ndarray(len(data) - 7, ">u8", data, strides=1)  # the eight bytes from each place on
+    keys = ahead[start].astype(np.uint64) & _FIRST[np.minimum(size, 8)]
+    far = np.flatnonzero(size > 8)
+    keys[far] = np.fromiter((longer[data[a:b]] for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)), np.uint64, len(far))
+    return np.split(keys, np.searchsorted(start, np.cumsum([len(p) + 1 for p in parts[:-1]], dtype=np.int64)))
+
+
+def _spelled(keys: np.ndarray, longer: list[bytes]) -> list[bytes]:
+    """The terms of ascending keys."""
+    n = int(np.searchsorted(keys, np.uint64(_SPELLED)))
+    return [longer[i] for i in keys[:n].tolist()] + keys[n:].astype(">u8").view("S8").tolist()
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, which takes twice as long on the few terms of a text."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[dict[tuple, tuple[np.ndarray, np.ndarray]], list[bytes]]]:
+    """Ascending keys of terms and their counts by the columns before the text, and the longer terms, handed on whenever a task holds much; with ``once`` a text counts a term once."""
+    held: dict[tuple, list[list[np.ndarray]]] = defaultdict(list)
+    longer = _Numbers()
+    read = size = 0
 
+    def counts():
+        merged = lambda parts: [_distinct(np.concatenate(parts))] if once and len(parts) > 1 else parts
+        return {of: np.unique(np.concatenate([p for parts in found for p in merged(parts)]), return_counts=True) for of, found in held.items()}, list(longer)
 
-def _counted(batches: Iterator[pa.RecordBatch], add) -> Iterator[dict[tuple, Counter]]:
-    """Counters of terms by the columns before the text, handed on whenever they hold much; ``add`` puts a text's terms into one."""
-    held: dict[tuple, Counter] = defaultdict(Counter)
-    read = size = 0
     for batch in batches:
-        for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counter = held[tuple(key)]
-            before = len(counter)
-            add(counter, text)
-            read, size = read + len(text), size + len(counter) - before
-            if read > HELD_BYTES or size > HELD_TERMS:
-                yield held
+        *columns, texts = (c.to_pylist() for c in batch.columns)
+        of, last, own = list(zip(*columns, strict=True)), None, []
+        for rows, parts in _cuts(texts):
+            if (read > HELD_BYTES or size > HELD_TERMS) and not (once and rows[0] == last):
+                yield counts()
                 held.clear()
-                read = size = 0
-    yield held
+                longer.clear()
+                read, size, last = 0, 0, None
+            for row, keys in zip(rows, _keys(parts, longer), strict=True):
+                if row != last:
+                    last, own = row, []
+                if not len(keys):
+                    continue
+                if not own:
+                    held[of[row]].append(own)
+                own.append(_distinct(keys) if once else keys)
+                if once and len(own) > 1 and sum(map(len, own)) > 2 * len(own[0]) + _CUT:  # a long text
+                    own[:] = [_distinct(np.concatenate(own))]
+                size += len(own[-1]) + 16
+            read += sum(map(len, parts))
+    if held:
+        yield counts()
 
 
 def _strings(terms) -> pa.Array:
@@ -60,21 +129,9 @@ def _strings(terms) -> pa.Array:
 @lean
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (lang, text), (lang, term, n): texts that have a term."""
-    for held in _counted(batches, _once):
-        for (lang,), counter in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), _strings(list(counter)), pa.array(list(counter.values()), pa.int64())], ["lang", "term", "n"])
-
-
-def _once(counter: Counter, text: str) -> None:
-    seen: set[bytes] = set()
-    for terms in _pieces(text):
-        seen.update(terms)
-    counter.update(seen)
-
-
-def _every(counter: Counter, text: str) -> None:
-    for terms in _pieces(text):
-        counter.update(terms)
+    for held, longer in _counted(batches, once=True):
+        for (lang,), (keys, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), _strings(_spelled(keys, longer)), pa.array(n, pa.int64())], ["lang", "term", "n"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -145,10 +202,50 @@ class _Vocabulary:
 
 
 _COUNTS = "lang string, source string, ord long, n long"
+#: A term's place in its block, and its count by one task.
+_PACKED = np.dtype([("at", "<u2"), ("n", "<u4")])
+
+
+def _by_lang(held: dict[tuple, tuple[np.ndarray, np.ndarray]], longer: list[bytes]) -> Iterator[tuple[str, list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """``(lang, terms, sources, source, term, n)`` of each language: ``source`` and ``term`` are places in the lists."""
+    langs = defaultdict(list)
+    for (lang, source), (keys, n) in held.items():
+        langs[lang].append((source, keys, n))
+    for lang, rows in langs.items():
+        sources, keys, n = zip(*rows, strict=True)
+        distinct, term = np.unique(np.concatenate(keys), return_inverse=True)
+        yield lang, _spelled(distinct, longer), list(sources), np.repeat(np.arange(len(sources)), [len(k) for k in keys]), term, np.concatenate(n)
+
+
+@lean
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (lang, source, block, counts) in order, the rows of ``_COUNTS``."""
+    last, total = None, None
+
+    def rows(done):
+        found = [np.flatnonzero(t) for _, t in done]
+        of = np.repeat(np.arange(len(done)), [len(f) for f in found])
+        place = np.concatenate([f + block * BLOCK_TERMS for ((_, _, block), _), f in zip(done, found, strict=True)])
+        names = (pa.array([key[i] for key, _ in done], pa.string()).take(pa.array(of)) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*names, pa.array(place), pa.array(np.concatenate([t[f] for (_, t), f in zip(done, found, strict=True)]))], ["lang", "source", "ord", "n"])
+
+    for batch in batches:
+        done = []
+        for *key, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != last:
+                if last is not None:
+                    done.append((last, total))
+                last, total = key, np.zeros(BLOCK_TERMS, np.int64)
+            counts = np.frombuffer(counts, _PACKED)
+            total[counts["at"]] += counts["n"]
+        if done:
+            yield rows(done)
+    if last is not None:
+        yield rows([(last, total)])
 
 
 def _recounted(texts: DataFrame, shards: DataFrame) -> DataFrame:
-    """Occurrences of kept terms where every task can hold all transducers."""
+    """Occurrences of kept terms where every task can hold all transducers. Tasks hand on a row for each group and block of terms."""
     rows = defaultdict(list)
     for r in shards.select("lang", "first", "base", "transducer").collect():
         rows[r.lang].append((r.first.encode(), r.base, bytes(r.transducer)))
@@ -157,25 +254,27 @@ def _recounted(texts: DataFrame, shards: DataFrame) -> DataFrame:
     @lean
     def run(batches):
         opened: dict[str, _Vocabulary] = {}
-        for held in _counted(batches, _every):
-            seen = defaultdict(list)
-            for (lang, _), counter in held.items():
-                if lang in sent.value:
-                    seen[lang].append(counter)
-            for lang, counters in seen.items():  # each distinct term walks once
+        for held in _counted(batches):
+            for lang, terms, sources, source, term, n in _by_lang(*held):
+                if lang not in sent.value:
+                    continue
                 if lang not in opened:
                     opened[lang] = _Vocabulary(sent.value[lang])
-                terms = list(set().union(*counters))
-                place = opened[lang].ordinals(terms)
-                seen[lang] = {terms[i]: p for i, p in zip(np.flatnonzero(place >= 0).tolist(), place[place >= 0].tolist(), strict=True)}
-            for (lang, source), counter in held.items():
-                place = seen.get(lang) or {}
-                found = [(place[t], n) for t, n in counter.items() if t in place]
-                if found:
-                    at, n = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([source] * len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lang", "source", "ord", "n"])
-
-    return texts.mapInArrow(run, _COUNTS)
+                place = opened[lang].ordinals(terms)[term]  # each distinct term walks once
+                known = np.flatnonzero(place >= 0)
+                known = known[np.lexsort((place[known], source[known]))]
+                source, block = source[known], place[known] // BLOCK_TERMS
+                packed = np.empty(len(known), _PACKED)
+                packed["at"], packed["n"] = place[known] % BLOCK_TERMS, n[known]
+                start = np.flatnonzero(np.r_[True, (np.diff(source) != 0) | (np.diff(block) != 0)][: len(known)])
+                bounds = np.append(start, len(known)) * _PACKED.itemsize
+                if len(start):
+                    counts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(packed.tobytes())])
+                    names = pa.array(sources, pa.string()).take(pa.array(source[start]))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), names, pa.array(block[start]), counts], ["lang", "source", "block", "counts"])
+
+    found = texts.mapInArrow(run, "lang string, source string, block long, counts binary")
+    return found.repartition("lang", "source", "block").sortWithinPartitions("lang", "source", "block").mapInArrow(_sums, _COUNTS)
 
 
 def _dealt(texts: DataFrame, shards: DataFrame) -> DataFrame:
@@ -187,14 +286,15 @@ def _dealt(texts: DataFrame, shards: DataFrame) -> DataFrame:
 
     @lean
     def route(batches):
-        for held in _counted(batches, _every):
-            for (lang, source), counter in held.items():
-                if lang in bounds and counter:
+        for held in _counted(batches):
+            for lang, terms, sources, source, term, n in _by_lang(*held):
+                if lang in bounds:
                     first, shard = bounds[lang]
-                    terms = list(counter)
                     to = [bisect_right(first, t) - 1 for t in terms]
-                    names = ([x] * len(terms) for x in (lang, source))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard[i] if i >= 0 else None for i in to], pa.int32()), *map(pa.array, names), _strings(terms), pa.array(list(counter.values()), pa.int64())], ["shard", "lang", "source", "term", "n"])
+                    to = pa.array([shard[i] if i >= 0 else None for i in to], pa.int32())
+                    term = pa.array(term)
+                    names = pa.array([lang] * len(n), pa.string()), pa.array(sources, pa.string()).take(pa.array(source))
+                    yield pa.RecordBatch.from_arrays([to.take(term), *names, _strings(terms).take(term), pa.array(n, pa.int64())], ["shard", "lang", "source", "term", "n"])
 
     @lean
     def walk(batches):
@@ -220,14 +320,13 @@ def _dealt(texts: DataFrame, shards: DataFrame) -> DataFrame:
     held = shards.select("shard", salts, "base", "transducer").select("shard", "salt", *(nothing(k).alias(n) for n, k in (("lang", "string"), ("source", "string"), ("term", "string"), ("n", "long"))), "base", "transducer")
     # nulls sort first: a shard's transducer comes before its terms
     both = terms.union(held).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "term")
-    return both.drop("salt").mapInArrow(walk, _COUNTS)
+    return both.drop("salt").mapInArrow(walk, _COUNTS).groupBy("lang", "source", "ord").agg(F.sum("n").alias("n"))
 
 
 def recount(docs: DataFrame, shards: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``(lang, source, ord, n)``: occurrences of each kept term in each group of documents, by ordinal, where there are any."""
     size = shards.agg(F.coalesce(F.sum(F.octet_length("transducer")), F.lit(0))).first()[0]
-    found = (_recounted if size <= sent_bytes else _dealt)(_texts(docs), shards)
-    return found.groupBy("lang", "source", "ord").agg(F.sum("n").alias("n"))
+    return (_recounted if size <= sent_bytes else _dealt)(_texts(docs), shards)
 
 
 def _share(n, total, v):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docdigest.llm import decontaminate, divergence, line_dedup
@@ -89,6 +90,50 @@ def test_audit(spark, monkeypatch, small):
     assert audit_sources(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 1 << 22])
+@pytest.mark.parametrize("once", [False, True])
+def test_counted_terms(monkeypatch, once, held):
+    monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    spell = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = ["", "a Ab abc", "abc", "same seven eightlet eightlett eightletter EIGHTLETTERS", "\0a\0b-\0", "ééé éééé ééééé 日本 日本語 K ſ\xa0x", "1 2 -", "b" * 20_000, "b" * 20_000]
+    texts += [" ".join(spell(i % 90_000 * 7919) for i in range(400_000)), "z" * 3_000_000 + " " + "Ab " * 900_000, "abc"]
+    rows = [("en" if i % 4 else "fr", text) for i, text in enumerate(texts)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 5], strict=True)], ["lang", "text"]) for a in range(0, len(rows), 5)]
+    got, want = defaultdict(Counter), defaultdict(Counter)
+    for counts, longer in divergence._counted(iter(batches), once):
+        for (lang,), (keys, n) in counts.items():
+            assert len(set(keys.tolist())) == len(keys)
+            got[lang].update(dict(zip(divergence._spelled(keys, longer), n.tolist(), strict=True)))
+    for lang, text in rows:
+        terms = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.translate(LOWER))
+        want[lang].update(x.encode() for x in (set(terms) if once else terms))
+    assert got == want
+
+
+def test_recount_hands_on_blocks(spark):
+    """Tasks shuffle a row for each group and block of terms, not one for each term."""
+    words = [f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    rows = [("en", f"s{i % 3}", " ".join(words[: 590 + i // 3 % 11])) for i in range(48)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4).localCheckpoint()
+    shards, terms = divergence.vocabulary(docs, 2)
+    name = {r.ord: r.term for r in terms.collect()}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = divergence.recount(docs, shards)
+        got = Counter({(r.source, name[r.ord]): r.n for r in found.collect()})
+        node, records = found._jdf.queryExecution().executedPlan(), []
+        while node is not None:
+            if "Exchange" in node.nodeName():
+                records.append(node.metrics().apply("shuffleRecordsWritten").value())
+            node = node.children().apply(0) if node.children().size() else None
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == Counter((source, x) for _, source, text in rows for x in text.split())
+    assert records
+    assert sum(records) <= 4 * 3 * 2
+
+
 def test_audit_counts_beyond_64_bits(spark):
     row = spark.range(1).select(divergence._share("9000000000000000000", "9000000000000000001", "3").alias("p")).first()
     assert row.p == 1 + 10**9 * (9 * 10**18 + 5) // (9 * 10**18 + 1 + 15)
