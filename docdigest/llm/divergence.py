@@ -21,6 +21,8 @@ MIN_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 SHARD_TERMS, SENT_BYTES = 50_000, 16 << 20
 #: Occurrences of terms, and bytes of text, that a task counts before it hands the counts on.
 HELD_TERMS, HELD_BYTES = 4 << 20, 64 << 20
+#: Terms that a task hands on in one batch.
+HANDED_TERMS = 1 << 16
 #: Terms and sources of one matrix of shares.
 BLOCK_TERMS, BLOCK_SOURCES = 512, 256
 #: Tasks among which the terms of one transducer are dealt.
@@ -131,7 +133,9 @@ def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Of (lang, text), (lang, term, n): texts that have a term."""
     for held, longer in _counted(batches, once=True):
         for (lang,), (keys, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), _strings(_spelled(keys, longer)), pa.array(n, pa.int64())], ["lang", "term", "n"])
+            for a in range(0, len(keys), HANDED_TERMS):
+                some, terms = n[a : a + HANDED_TERMS], _spelled(keys[a : a + HANDED_TERMS], longer)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), _strings(terms), pa.array(some, pa.int64())], ["lang", "term", "n"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
