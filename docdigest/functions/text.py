@@ -54,14 +54,21 @@ def clean_text(c: Column) -> Column:
     return F.trim(c)
 
 
-def extract_abstract(c: Column, search_window: int = 6000, max_len: int = 3000) -> Column:
-    """What follows the first ``abstract`` of the window, up to the introduction's heading or ``max_len``; empty without the marker."""
+#: An introduction's heading, with or without its number, in any case.
+HEADING = rf"(?<!{WORD})(?:[IVX]+\.?|1\.?){SPACE}*INTRODUCTION(?!{WORD})|(?<!{WORD})INTRODUCTION(?!{WORD})"
+
+
+def extract_abstract(c: Column, search_window: int = 6000, max_len: int = 3000, heading: str = HEADING) -> Column:
+    """What follows the first ``abstract`` of the window, up to the introduction's ``heading`` or ``max_len``; empty without the marker.
+
+    Before a heading without a number, the default takes a last word like "vi." for its number.
+    """
     mark = rf"(?isu)^.*?(?<!{WORD})abstract(?!{WORD})(?:{SPACE}|[—:.\-])*"
     head = F.regexp_extract(F.substring(c, 1, search_window), mark, 0)
     rest = F.substr(c, F.length(head) + 1)
-    heading = rf"(?isu)^(.*?)(?:(?<!{WORD})(?:[IVX]+\.?|1\.?){SPACE}*INTRODUCTION(?!{WORD})|(?<!{WORD})INTRODUCTION(?!{WORD}))"
-    found = F.regexp_extract(rest, heading, 0) != ""
-    return F.when(head == "", "").otherwise(F.trim(F.when(found, F.regexp_extract(rest, heading, 1)).otherwise(F.substring(rest, 1, max_len))))
+    before = rf"(?isu)^(.*?)(?:{heading})"
+    found = F.regexp_extract(rest, before, 0) != ""
+    return F.when(head == "", "").otherwise(F.trim(F.when(found, F.regexp_extract(rest, before, 1)).otherwise(F.substring(rest, 1, max_len))))
 
 
 def split_sentences(c: Column, abbreviations=ABBREVIATIONS) -> Column:

@@ -75,6 +75,15 @@ def test_abstract(spark, given, want):
     assert one(spark, T.extract_abstract, given) == want
 
 
+def test_abstract_of_texts_that_end_like_numbers(spark, tmp_path):
+    texts = ["Il est vi.", "Part 1.", "Part 1", "King X", "xi", "The introduction says I", "An introduction", "XINTRODUCTIONS", "- dash", "a" * 4000]
+    spark.createDataFrame([(i * 2 + odd, t) for i, t in enumerate(texts) for odd in (0, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["abstract"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["abstract"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_verdicts(spark):
     said = "We show that the model in this work is better than the others."
     rows = {"a" * 39: "short", "a" * 24 + "1" * 16: "keep", "a" * 23 + "1" * 17: "symbolic", said: "keep", said[::-1]: "reversed"}
