@@ -178,6 +178,23 @@ def test_jaccard_large_families(spark, monkeypatch):
     check_jaccard(spark, rows)
 
 
+def test_jaccard_family_without_links_is_sent_in_bounded_passes(spark, monkeypatch):
+    """Texts of lines that many have tie one family in which few link: no pass sends much more than the family's sets weigh."""
+    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("CHUNK", 4), ("WIDE", 1), ("SENT", 1)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    sent, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda rows: sent.append(rows.count()) or links(rows))
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"v{x}" for x in rng.integers(0, 900, 12)) for _ in range(40)]
+    rows = [(i, "\n".join(lines[k] for k in rng.choice(40, 9, replace=False))) for i in range(198)]
+    rows += [(198, rows[3][1] + " end"), (199, "start " + rows[150][1])]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got == components(sets, pairs) and got[198] == 3 and got[199] == 150
+    assert len(sent) > 5 and max(sent) < 3 * len(rows)
+
+
 @pytest.mark.parametrize("members", [128, 200])
 def test_jaccard_candidates_in_bounded_memory(members):
     """10,000 shingles that many sets share: pairs are counted and tied without holding all of their places at once."""
