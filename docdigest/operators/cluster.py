@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docdigest.functions.vectors import dot, euclidean_distance, l2_normalize
 from docdigest.operators import lloyd
-from docdigest.operators.kernels import kmeans, silhouette_cosine
+from docdigest.operators.kernels import kmeans, silhouette_cosine, starts
 from docdigest.sources.lineage import cut
 
 MODES = ("short", "one_page", "full")
@@ -138,8 +138,11 @@ def elbow_curve(vectors: DataFrame, k_min: int = 2, k_max: int = 20, seed: int =
     """``elbow(doc_key, k, inertia)`` for each k below the number of sentences; documents of more than ``large`` sentences over all executors."""
 
     def fit(pdf):
-        x = _matrix(pdf)
-        return [(pdf["doc_key"][0], k, kmeans(x, k, seed)[2]) for k in range(k_min, min(k_max + 1, len(x)))]
+        x, most = _matrix(pdf), min(k_max, len(pdf) - 1)
+        if most < k_min:
+            return []
+        start = starts(x, most, seed)
+        return [(pdf["doc_key"][0], k, kmeans(x, k, seed, start=start[:k])[2]) for k in range(k_min, most + 1)]
 
     out = by_document(vectors, fit, "doc_key string, k int, inertia double", ["doc_key", "sent_idx", "embedding"], large, lambda key: (key, -1, 0.0))
     out, rest = _split(vectors, out, "k = -1")
@@ -216,9 +219,10 @@ def summarize(vectors: DataFrame, modes=MODES, seed: int = 42, large: int = LARG
         if n < 2:
             return [(key, m, 0, n, [], [], 0, 0.0, None, "too_few_sentences") for m in modes]
         x, said, index = _matrix(pdf), pdf["sentence"].tolist(), pdf["sent_idx"].tolist()
+        start = starts(x, max(_k(mode, n) for mode in modes), seed)
         for mode in modes:
             k = _k(mode, n)
-            label, c, _ = kmeans(x, k, seed)
+            label, c, _ = kmeans(x, k, seed, start=start[:k])
             d = ((x - c[label]) ** 2).sum(1)
             order = np.lexsort((np.arange(n), d, label))
             picked = sorted(order[np.flatnonzero(np.append(True, np.diff(label[order]) > 0))].tolist())

@@ -17,6 +17,11 @@ def _start(x: np.ndarray, norms: np.ndarray, k: int, rng) -> np.ndarray:
         at.append(min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(x) - 1) if total[-1] > 0 else int(rng.integers(len(x))))
 
 
+def starts(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """The k-means++ starts of ``kmeans``' first run; its starts for fewer clusters are the first of them."""
+    return x[_start(x, (x * x).sum(1), k, np.random.default_rng([seed, 0]))]
+
+
 def weighted_start(x: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
     """Rows of k-means++ starts where a row stands for ``weight`` rows."""
     d, at = np.ones(len(x)), []

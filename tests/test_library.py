@@ -160,6 +160,31 @@ def test_rouge(spark):
     assert evaluate.rouge_n(df.limit(0), 1, ["k"]).count() == 0
 
 
+def test_rouge_shuffles_no_grams(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(rng.choice(["motoring", "falls", "sky", "a1", "was"], n))
+    said = [(f"d{i}", m, [text(int(rng.integers(0, 9))) for _ in range(3)]) for i in range(30) for m in ("short", "full")]
+    summaries = spark.createDataFrame([*said, ("none", "full", ["x"]), ("empty", "full", [])], "doc_key string, mode string, sentences array<string>")
+    docs = spark.createDataFrame([*((f"d{i}", text(i)) for i in range(30)), ("empty", "sky")], "doc_key string, abstract string")
+    got = evaluate.rouge(summaries, docs)
+    assert "Generate" not in (plan := got._jdf.queryExecution().toString()) and "Aggregate" not in plan
+    shape, keys = (lambda c: evaluate.stemmed(evaluate.rouge_tokens(c))), ["doc_key", "mode"]
+    pairs = summaries.select(*keys, shape(F.array_join("sentences", " ")).alias("summary")).join(docs.select("doc_key", shape(F.col("abstract")).alias("reference")), "doc_key", "left")
+    want = evaluate.rouge_n(pairs, 1, keys).join(evaluate.rouge_n(pairs, 2, keys), keys).join(pairs.select(*keys, evaluate.rouge_l("summary", "reference").alias("rougeL")), keys)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 62
+
+
+def test_starts_are_the_first_of_more():
+    rng = np.random.default_rng(2)
+    for n in (3, 17, 60):
+        x = rng.normal(size=(n, 8))
+        x[n // 2 :: 3] = x[0]  # equal rows
+        some = kernels.starts(x, n - 1)
+        for k in range(2, n):
+            own, shared = kernels.kmeans(x, k), kernels.kmeans(x, k, start=some[:k])
+            assert (own[0] == shared[0]).all() and own[2] == shared[2]
+
+
 def test_rouge_stems(spark):
     words = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "feed": "feed", "motoring": "motor", "conflated": "conflat", "sized": "size", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "valenci": "valenc", "operator": "oper", "hopefulness": "hope", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "was": "wa", "is": "is"}
     assert {w: porter_stem(w) for w in words} == words
