@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,39 +66,75 @@ def stratified_split(salience: DataFrame, val: float = 0.2, seed: int = 42) -> D
     return ranked.withColumn("split", F.when(F.col("r") <= F.col("quota"), "val").otherwise("train")).drop("r", "quota")
 
 
+def _tertiles(x: np.ndarray, lower: float, upper: float) -> np.ndarray:
+    """``weak_labels`` of one document's vectors: 1, 0 or, for rows that are not kept, -1."""
+    centre = x.mean(0)
+    norms = np.sqrt((x * x).sum(1)) + 1e-8
+    score = (x * centre).sum(1) / (norms * (math.sqrt((centre * centre).sum()) + 1e-8))
+    ranked, cuts = np.sort(score), []
+    for p in (lower, upper):
+        at = (len(x) - 1) * (p / 100)
+        lo, hi = math.floor(at), math.ceil(at)
+        cuts.append(ranked[lo] if lo == hi else (hi - at) * ranked[lo] + (at - lo) * ranked[hi])
+    return np.where(score >= cuts[1], 1, np.where(score <= cuts[0], 0, -1))
+
+
+def _held_out(label: np.ndarray, order: np.ndarray, sent_idx: np.ndarray, val: float = 0.2) -> np.ndarray:
+    """Which rows ``stratified_split`` sends to validation, from the hash that orders them."""
+    sizes = {k: n for k in (0, 1) if (n := int((label == k).sum()))}
+    n, out = sum(sizes.values()), np.zeros(len(label), bool)
+    if not n:
+        return out
+    v = math.ceil(round(n * val, 9))
+    share = {k: v * c / n for k, c in sizes.items()}
+    quota = {k: math.floor(s) for k, s in share.items()}
+    for k in sorted(share, key=lambda k: (quota[k] - share[k], k))[: v - sum(quota.values())]:
+        quota[k] += 1
+    for k, q in quota.items():
+        rows = np.flatnonzero(label == k)
+        out[rows[np.lexsort((sent_idx[rows], order[rows]))[:q]]] = True
+    return out
+
+
 TRAINING = "doc_key string, n_total int, n_excluded int, n_train int, n_val int, epochs int, val_accuracy double, train_losses array<double>, val_losses array<double>, status string"
 
 
 def train_salience(vectors: DataFrame, epochs: int = 15, lr: float = 0.005, hidden=(128, 32), dropout: float = 0.3, seed: int = 42, large: int = LARGE) -> DataFrame:
     """``training``: one small net for each document; a document that is too short, keeps too little or fails has a row that says so.
 
+    A document's vectors shuffle once: the task that trains its net also labels and splits its rows, as ``weak_labels`` and ``stratified_split`` do.
     The nets of documents of more than ``large`` sentences are trained over all executors: each epoch adds up gradients by document.
     """
-    labelled = weak_labels(vectors)
-    split = stratified_split(labelled, seed=seed).select("doc_key", "sent_idx", "label", "embedding", "split")
-    rest = labelled.where("not kept").select("doc_key", "sent_idx", F.lit(None).cast("int").alias("label"), F.lit(None).cast(vectors.schema["embedding"].dataType).alias("embedding"), F.lit("none").alias("split"))
-    rows = split.unionByName(rest)
+    known = vectors.where("doc_key is not null and embedding is not null").withColumn("__order", F.xxhash64(F.lit(seed), "doc_key", "sent_idx"))
 
     def fit(pdf):
-        n, train, val = len(pdf), pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
-        row = [pdf["doc_key"][0], n, n - len(train) - len(val), len(train), len(val), 0, None, None, None]
+        x, at, n = _matrix(pdf), pdf["sent_idx"].to_numpy(), len(pdf)
+        label = _tertiles(x, 33.33, 66.67)
+        val = _held_out(label, pdf["__order"].to_numpy(), at)
+        train = (label >= 0) & ~val
+        n_train, n_val = int(train.sum()), int(val.sum())
+        row = [pdf["doc_key"][0], n, n - n_train - n_val, n_train, n_val, 0, None, None, None]
         if n < MIN_SENTENCES:
             row.append("too_short")
-        elif len(train) + len(val) < MIN_KEPT:
+        elif n_train + n_val < MIN_KEPT:
             row.append("too_few_kept")
         else:
             try:
-                a, b, accuracy = mlp(_matrix(train), train["label"].to_numpy(float), _matrix(val), val["label"].to_numpy(float), epochs, lr, hidden, dropout, seed, rows=train["sent_idx"].to_numpy())
+                y = label.astype(float)
+                a, b, accuracy = mlp(x[train], y[train], x[val], y[val], epochs, lr, hidden, dropout, seed, rows=at[train])
                 row[5:] = [epochs, accuracy, a, b, "trained"]
             except (ValueError, FloatingPointError) as error:
                 row.append(f"failed: {error}")
         return [tuple(row)]
 
-    out = cut(by_document(rows, fit, TRAINING, ["doc_key", "sent_idx", "label", "embedding", "split"], large, lambda key: (key, 0, 0, 0, 0, 0, None, None, None, "large")))
+    out = cut(by_document(known, fit, TRAINING, ["doc_key", "sent_idx", "__order", "embedding"], large, lambda key: (key, 0, 0, 0, 0, 0, None, None, None, "large")))
     marked = out.where("status = 'large'").select("doc_key")
     if marked.isEmpty():
         return out
-    of = rows.join(marked, "doc_key", "left_semi")
+    labelled = cut(weak_labels(known.join(marked, "doc_key", "left_semi").drop("__order")))
+    split = stratified_split(labelled, seed=seed).select("doc_key", "sent_idx", "label", "embedding", "split")
+    rest = labelled.where("not kept").select("doc_key", "sent_idx", F.lit(None).cast("int").alias("label"), F.lit(None).cast(vectors.schema["embedding"].dataType).alias("embedding"), F.lit("none").alias("split"))
+    of = split.unionByName(rest)
     about = {r.doc_key: (r.n, r.train, r.val) for r in of.groupBy("doc_key").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "val").alias("val")).toLocalIterator()}
     kept = cut(of.where("split != 'none'").select(F.col("doc_key").alias("g"), "sent_idx", "label", F.col("split").alias("part"), "embedding"))
     trained = {g: v for g, v in about.items() if v[0] >= MIN_SENTENCES and v[1] + v[2] >= MIN_KEPT and v[1] and v[2]}

@@ -174,6 +174,28 @@ def test_rouge_shuffles_no_grams(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 62
 
 
+def test_training_labels_and_splits_in_one_shuffle(spark):
+    """Inside the tasks the same labels and parts as by Spark's windows, also where sentences are equal."""
+    rng = np.random.default_rng(8)
+    rows = [(f"d{n}", i, rng.normal(size=6).tolist()) for n in (1, 2, 5, 29, 30, 31, 64, 200) for i in range(n)]
+    rows += [("same", i, [1.0, float(i % 3), 0.0, 0.0, 0.0, 0.0]) for i in range(40)] + [("zero", i, [0.0] * 6) for i in range(33)]
+    v = spark.createDataFrame(rows, "doc_key string, sent_idx int, embedding array<double>")
+    split = {(r.doc_key, r.sent_idx): (r.label, r.split) for r in salience.stratified_split(salience.weak_labels(v)).collect()}
+    order = {(r.doc_key, r.sent_idx): r.h for r in v.select("doc_key", "sent_idx", F.xxhash64(F.lit(42), "doc_key", "sent_idx").alias("h")).collect()}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        label = salience._tertiles(np.array([r[2] for r in own]), 33.33, 66.67)
+        val = salience._held_out(label, np.array([order[key, r[1]] for r in own]), np.array([r[1] for r in own]))
+        assert {(key, r[1]): (k, "val" if held else "train") for r, k, held in zip(own, label.tolist(), val, strict=True) if k >= 0} == {k: x for k, x in split.items() if k[0] == key}
+    seen = []
+    spark_cut, salience.cut = salience.cut, lambda df: seen.append(df._jdf.queryExecution().toString()) or spark_cut(df)
+    try:
+        assert salience.train_salience(v).count() == 10
+    finally:
+        salience.cut = spark_cut
+    assert "Join" not in seen[0] and "Window" not in seen[0]
+
+
 def test_starts_are_the_first_of_more():
     rng = np.random.default_rng(2)
     for n in (3, 17, 60):
